@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.llm import byte_bpe, decontaminate, sharding, token_counts
+from loamdex.llm import byte_bpe, decontaminate, licenses, sharding, textops, token_counts
 
 #: Folder of the public tokenizer files; None asks the package that ships them.
 TOKENIZERS: str | None = None
@@ -62,12 +62,45 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def _op10_sql() -> str:
+    """The same by brute force: every line against every template."""
+    sets = [(label, sorted(set(t.split()))) for label, texts in licenses.TEMPLATES.items() for t in texts]
+    templates = ", ".join(f"('{label}', {t})" for label, t in sets)
+    phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in licenses.PHRASES.items())
+    pattern = textops.WORD
+    return rf"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS w FROM d),
+template(label, words) AS (VALUES {templates}),
+phrase(words, label) AS (VALUES {phrases}),
+places AS (
+  SELECT doc_id, i - 1 AS pos, label FROM w, phrase, unnest(generate_series(1, len(w.w))) AS u(i)
+  WHERE w.w[i] = phrase.words[1] AND list_slice(w.w, i, i + len(phrase.words) - 1) = phrase.words),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+line AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{pattern}')) AS words FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+met AS (
+  SELECT doc_id, label, len(list_intersect(template.words, line.words)) / CAST(len(template.words) AS DOUBLE) AS share FROM line, template
+  WHERE len(list_intersect(template.words, line.words)) >= ceil({licenses.THRESHOLD} * len(template.words) - 1e-9)),
+label AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM met) GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS best FROM met GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN label USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_sharding": op9_sharding,
+    "op10_license_scans": op10_license_scans,
 }
 SQL = {
     "op7_benchmark_decontamination": OP7_SQL,
+    "op10_license_scans": _op10_sql(),
 }

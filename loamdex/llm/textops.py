@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +46,11 @@ def left_by_row(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def sha256_of(joined: Column) -> Column:
     return F.sha2(joined, 256)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the shared folder that the session names; a folder of its own only where none is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+    return df.checkpoint()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.llm import byte_bpe, decontaminate, fingerprints, licenses, sharding, textops, token_counts
+from loamdex.llm import byte_bpe, decontaminate, fingerprints, licenses, sharding, simhash, textops, token_counts
 
 #: Folder of the public tokenizer files; None asks the package that ships them.
 TOKENIZERS: str | None = None
@@ -31,6 +31,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
@@ -100,6 +104,7 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN label USING (doc_id) LEFT JOIN be
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op3_token_counts": op3_token_counts,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_sharding": op9_sharding,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.llm import byte_bpe, decontaminate, fingerprints, licenses, sharding, simhash, textops, token_counts
+from loamdex.llm import byte_bpe, decontaminate, fingerprints, licenses, sharding, simhash, textops, token_counts, toxicity
 
 #: Folder of the public tokenizer files; None asks the package that ships them.
 TOKENIZERS: str | None = None
@@ -65,6 +65,10 @@ FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.interleaved_shards(_table(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -107,6 +111,7 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_license_scans": op10_license_scans,
 }

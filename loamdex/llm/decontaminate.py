@@ -22,11 +22,15 @@ def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     w = w.withColumn("_len", F.least(F.size("_w"), F.lit(n)))
     w = w.select("item_id", "_len", "_w", F.explode(F.sequence(F.lit(1), F.size("_w") - F.col("_len") + 1)).alias("_i"))
     w = w.select("item_id", "_len", F.slice("_w", F.col("_i"), F.col("_len")).alias("_words"))
-    return w.groupBy("_len", "_words").agg(F.collect_set(F.col("item_id").cast("string")).alias("_items")).withColumn("_hash", F.xxhash64("_words"))
+    return w.groupBy("_len", "_words").agg(F.collect_set(F.col("item_id").cast("string")).alias("_items")).withColumn("_hash", F.xxhash64(word_hashes("_words")))
+
+
+def word_hashes(tokens: str) -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(x))
 
 
 def window_hashes(tokens: str, k: int) -> Column:
-    """The hash of each k-word window, in order."""
+    """The hash of each k-word window, in order, from the hashes of the words."""
     return F.transform(F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i: F.xxhash64(F.slice(tokens, i, k)))
 
 
@@ -36,15 +40,16 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, broadcast_win
     lengths = {r["_len"]: r["n"] for r in windows.groupBy("_len").agg(F.count(F.lit(1)).alias("n")).collect()}  # n rows at most
     small = sum(lengths.values()) <= broadcast_windows
     tokens = docs.select("doc_id", text_key().alias("_key"), words(ascii_lower(whole())).alias("_w"))
+    hashed = tokens.withColumn("_wh", word_hashes("_w"))
     found = []
     for k in sorted(lengths or {n: 0}):
         own = windows.filter(F.col("_len") == k).withColumnRenamed("_words", "_expected")
-        scan = tokens.filter(F.size("_w") >= k)
-        hashes = window_hashes("_w", k)
+        # an outer explode: for others, the optimizer also evaluates the array in a filter
+        hashes = F.when(F.size("_wh") >= k, window_hashes("_wh", k))
         if small:
-            hit = scan.select("doc_id", "_key", "_w", F.posexplode(hashes).alias("_start", "_hash")).join(F.broadcast(own), "_hash")
+            hit = hashed.select("doc_id", "_key", "_w", F.posexplode_outer(hashes).alias("_start", "_hash")).join(F.broadcast(own), "_hash")
         else:
-            hit = scan.select("doc_id", "_key", F.posexplode(hashes).alias("_start", "_hash")).join(own, "_hash")
+            hit = hashed.select("doc_id", "_key", F.posexplode_outer(hashes).alias("_start", "_hash")).join(own, "_hash")
             w = tokens.select(F.col("doc_id").alias("_id2"), F.col("_key").alias("_key2"), "_w").dropDuplicates(["_id2", "_key2"])
             hit = hit.join(w, hit["doc_id"].eqNullSafe(w["_id2"]) & (hit["_key"] == w["_key2"]))
         found.append(hit.filter(F.slice("_w", F.col("_start") + 1, k) == F.col("_expected")).select("doc_id", "_key", "_start", "_len", "_items"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.llm import byte_bpe, decontaminate, fingerprints, licenses, sharding, simhash, textops, token_counts, toxicity
+from loamdex.llm import byte_bpe, decontaminate, fingerprints, licenses, secrets, sharding, simhash, textops, token_counts, toxicity
 
 #: Folder of the public tokenizer files; None asks the package that ships them.
 TOKENIZERS: str | None = None
@@ -27,6 +27,10 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
@@ -107,6 +111,7 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN label USING (doc_id) LEFT JOIN be
 
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_secret_scans": op2_secret_scans,
     "op3_token_counts": op3_token_counts,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_byte_bpe": op6_byte_bpe,

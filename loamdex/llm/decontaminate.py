@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from loamdex.llm.textops import ascii_lower, left_by_row, sha256_of, text_key, whole, words
 
 N = 13
-#: Distinct benchmark windows up to which the set is broadcast; beyond, the hashes are shuffled.
-BROADCAST_WINDOWS = 200_000
+#: Distinct benchmark windows up to which the hash set is sent to all tasks.
+SET_WINDOWS = 20_000
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
@@ -34,25 +34,31 @@ def window_hashes(tokens: str, k: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i: F.xxhash64(F.slice(tokens, i, k)))
 
 
-def window_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Verified occurrences: doc_id, _key, _start (word index from 0), _len, _items."""
+def window_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, set_windows: int = SET_WINDOWS) -> DataFrame:
+    """Verified occurrences: doc_id, _key, _start (word index from 0), _len, _items.
+
+    Up to set_windows distinct windows, the hash set goes to all tasks as part of the plan and only
+    positions in the set leave the scan. A larger benchmark is joined by hash instead.
+    """
     windows = benchmark_windows(benchmark, n)
     lengths = {r["_len"]: r["n"] for r in windows.groupBy("_len").agg(F.count(F.lit(1)).alias("n")).collect()}  # n rows at most
-    small = sum(lengths.values()) <= broadcast_windows
+    small = sum(lengths.values()) <= set_windows
     tokens = docs.select("doc_id", text_key().alias("_key"), words(ascii_lower(whole())).alias("_w"))
     hashed = tokens.withColumn("_wh", word_hashes("_w"))
     found = []
     for k in sorted(lengths or {n: 0}):
         own = windows.filter(F.col("_len") == k).withColumnRenamed("_words", "_expected")
-        # an outer explode: for others, the optimizer also evaluates the array in a filter
-        hashes = F.when(F.size("_wh") >= k, window_hashes("_wh", k))
+        # outer explodes: for others, the optimizer also evaluates the array in a filter
         if small:
-            hit = hashed.select("doc_id", "_key", "_w", F.posexplode_outer(hashes).alias("_start", "_hash")).join(F.broadcast(own), "_hash")
+            known = ", ".join(f"{r['_hash']}L" if r["_hash"] != -(2**63) else "bigint('-9223372036854775808')" for r in own.select("_hash").distinct().collect()) or "null"
+            places = F.expr(f"CASE WHEN size(_wh) >= {k} THEN filter(sequence(1, size(_wh) - {k - 1}), i -> xxhash64(slice(_wh, i, {k})) IN ({known})) END")
+            hit = hashed.withColumn("_at", places).select("doc_id", "_key", "_w", "_wh", F.explode_outer("_at").alias("_at"))
+            hit = hit.select("doc_id", "_key", (F.col("_at") - 1).alias("_start"), F.slice("_w", F.col("_at"), k).alias("_found"), F.xxhash64(F.slice("_wh", F.col("_at"), k)).alias("_hash")).join(F.broadcast(own), "_hash")
         else:
-            hit = hashed.select("doc_id", "_key", F.posexplode_outer(hashes).alias("_start", "_hash")).join(own, "_hash")
+            hit = hashed.select("doc_id", "_key", F.posexplode_outer(F.when(F.size("_wh") >= k, window_hashes("_wh", k))).alias("_start", "_hash")).join(own, "_hash")
             w = tokens.select(F.col("doc_id").alias("_id2"), F.col("_key").alias("_key2"), "_w").dropDuplicates(["_id2", "_key2"])
-            hit = hit.join(w, hit["doc_id"].eqNullSafe(w["_id2"]) & (hit["_key"] == w["_key2"]))
-        found.append(hit.filter(F.slice("_w", F.col("_start") + 1, k) == F.col("_expected")).select("doc_id", "_key", "_start", "_len", "_items"))
+            hit = hit.join(w, hit["doc_id"].eqNullSafe(w["_id2"]) & (hit["_key"] == w["_key2"])).withColumn("_found", F.slice("_w", F.col("_start") + 1, k))
+        found.append(hit.filter(F.col("_found") == F.col("_expected")).select("doc_id", "_key", "_start", "_len", "_items"))
     out = found[0]
     for other in found[1:]:
         out = out.unionByName(other)

@@ -1,11 +1,9 @@
 """Token counts by a finite-state transducer instead of an encoder.
 
-A state is what later bytes of a piece can still see: its bytes so far, and for each prefix
-the last token and the length of its encoding. A transition on a byte is annotated with the
-change of the token count. Transitions are compiled when first taken, from the compatibility
-of adjacent tokens; pieces of over PIECE_BYTES bytes run the same recurrence without keeping
-states, so the machine is deterministic and finite. A piece's path from the start state back
-to it is kept as one macro-transition.
+The vocabulary is compiled to the Aho-Corasick automaton over bytes. Its transitions name the
+tokens that end at a byte; the one that is compatible with the last token before it is what
+the merges put there, so the transition's emission is one token more than that prefix had.
+A piece's path from the start state back to it is kept as one macro-transition.
 
 Long texts are cut into chunks. The map of a chunk takes the text that its left neighbour
 left open and gives the count and the text that it leaves open itself; maps compose by an
@@ -17,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache, reduce
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,69 +25,31 @@ from loamdex.llm import pretokens
 from loamdex.llm.merges import Merges, ranks_of_json
 from loamdex.llm.textops import whole
 
-CHUNK, PIECES, STATES, PIECE_BYTES = 1 << 18, 300_000, 50_000, 64
+CHUNK, PIECES = 1 << 18, 600_000
 
 
 class Transducer:
+    """The Aho-Corasick automaton of all tokens; the bytes of a piece are read once."""
+
     def __init__(self, merges: Merges):
-        self.m = merges
-        self.reset()
-
-    def reset(self) -> None:
-        self.ids: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.step: dict[int, tuple[int, int]] = {}
-        self.start = self._state((b"", (), ()))
-
-    def _state(self, content: tuple) -> int:
-        found = self.ids.setdefault(content, len(self.states))
-        if found == len(self.states):
-            self.states.append(content)
-        return found
-
-    def _extend(self, seen: bytes, last: tuple | list, count: tuple | list, from_start: bool) -> tuple[int, int]:
-        """The last token of the encoding that ends with seen, and its token count; last and count hold both for each shorter prefix."""
-        n = len(seen)
-        for k in range(min(n, self.m.longest), 0, -1):
-            token = self.m.rank.get(seen[n - k :])
-            if token is not None:
-                if k == n and from_start:
-                    return token, 1
-                if k < n and self.m.fits(last[n - k - 1], token):
-                    return token, count[n - k - 1] + 1
-        raise ValueError("a byte without a token")
-
-    def _compile(self, state: int, byte: int) -> tuple[int, int]:
-        seen, last, count = self.states[state]
-        token, n = self._extend(seen + bytes([byte]), last, count, True)
-        return self._state((seen + bytes([byte]), (*last, token), (*count, n))), n - (count[-1] if count else 0)
+        self.fits = merges.fits
+        self.automaton = ahocorasick.Automaton()
+        for i, token in enumerate(merges.tokens):
+            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+        self.automaton.make_automaton()
 
     def count(self, piece: bytes) -> int:
-        if len(piece) > PIECE_BYTES:
-            return self.count_long(piece)
-        if len(self.states) > STATES:
-            self.reset()
-        state, n, step = self.start, 0, self.step
-        for b in piece:
-            key = state << 8 | b
-            to = step.get(key)
-            if to is None:
-                to = step[key] = self._compile(state, b)
-            state = to[0]
-            n += to[1]
-        return n
-
-    def count_long(self, piece: bytes) -> int:
-        """The same recurrence over a sliding past, for pieces that are too long to keep states for."""
-        w = self.m.longest
-        last: list[int] = []
-        count: list[int] = []
-        for i in range(len(piece)):
-            low = max(0, i + 1 - w)
-            token, c = self._extend(piece[low : i + 1], last[low:] if low else last, count[low:] if low else count, low == 0)
-            last.append(token)
-            count.append(c)
-        return count[-1] if count else 0
+        """Emissions of the path over a piece: each prefix has one last token, the one compatible with the last token of what it leaves."""
+        last, emitted, fits = [-1] * len(piece), [0] * len(piece), self.fits
+        for end, (token, n) in self.automaton.iter(piece.decode("latin-1")):
+            if emitted[end]:
+                continue
+            before = end - n
+            if before < 0:
+                last[end], emitted[end] = token, 1
+            elif fits(last[before], token):
+                last[end], emitted[end] = token, emitted[before] + 1
+        return emitted[-1]
 
 
 class Counter(dict):

@@ -193,7 +193,8 @@ def has_fact(text: Column, fact: Column) -> Column:
 
 
 def contains_facts(text: Column | str, answer: Column | str, compose: bool = True) -> Column:
-    return let(normal_fact(text, compose), lambda t: F.forall(golden_facts(answer, compose), lambda f: has_fact(t, f)))
+    both = F.struct(normal_fact(text, compose).alias("t"), golden_facts(answer, compose).alias("f"))
+    return let(both, lambda x: F.forall(x["f"], lambda f: has_fact(x["t"], f)))
 
 
 # ---- templates

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from loamdex.llm import pretokens
 from loamdex.llm.merges import Merges, ranks_of_tiktoken
 from loamdex.llm.textops import whole
+from loamdex.llm.workers import map_texts
 
 PIECES = 200_000
 
@@ -130,7 +131,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select("doc_id", whole().alias("text")).mapInArrow(run, schema)
+    return map_texts(docs.select("doc_id", whole().alias("text")), run, schema)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:

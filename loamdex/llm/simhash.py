@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamdex.llm.textops import checkpointed, whole
+from loamdex.llm.workers import map_texts
 
 RADIUS, SHINGLE, SEED, PAIRS, STEP = 3, 3, 42, 64, 1 << 16
 
@@ -57,7 +58,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole().alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return map_texts(docs.select("doc_id", whole().alias("text")), run, f"doc_id {kind}, fp long")
 
 
 def _odd(x: Column) -> Column:

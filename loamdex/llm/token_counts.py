@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from loamdex.llm import pretokens
 from loamdex.llm.merges import Merges, ranks_of_json
 from loamdex.llm.textops import whole
+from loamdex.llm.workers import map_texts
 
 CHUNK, PIECES = 1 << 18, 600_000
 
@@ -122,4 +123,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
 
     text = docs.select("doc_id", F.octet_length(whole()).cast("long").alias("n_bytes"), whole().alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return text.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return map_texts(text, run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

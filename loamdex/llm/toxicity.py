@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.llm.textops import checkpointed, whole
+from loamdex.llm.workers import map_texts, releasing, small_batches
 
 #: Labelled rows that the lexicon and the logistic function are fitted on, at most.
 SAMPLE = 10_000
@@ -132,7 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sign, pa.int64())], ["text", "toxic", "sign"])
 
     rows = docs.select("doc_id", whole().alias("text")).join(F.broadcast(own), "doc_id").select("text", "toxic")
-    rows = rows.mapInArrow(signed, "text string, toxic int, sign long")
+    rows = map_texts(rows, signed, "text string, toxic int, sign long")
     # copies share their smallest shingle and would make any word of theirs look toxic
     order = Window.partitionBy("sign", "toxic").orderBy(F.xxhash64("text"))
     rows = checkpointed(rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("text", "toxic"))
@@ -157,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
                     seen.clear()
         yield out()
 
-    kept = rows.mapInArrow(counted, "b string, p long, n long").groupBy("b").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    kept = map_texts(rows, counted, "b string, p long, n long").groupBy("b").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     kept = kept.filter((F.col("p") >= max(MIN_POSITIVE, MIN_SHARE * positive)) & (F.col("p") * negative > F.col("n") * positive * 4))
     lexicon = choose({r["b"]: (r["p"], r["n"]) for r in kept.collect()}, positive, negative)
     x = scored(rows, lexicon, ["toxic"]).collect()  # sample rows at most
@@ -176,7 +177,7 @@ def scored(docs: DataFrame, lexicon: dict[str, float], keep: list[str]) -> DataF
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array([v[k] for v in x], pa.float64()) for k in (0, 1))], [*keep, "x1", "x2"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(whole().alias("text"), *keep).mapInArrow(run, f"{kinds}, x1 double, x2 double")
+    return map_texts(docs.select(whole().alias("text"), *keep), run, f"{kinds}, x1 double, x2 double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -199,10 +200,14 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     lexicon, beta = learn(docs, labels, sample)
     compiled = json.dumps(lexicon)
 
-    @F.pandas_udf("boolean")
-    def toxic(texts):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = automaton(compiled)
-        x = [features(t or "", matcher) for t in texts]
-        return pd.Series([beta[0] + beta[1] * a + beta[2] * b >= 0 for a, b in x], dtype=bool)
+        for texts in batches:
+            yield pd.Series([beta[0] + sum(b * x for b, x in zip(beta[1:], features(t or "", matcher))) >= 0 for t in texts], dtype=bool)
+
+    @F.pandas_udf("boolean")
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from releasing(run)(batches)
 
+    small_batches(docs)
     return docs.filter(~toxic("text"))

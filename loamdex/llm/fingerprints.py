@@ -72,12 +72,14 @@ def upper_neighbours(groups: DataFrame) -> DataFrame:
     low, high = groups.agg(F.min("_group"), F.max("_group")).first()
     if low is None:
         return groups.withColumn("_up", F.col("_group"))
-    out, level = groups.withColumn("_up", F.lit(None).cast("long")), 0
-    while level == 0 or low >> (LEVEL_BITS * level) != high >> (LEVEL_BITS * level):
+    out, top = groups.withColumn("_up", F.lit(None).cast("long")), 63 // LEVEL_BITS
+    for level in range(top + 1):
         own = groups.select(F.shiftright("_group", LEVEL_BITS * level).alias("_g"), "_group").groupBy("_g").agg(F.min("_group").alias("_least"))
-        own = own.withColumn("_to", F.lead("_least").over(Window.partitionBy(F.shiftright("_g", LEVEL_BITS)).orderBy("_g"))).select("_g", "_to")
+        parent = F.shiftright("_g", LEVEL_BITS) if level < top else F.lit(0)  # the sign bit stays through all shifts
+        own = own.withColumn("_to", F.lead("_least").over(Window.partitionBy(parent).orderBy("_g"))).select("_g", "_to")
         out = out.withColumn("_g", F.shiftright("_group", LEVEL_BITS * level)).join(own, "_g", "left").select("_group", F.coalesce("_up", "_to").alias("_up"))
-        level += 1
+        if low >> (LEVEL_BITS * (level + 1)) == high >> (LEVEL_BITS * (level + 1)):
+            break
     return out.withColumn("_up", F.coalesce("_up", F.lit(low)))
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.textops import checkpointed, whole
+from loamdex.llm.textops import checkpointed, text_key, whole
 from loamdex.llm.workers import map_texts
 
 RADIUS, SHINGLE, SEED, PAIRS, STEP = 3, 3, 42, 64, 1 << 16
@@ -50,15 +50,15 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each row; a null text is empty, texts without words have fingerprint 0."""
+    """(doc_id, _key, fp) for each row; a null text is empty, texts without words have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [fingerprint(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = [fingerprint(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64())], ["doc_id", "_key", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(docs.select("doc_id", whole().alias("text")), run, f"doc_id {kind}, fp long")
+    return map_texts(docs.select("doc_id", text_key().alias("_key"), whole().alias("text")), run, f"doc_id {kind}, _key long, fp long")
 
 
 def _odd(x: Column) -> Column:
@@ -130,6 +130,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
+def labelled(docs: DataFrame, pairs: int = PAIRS) -> DataFrame:
+    """(doc_id, _key, fp, root, component_id) of each row; root is the smallest fingerprint of the component."""
+    rows = checkpointed(fingerprints(docs))
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    root = components(links(nodes.select("fp"), pairs)).withColumnRenamed("u", "fp")
+    rooted = nodes.join(root, "fp", "left").withColumn("root", F.coalesce("v", "fp"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = checkpointed(rooted.select("fp", "root").join(ids, "root").select("fp", "root", "component_id"))
+    return rows.join(ids, "fp").select("doc_id", "_key", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, pairs: int = PAIRS) -> DataFrame:
     """Return doc_id, fingerprint (16 hexadecimal digits), component_id.
 
@@ -137,19 +148,16 @@ def near_duplicates(docs: DataFrame, pairs: int = PAIRS) -> DataFrame:
     the row's own included; null only where no doc_id of the component is known. Repeated rows
     and null or empty texts (fingerprint 0) are linked like any other; an empty table gives no rows.
     """
-    rows = checkpointed(fingerprints(docs))
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = components(links(nodes.select("fp"), pairs)).withColumnRenamed("u", "fp")
-    labelled = nodes.join(root, "fp", "left").withColumn("root", F.coalesce("v", "fp"))
-    ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = checkpointed(labelled.select("fp", "root").join(ids, "root").select("fp", "component_id"))
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return labelled(docs, pairs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component stays, that of the smallest doc_id; all columns kept. Rows without a doc_id stay only if no other of theirs has one."""
-    found = near_duplicates(docs)
-    out = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_out")).distinct()
-    kept = docs.join(out, docs["doc_id"].eqNullSafe(out["_out"]), "left_anti")
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One row of each component stays, all columns kept: that of the smallest doc_id, null ids last, then of the smallest text hash."""
+    rows = checkpointed(labelled(docs).select("doc_id", "_key", "root"))
+    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key")
+    stays = rows.groupBy("root").agg(F.min(first).alias("s"))
+    out = rows.join(stays, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("_key") == F.col("s._key"))))
+    out = out.select(F.col("doc_id").alias("_out_id"), F.col("_key").alias("_out_key")).distinct()
+    kept = docs.join(out, docs["doc_id"].eqNullSafe(out["_out_id"]) & (text_key(docs["text"]) == out["_out_key"]), "left_anti")
+    repeated = rows.groupBy("doc_id", "_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

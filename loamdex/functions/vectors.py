@@ -98,20 +98,28 @@ def neighbour_ranks(pairs: DataFrame) -> DataFrame:
     return both_ways(pairs).withColumn("rank", F.rank().over(Window.partitionBy("i").orderBy(F.col("sim").desc())))
 
 
-def topic_metrics(pairs: DataFrame, topics: DataFrame, ignore: tuple = ()) -> DataFrame:
-    """nn_hits, nn_total, nn_agree, same, diff over pairs (i, j, sim) and topics (id, topic).
+def topic_metrics(vectors: DataFrame, ignore: tuple = (), id: str = "vec_id", vector: str = "embedding", topic: str = "label") -> DataFrame:
+    """One row: nn_hits, nn_total, nn_agree, same, diff.
 
-    Topics of one member and those in ignore have no say in the nearest-neighbour agreement; of equal neighbours the one of smaller id counts.
+    Mean similarities within and across topics need no pairs: the similarities of all pairs of a set add
+    up to half of (the squared length of the sum of its unit vectors, less its size). Nearest neighbours
+    are searched for exactly, in blocks. Topics of one member and those in ignore have no say in their
+    agreement; of equal neighbours the one of smaller id counts.
     """
-    size = topics.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
-    t = topics.join(size, "topic")
-    ti, tj = t.select(F.col("id").alias("i"), F.col("topic").alias("ti"), "n"), topics.select(F.col("id").alias("j"), F.col("topic").alias("tj"))
-    both = both_ways(pairs).join(ti, "i").join(tj, "j")
-    same = F.col("ti").eqNullSafe(F.col("tj"))
-    nearest = both.groupBy("i", "ti", "n").agg(F.max_by("tj", F.struct("sim", -F.col("j"))).alias("nn"), F.sum(F.when(same, F.col("sim"))).alias("s"), F.count_if(same).alias("sn"), F.sum(F.when(~same, F.col("sim"))).alias("d"), F.count_if(~same).alias("dn"))
-    counts = (F.col("n") >= 2) & (~F.col("ti").isin(*ignore) if ignore else F.lit(True))
-    out = nearest.agg(F.count_if(counts & (F.col("nn") == F.col("ti"))).alias("nn_hits"), F.count_if(counts).alias("nn_total"), *[F.sum(c).alias(c) for c in ("s", "sn", "d", "dn")])
-    return out.select("nn_hits", "nn_total", F.try_divide("nn_hits", "nn_total").alias("nn_agree"), F.try_divide("s", "sn").alias("same"), F.try_divide("d", "dn").alias("diff"))
+    from loamdex.operators.retrieval import vector_search
+
+    unit = vectors.select(F.col(id).alias("id"), F.col(topic).alias("topic"), normalize(vector).alias("v"))
+    parts = unit.select("topic", "id", F.posexplode("v").alias("i", "x")).groupBy("topic", "i").agg(F.sum("x").alias("x"))
+    size = unit.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.sum(dot("v", "v")).alias("own"))
+    within = parts.groupBy("topic").agg(F.sum(F.col("x") * F.col("x")).alias("q")).join(size, "topic").agg(F.sum((F.col("q") - F.col("own")) / 2).alias("s"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("sn"), F.sum("n").alias("n"), F.sum("own").alias("own"))
+    total = parts.groupBy("i").agg(F.sum("x").alias("x")).agg(F.sum(F.col("x") * F.col("x")).alias("q"))
+    means = within.join(F.broadcast(total)).select(F.try_divide("s", "sn").alias("same"), F.try_divide((F.col("q") - F.col("own")) / 2 - F.col("s"), F.col("n") * (F.col("n") - 1) / 2 - F.col("sn")).alias("diff"))
+    nearest = vector_search(vectors, vectors.select(F.col(id).alias("qid"), vector), 1, id, vector, skip_self=True)
+    asked = unit.select(F.col("id").alias("qid"), F.col("topic").alias("ti")).join(size.select(F.col("topic").alias("ti"), "n"), "ti").filter(F.col("n") >= 2)
+    asked = asked.filter(~F.col("ti").isin(*ignore)) if ignore else asked
+    met = asked.join(nearest.select("qid", "id"), "qid", "left").join(unit.select("id", "topic"), "id", "left")
+    hits = met.agg(F.count_if(F.col("topic").eqNullSafe(F.col("ti"))).alias("nn_hits"), F.count(F.lit(1)).alias("nn_total"))
+    return hits.join(F.broadcast(means)).select("nn_hits", "nn_total", F.try_divide("nn_hits", "nn_total").alias("nn_agree"), "same", "diff")
 
 
 def pca2(vectors: DataFrame, vector: str = "embedding") -> tuple[list[list[float]], list[float], list[float]]:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.functions.text import _c, trim_blank
+from loamdex.functions.text import _c
 
 #: Separators from coarse to fine; the empty one is a cut anywhere.
 SEPARATORS = ("\n\n", "\n", ". ", "다. ", " ", "")
@@ -143,7 +143,7 @@ def chunk(docs: DataFrame, config: ChunkConfig = ChunkConfig(), id: str = "doc_i
     """
     own = docs.withColumn("_spans", fixed_spans(text, config.size, config.overlap) if config.strategy == "fixed" else cut_spans(config)(F.col(text)))
     if config.strategy == "fixed":
-        own = own.withColumn("_spans", F.filter("_spans", lambda s: trim_blank(F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])) != ""))
+        own = own.withColumn("_spans", F.filter("_spans", lambda s: F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"]).rlike(r"(?U)\S")))
     names = [F.col(id).alias("doc"), *([F.col(title).alias("_title")] if title else [])]
     out = own.select(*names, F.col(text).alias("_text"), F.posexplode("_spans").alias("index", "_s"))
     body = F.substring("_text", F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start"))

@@ -38,9 +38,13 @@ class Bm25Index:
     tokenizer: Callable[[Column], Column] = tokenize
 
     @staticmethod
-    def build(texts: DataFrame, id: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, tokenizer: Callable[[Column], Column] = tokenize) -> Bm25Index:
+    def build(texts: DataFrame, id: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, tokenizer: Callable[[Column], Column] = tokenize, only: DataFrame | None = None) -> Bm25Index:
+        """only (term): keep postings of these terms alone, for searches that need no others; they are dropped before anything is shuffled, and scores stay the same."""
         tokens = texts.select(F.col(id).alias("id"), F.coalesce(tokenizer(F.col(text)), F.array().cast("array<string>")).alias("_t"))
-        postings = tokens.select("id", F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+        # an outer explode: for others, the optimizer also tokenizes in a filter
+        words = tokens.select("id", F.size("_t").alias("len"), F.explode_outer("_t").alias("term"))
+        words = words.filter("term is not null") if only is None else words.join(only.select("term").distinct(), "term", "left_semi")
+        postings = words.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
         size = tokens.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_t")).alias("total"))
         return Bm25Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), size, k1, b, tokenizer)
 
@@ -55,10 +59,15 @@ class Bm25Index:
         """(term, df, idf, avg): ln(1 + (N - df + 0.5) / (df + 0.5)). The collection's size is one row."""
         return self.frequencies.join(F.broadcast(self.size)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.when(F.col("total") > 0, F.col("total") / F.col("n")).otherwise(1.0).alias("avg"))
 
+    @staticmethod
+    def terms(queries: DataFrame, qid: str = "qid", question: str = "question", tokenizer: Callable[[Column], Column] = tokenize) -> DataFrame:
+        """(qid, term): the distinct terms of each query."""
+        return queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(tokenizer(F.col(question)))).alias("term"))
+
     def scores(self, queries: DataFrame, qid: str = "qid", question: str = "question") -> DataFrame:
         """(qid, id, score) of all texts that share a term with a query; distinct query terms count once."""
-        terms = queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(self.tokenizer(F.col(question)))).alias("term"))
         # the terms asked for cut postings down before anything is scored
+        terms = self.terms(queries, qid, question, self.tokenizer)
         met = self.postings.join(self.idf().join(terms, "term"), "term")
         part = F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("len") / F.col("avg")))
         return met.groupBy("qid", "id").agg(F.round(F.sum(part), DIGITS).alias("score")).filter("score > 0")
@@ -85,7 +94,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str =
     A block's queries are a matrix that all tasks get; each partition multiplies its batches with it and
     keeps k rows a query, so the shuffle carries k rows a query and partition. A zero vector scores 0.
     """
-    out = None
+    out, wide = None, k + skip_self  # a query's own row takes a place before it is left out
     kind = vectors.schema[id].dataType.simpleString()
     # distinct blocks by the queries' order; a block is bounded, their number follows the query set
     rows = queries.select("qid", F.col(vector).alias("v")).toLocalIterator()
@@ -100,7 +109,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str =
                 ids, m = batch.column(0).to_pylist(), _unit(_matrix(batch.column(1), q.shape[1]))
                 scores = np.round(q @ m.T, DIGITS) if len(ids) else np.zeros((len(names), 0))
                 for i, row in enumerate(scores):
-                    cut = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                    cut = np.partition(row, -wide)[-wide] if len(row) > wide else -np.inf
                     found = [(row[j], -ids[j] if isinstance(ids[j], int) else 0, ids[j]) for j in np.flatnonzero(row >= cut).tolist() if not (skip_self and ids[j] == names[i])]
                     best[i] = heapq.nlargest(k, best[i] + found, key=lambda x: x[:2])
             flat = [(n, x[2], float(x[0])) for n, own in zip(names, best) for x in own]

@@ -30,7 +30,8 @@ def keyword_index(spark: SparkSession, folder: str, k1: float = 1.5, b: float =
 
 
 def runs(spark: SparkSession, folder: str, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    return keyword_index(spark, folder, k1, b).search(questions(spark, folder), k)
+    asked = questions(spark, folder)
+    return Bm25Index.build(documents(spark, folder), k1=k1, b=b, only=Bm25Index.terms(asked)).search(asked, k)
 
 
 #: The same in SQL.

@@ -209,9 +209,7 @@ n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), nn AS (SELECT
 a AS (SELECT count(*) FILTER (ti = tj) AS nn_hits, count(*) AS nn_total FROM nn JOIN n ON label = ti WHERE n >= 2), m AS (SELECT avg(sim) FILTER (ti = tj) AS same, avg(sim) FILTER (ti <> tj) AS diff FROM p)
 SELECT nn_hits, nn_total, round(nn_hits / CAST(nn_total AS DOUBLE), 6) AS nn_agree, round(same, 6) AS same, round(diff, 6) AS diff FROM a, m""")
 def topic_separation(spark: SparkSession, folder: str) -> DataFrame:
-    v = _vectors(spark, folder)
-    pairs = similarity_pairs(v).withColumn("sim", F.round("sim", 9))
-    return _round(topic_metrics(pairs, v.select(F.col("vec_id").alias("id"), F.col("label").alias("topic"))), "nn_agree", "same", "diff")
+    return _round(topic_metrics(_vectors(spark, folder)), "nn_agree", "same", "diff")
 
 
 @plan(f"WITH {VECTORS_SQL}, p AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e), 9) AS sim FROM u a, u b WHERE a.vec_id <> b.vec_id AND a.label = 3 AND b.label = 3) SELECT i, j, round(sim, 6) AS sim, rank() OVER (PARTITION BY i ORDER BY p.sim DESC) AS rank FROM p")

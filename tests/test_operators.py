@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from loamdex.functions import vectors as V2
 from loamdex.operators import answers as A
 from loamdex.operators import chunking as K
 from loamdex.operators import conversation as V
@@ -92,7 +93,18 @@ def test_vector_search(spark):
     q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
     exact = vector_search(v, q, 5).cache()
     assert exact.count() == 60 and all(r.id == r.qid and r.score == 1.0 for r in exact.filter("rank = 1").collect())
-    assert vector_search(v, q, 5, skip_self=True).filter("id = qid").count() == 0
+    others = vector_search(v, q, 4, skip_self=True)
+    assert sorted((r.qid, r.id) for r in others.collect()) == sorted((r.qid, r.id) for r in exact.filter("rank > 1").collect())
+    topics = v.withColumn("label", F.col("vec_id") % 3).filter("vec_id < 90")
+    pairs = V2.similarity_pairs(topics).collect()
+    same = [p.sim for p in pairs if p.i % 3 == p.j % 3]
+    near = {}
+    for p in pairs:
+        for i, j in ((p.i, p.j), (p.j, p.i)):
+            near[i] = max(near.get(i, (-2, 0)), (round(p.sim, 9), -j))
+    m = V2.topic_metrics(topics).first()
+    assert abs(m.same - sum(same) / len(same)) < 1e-9 and m.nn_total == 90 and m.nn_hits == sum(-j % 3 == i % 3 for i, (_, j) in near.items())
+    assert abs(m["diff"] - sum(p.sim for p in pairs if p.i % 3 != p.j % 3) / (len(pairs) - len(same))) < 1e-9
     assert list_recall(IvfIndex(v, 16).search(q, 5, 8), exact, 5).agg(F.avg("recall")).first()[0] >= 0.9
     assert list_recall(GraphIndex(v, 3).search(q, 5, 32), exact, 5).agg(F.avg("recall")).first()[0] >= 0.9
     bad = v.unionByName(spark.createDataFrame([(9999, [1.0])], "vec_id long, embedding array<float>"))

@@ -357,3 +357,18 @@ def _mark(text: str, tokens: list[str]) -> list[dict]:
 def marked(text: pd.Series, tokens: pd.Series) -> pd.Series:
     """Arrow. A text in stretches, told apart by whether some token covers them."""
     return pd.Series([_mark(t, list(k)) if t is not None and k is not None else None for t, k in zip(text, tokens)])
+
+
+def group_pieces(tokens: list[bytes], most: int = 8) -> list[tuple[str, int]]:
+    """(text, tokens) of byte-level tokens, grouped until they decode; most tokens at once, then as they are, with replacement characters."""
+    out, held = [], []
+    for i, token in enumerate(tokens):
+        held.append(token)
+        try:
+            out.append((b"".join(held).decode("utf-8"), len(held)))
+            held = []
+        except UnicodeDecodeError:
+            if len(held) == most or i == len(tokens) - 1:
+                out.append((b"".join(held).decode("utf-8", "replace"), len(held)))
+                held = []
+    return out

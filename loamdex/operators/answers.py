@@ -51,6 +51,16 @@ def judge_prompt(texts: Column, answer: Column) -> Column:
     return F.concat(F.lit("Sources:\n"), numbered(texts), F.lit("\n\nAnswer:\n"), answer, F.lit("\n\nSplit the answer into claims and judge each by the sources. Reply with this JSON only:\n" + JUDGE_FORMAT))
 
 
+def variants(rows: DataFrame, templates: dict[str, tuple[str, str]], values: dict[str, Column]) -> DataFrame:
+    """rows once for each named variant (system and user template), with variant, system and user filled in."""
+    from functools import reduce
+
+    from loamdex.functions.text import fill_template
+
+    made = [rows.select("*", F.lit(n).alias("variant"), fill_template(s, values).alias("system"), fill_template(u, values).alias("user")) for n, (s, u) in templates.items()]
+    return reduce(DataFrame.unionByName, made)
+
+
 # ---- generation
 
 
@@ -107,6 +117,28 @@ class OverlapGenerator:
         return prompts.join(best, "qid", "left").withColumn("answer", F.coalesce(found, F.lit(REFUSED))).drop("_b")
 
 
+class GuessingGenerator:
+    """Stand-in for a model without sources: one of some plausible values, by a seeded hash; with texts, the sentence that shares most character pairs."""
+
+    def __init__(self, guesses: list[str], seed: int = 42):
+        self.guesses, self.seed = guesses, seed
+
+    def generate(self, prompts: DataFrame) -> DataFrame:
+        """prompts (qid, question, texts, null texts for none) with answer and cite (the sentence it rests on, null for a guess)."""
+        from loamdex.functions.text import bigrams
+
+        pick = F.get(F.array(*map(F.lit, self.guesses)), F.pmod(F.xxhash64(F.lit(self.seed), "qid"), F.lit(len(self.guesses))).cast("int"))
+        parts = prompts.select("qid", F.array_distinct(bigrams(squeeze("question"))).alias("_q"), F.explode("texts").alias("_t")).select("qid", "_q", F.posexplode(F.split("_t", r"(?<=[.!?])\s+")).alias("_i", "_s"))
+        shared = F.size(F.array_intersect("_q", bigrams(squeeze("_s"))))
+        best = parts.groupBy("qid").agg(F.max_by(trim_blank("_s"), F.struct(shared, -F.col("_i"))).alias("cite"))
+        return prompts.join(best, "qid", "left").withColumn("answer", F.coalesce("cite", pick))
+
+
+def verifiable(cite: Column, source: Column, fact: Column) -> Column:
+    """Whether a citation is there, stands in the source word for word, and holds the fact."""
+    return F.coalesce(F.contains(source, cite) & F.contains(squeeze(cite), squeeze(fact)), F.lit(False))
+
+
 def saved_answers(hits: DataFrame, saved: DataFrame, fallback: str) -> DataFrame:
     """(qid, answer, verdict): the recorded answer for found or missed evidence. hits (qid, rank, 0 for none); saved (qid, hit, miss structs of text, verdict)."""
     rows = hits.join(saved, "qid", "left")

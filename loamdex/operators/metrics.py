@@ -140,3 +140,9 @@ def cost(tokens: Column, window: int, price: float, per: int = 1_000_000) -> Col
 def mean_of(metrics: list[DataFrame], names: list[str]) -> DataFrame:
     """One row a configuration, named."""
     return reduce(DataFrame.unionByName, [m.withColumn("config", F.lit(n)) for m, n in zip(metrics, names)])
+
+
+def sorted_board(rows: DataFrame, by: str, name: str, descending: bool = True, locale: str = "ko") -> DataFrame:
+    """rows by a column, equal ones by name in the order of a language."""
+    first = F.col(by).desc() if descending else F.col(by).asc()
+    return rows.orderBy(first, F.collate(F.col(name), locale))

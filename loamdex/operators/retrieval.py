@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -281,6 +282,72 @@ class SmallWorld:
         return self._beam(q, at, max(beam, k), self.layers[0])[:k]
 
 
+class Retriever(Protocol):
+    """Queries (qid, question) to ranked lists (qid, id, score, rank)."""
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame: ...
+
+
+@dataclass
+class VectorRetriever:
+    """Texts (id, text) behind an embedder, searched exactly."""
+
+    texts: DataFrame
+    embedder: object
+
+    def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        own = self.texts.select(F.col("id").alias("vec_id"), self.embedder.embed(F.col("text")).alias("embedding"))
+        return vector_search(own, queries.select("qid", self.embedder.embed(F.col("question")).alias("embedding")), k)
+
+
+@dataclass
+class HybridRetriever:
+    """Reciprocal rank fusion of the pool best of each retriever."""
+
+    retrievers: list
+    pool: int = 10
+
+    def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        from loamdex.operators.fusion import reciprocal_rank_fusion
+
+        return reciprocal_rank_fusion([r.search(queries, self.pool) for r in self.retrievers], top=k).drop("ranks")
+
+
+def evidence_rank(runs: DataFrame, chunks: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(qid, rank) of the first chunk of a list that holds one of the question's quotes; 0 for none. chunks (id, doc, text), evidence (qid, doc, quote)."""
+    met = runs.join(chunks.select("id", "doc", "text"), "id").join(evidence, ["qid", "doc"]).filter(F.contains("text", "quote"))
+    first = met.groupBy("qid").agg(F.min("rank").alias("rank"))
+    return evidence.select("qid").distinct().join(first, "qid", "left").select("qid", F.coalesce("rank", F.lit(0)).alias("rank"))
+
+
+def relevant_ids(chunks: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(qid, id) of the chunks of a quote's document that hold it."""
+    return chunks.select("id", "doc", "text").join(evidence, "doc").filter(F.contains("text", "quote")).select("qid", "id").distinct()
+
+
+def with_scores(wanted: DataFrame, ranked: DataFrame) -> DataFrame:
+    """wanted (qid, id, ...) with the score of a ranked list, 0 where it isn't in it."""
+    return wanted.join(ranked.select("qid", "id", "score"), ["qid", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def simulate(docs: DataFrame, questions: DataFrame, evidence: DataFrame, config, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row: chunks, hit, mrr, context (mean characters of a question's k chunks), density (first quote's share of them).
+
+    Chunk, index, search and score in one plan. questions (qid, question), evidence (qid, doc, quote).
+    """
+    from loamdex.operators.chunking import chunk
+
+    own = chunk(docs, config, id, text).select(F.col("chunk_id").alias("id"), "doc", "text")
+    runs = Bm25Index.build(own, "id", "text", only=Bm25Index.terms(questions)).search(questions, config.k)
+    size = runs.join(own.select("id", F.char_length("text").alias("n")), "id").groupBy("qid").agg(F.sum("n").alias("n"))
+    quote = evidence.groupBy("qid").agg(F.min_by(F.char_length("quote"), "doc").alias("q"))
+    found = evidence_rank(runs, own, evidence)
+    rows = questions.select("qid").join(found, "qid", "left").join(size, "qid", "left").join(quote, "qid", "left")
+    rank, n = F.coalesce("rank", F.lit(0)), F.coalesce("n", F.lit(0))
+    out = rows.agg(F.avg((rank > 0).cast("int")).alias("hit"), F.avg(F.when(rank > 0, 1 / rank).otherwise(0.0)).alias("mrr"), F.floor(F.avg(n) + 0.5).alias("context"), F.avg(F.coalesce(F.try_divide(F.col("q"), n), F.lit(0.0))).alias("density"))
+    return out.join(F.broadcast(own.agg(F.count(F.lit(1)).alias("chunks")))).select("chunks", "hit", "mrr", "context", "density")
+
+
 def list_recall(approximate: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """(qid, recall): the share of the exact k best that the approximate list has."""
     hits = exact.join(approximate.select("qid", "id").distinct().withColumn("hit", F.lit(1)), ["qid", "id"], "left")

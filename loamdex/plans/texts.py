@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamdex.functions import cleaning
+from loamdex.functions.diffs import diff
 from loamdex.functions.html import html_to_text
 from loamdex.functions.text import char_bigram_jaccard, citations, code_lines, contains_term, count_visible, escape_html, estimate_tokens, key_tokens, question_jaccard, sentences, strip_citations, window_share
 from loamdex.operators import answers, conversation, quiz
 from loamdex.operators.chunking import ChunkConfig, chunk, chunk_stats, cover, holders, overlap_cost, quote_spans, survival
 from loamdex.operators.matching import containing
 from loamdex.operators.metrics import cost
-from loamdex.plans.common import documents
+from loamdex.operators.retrieval import simulate
+from loamdex.plans.common import documents, questions
 from loamdex.sources.readers import pages_of, paragraph, table
 
 QUERIES, SQL = {}, {}
@@ -190,6 +192,43 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     return pages_of(documents(spark, folder)).select("doc", "page", F.char_length("text").alias("n_chars"))
 
 
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Five lines of a document are a page."""
+    lines = documents(spark, folder).select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("i", "l"))
+    pages = lines.groupBy("doc", F.floor(F.col("i") / 5).alias("page")).agg(F.sort_array(F.collect_list(F.struct("i", "l"))).alias("x"))
+    return pages.select("doc", "page", F.array_join("x.l", "\n").alias("text"))
+
+
+@plan(r"""WITH l AS (SELECT doc_id AS doc, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT doc, (i - 1) // 5 AS page, trim(regexp_replace(regexp_replace(l[i], '[0-9]+', '#', 'g'), '\s+', ' ', 'g')) AS key FROM l, unnest(generate_series(1, len(l))) AS u(i)),
+n AS (SELECT doc, key, count(DISTINCT page) AS n FROM p WHERE key <> '' GROUP BY doc, key), s AS (SELECT doc, count(DISTINCT page) AS pages FROM p GROUP BY doc) SELECT doc, key FROM n JOIN s USING (doc) WHERE n >= greatest(2, ceil(pages * 0.5))""")
+def lines_across_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return cleaning.repeated_across_pages(_pages(spark, folder))
+
+
+@plan("""SELECT item_id, doc_id AS doc, CASE WHEN contains(documents.text, benchmark.text) THEN 'present' WHEN contains(regexp_replace(documents.text, '\\s+', '', 'g'), regexp_replace(benchmark.text, '\\s+', '', 'g')) THEN 'spaced' ELSE 'absent' END AS state FROM benchmark JOIN documents ON doc_id = item_id""")
+def fact_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each passage is in the document of the same number."""
+    checks = table(spark, folder, "benchmark").select(F.col("item_id").alias("doc"), "item_id", F.col("text").alias("needle"))
+    return cleaning.check_facts(documents(spark, folder), checks).select("item_id", "doc", "state")
+
+
+@plan()
+def cleaning_diffs(spark: SparkSession, folder: str) -> DataFrame:
+    """What the cleaning steps changed in each document. Comparing is quadratic in the changed part, so documents are dealt out anew first."""
+    docs = documents(spark, folder).select("doc_id", "text", F.col("text").alias("raw"))
+    cleaned = cleaning.clean(docs, cleaning.RECOMMENDED_ELSE).repartition("doc_id")
+    return cleaned.select("doc_id", "counts", diff("raw", "text").alias("runs"))
+
+
+@plan()
+def retrieval_simulation(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunk settings compared by hit, rank, context and density."""
+    quotes = _quotes(spark, folder).select("qid", "doc", "quote")
+    configs = [ChunkConfig("recursive", 150, 20, k=3), ChunkConfig("fixed", 300, 60, k=3)]
+    rows = [simulate(documents(spark, folder), questions(spark, folder), quotes, c).withColumn("strategy", F.lit(c.strategy)) for c in configs]
+    return rows[0].unionByName(rows[1])
+
+
 # ---- scalars
 
 

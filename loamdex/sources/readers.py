@@ -97,3 +97,15 @@ def pages_of(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
 def shuffled(rows: DataFrame, seed: str | int, key: str) -> DataFrame:
     """rows with a seeded random order number; the same for the same seed."""
     return rows.withColumn("order", F.xxhash64(F.lit(str(seed)), key))
+
+
+def ranked_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, id, score, rank) of lists that were computed before: one JSON object with vector: {question: [{id, score}]}."""
+    schema = "vector map<string,array<struct<id:string,score:double>>>"
+    lists = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("vector").alias("qid", "list"))
+    return lists.select("qid", F.posexplode("list").alias("rank", "r")).select("qid", "r.id", "r.score", (F.col("rank") + 1).alias("rank"))
+
+
+def chunks_of(chunks: DataFrame, doc) -> DataFrame:
+    """All chunks of a document in order, without a search."""
+    return chunks.filter(F.col("doc") == doc).orderBy("index")

@@ -10,15 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loamdex.llm import byte_bpe, decontaminate, pii, queries, simhash, toxicity
 from loamdex.llm.textops import checkpointed
+from loamdex.session import visible
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity scorer rejects go; clean ones stay as they are."""
+    visible(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays, the one of the smallest id."""
+    visible(spark)
     return simhash.drop_near_duplicates(docs)
 
 
@@ -34,6 +37,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the remaining texts: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    visible(spark)
     return byte_bpe.encode_documents(docs, queries.vocabulary("byte_bpe_50k.tiktoken"))
 
 

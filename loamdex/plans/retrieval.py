@@ -131,7 +131,7 @@ def graded_ndcg(spark: SparkSession, folder: str) -> DataFrame:
     return _round(metrics.per_query(runs(spark, folder), rel, questions(spark, folder), 5).select("qid", "ndcg"), "ndcg")
 
 
-@plan(f"""WITH {QUESTIONS_SQL}, {EVIDENCE_SQL}, {runs_sql()}, {EVALUATED}, s AS (SELECT sum(hit) AS hits, count(*) AS n FROM per), p AS (SELECT *, hits / CAST(n AS DOUBLE) AS p, 1 + 1.96 * 1.96 / n AS d FROM s)
+@plan(f"""WITH {QUESTIONS_SQL}, {EVIDENCE_SQL}, {runs_sql()}, {EVALUATED}, s AS (SELECT CAST(sum(hit) AS BIGINT) AS hits, count(*) AS n FROM per), p AS (SELECT *, hits / CAST(n AS DOUBLE) AS p, 1 + 1.96 * 1.96 / n AS d FROM s)
 SELECT hits, n, round(greatest(0, (p + 1.96 * 1.96 / (2 * n)) / d - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) / d), 6) AS low, round(least(1, (p + 1.96 * 1.96 / (2 * n)) / d + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) / d), 6) AS high FROM p""")
 def wilson_interval(spark: SparkSession, folder: str) -> DataFrame:
     out = metrics.per_query(runs(spark, folder), evidence(spark, folder), questions(spark, folder), 10).agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n"))

@@ -49,13 +49,13 @@ def chunk_fixed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @plan(f"""WITH {fixed_sql(300, 60)}, n AS (SELECT doc, "end" - start AS n FROM chunk)
-SELECT doc_id AS doc, count(n) AS count, coalesce(floor(avg(n) + 0.5), 0) AS avg, coalesce(min(n), 0) AS min, coalesce(max(n), 0) AS max, round(coalesce(greatest(sum(n) - any_value(length(text)), 0) / CAST(any_value(length(text)) AS DOUBLE), 0), 9) AS duplicated FROM documents LEFT JOIN n ON doc = doc_id GROUP BY doc_id""")
+SELECT doc_id AS doc, count(n) AS count, CAST(coalesce(floor(avg(n) + 0.5), 0) AS BIGINT) AS avg, coalesce(min(n), 0) AS min, coalesce(max(n), 0) AS max, round(coalesce(greatest(sum(n) - any_value(length(text)), 0) / CAST(any_value(length(text)) AS DOUBLE), 0), 9) AS duplicated FROM documents LEFT JOIN n ON doc = doc_id GROUP BY doc_id""")
 def chunk_statistics(spark: SparkSession, folder: str) -> DataFrame:
     out = chunk_stats(chunk(documents(spark, folder), FIXED), documents(spark, folder))
     return out.withColumn("duplicated", F.round("duplicated", 9))
 
 
-@plan(f"""WITH {fixed_sql(300, 60)} SELECT (SELECT count(*) FROM chunk) AS chunks, (SELECT sum(length(text)) FROM documents) AS doc_chars, (SELECT sum("end" - start) FROM chunk) AS chunk_chars,
+@plan(f"""WITH {fixed_sql(300, 60)} SELECT (SELECT count(*) FROM chunk) AS chunks, (SELECT CAST(sum(length(text)) AS BIGINT) FROM documents) AS doc_chars, (SELECT CAST(sum("end" - start) AS BIGINT) FROM chunk) AS chunk_chars,
 round((SELECT sum("end" - start) FROM chunk) / CAST((SELECT sum(length(text)) FROM documents) AS DOUBLE) - 1, 9) AS extra""")
 def overlap_costs(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_cost(chunk(documents(spark, folder), FIXED), documents(spark, folder)).withColumn("extra", F.round("extra", 9))
@@ -170,7 +170,7 @@ def secret_scrub(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @plan("""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents)
-SELECT doc_id, sum(CASE WHEN regexp_matches(s, '(?i)(이전|앞의|위의|모든)\\s*(지시|명령|규칙).{0,6}무시|ignore\\s+(all\\s+)?(previous|prior|above)') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(s, '(?i)\\b(AI|LLM|assistant|model)\\b|너는|당신은|조교는|모델은') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(s, '(?i)지금부터|from now on') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(s, '(?i)라고만|답하라|출력하라|reveal|system prompt|시스템 프롬프트') THEN 1 ELSE 0 END) AS score FROM s GROUP BY doc_id""")
+SELECT doc_id, CAST(sum(CASE WHEN regexp_matches(s, '(?i)(이전|앞의|위의|모든)\\s*(지시|명령|규칙).{0,6}무시|ignore\\s+(all\\s+)?(previous|prior|above)') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(s, '(?i)\\b(AI|LLM|assistant|model)\\b|너는|당신은|조교는|모델은') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(s, '(?i)지금부터|from now on') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(s, '(?i)라고만|답하라|출력하라|reveal|system prompt|시스템 프롬프트') THEN 1 ELSE 0 END) AS BIGINT) AS score FROM s GROUP BY doc_id""")
 def injection_scores(spark: SparkSession, folder: str) -> DataFrame:
     rows = documents(spark, folder).select("doc_id", F.explode(F.split("text", "\n")).alias("s"))
     return rows.groupBy("doc_id").agg(F.sum(cleaning.injection_score("s")).alias("score"))
@@ -335,9 +335,10 @@ def conv_rewrite(spark: SparkSession, folder: str) -> DataFrame:
 
 @plan()
 def quiz_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Items from documents with numbers, verified against them."""
+    """Items from the first documents with numbers, verified against them."""
     docs = documents(spark, folder)
-    sources = docs.filter(F.col("text").rlike(r"\d{2,}%|version \d")).select(F.dense_rank().over(Window.orderBy("doc_id")).alias("rank"), F.col("doc_id").cast("string").alias("id"), "text").limit(20)
+    first = docs.filter(F.col("text").rlike(r"\d{2,}%|version \d")).orderBy("doc_id").limit(20)  # as a search would hand over its best
+    sources = first.select(F.row_number().over(Window.orderBy("doc_id")).alias("rank"), F.col("doc_id").cast("string").alias("id"), "text")
     items = quiz.generate(sources, quiz.pools(docs), 10, "normal", 7).withColumn("n", F.substring("id", 2, 9).cast("int"))
     chunks = sources.select(F.col("id").alias("chunk_id"), F.col("id").alias("doc"), "text")
     return quiz.verify(items, chunks).select("id", "question", "answer", "choices", "chunk", "checks", "status")

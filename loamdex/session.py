@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +22,12 @@ def session(name: str = "loamdex", master: str | None = None, **conf: str) -> Sp
     for key, value in (defaults | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def visible(spark: SparkSession) -> SparkSession:
+    """spark, with this package on the path of Python workers that share the driver's disk, wherever the driver was started. On a cluster, ship it with --py-files."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    return spark

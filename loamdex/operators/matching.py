@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ANCHOR, MOST_SHORT = 3, 10_000
+ANCHOR, MOST_SHORT, SET_QUOTES = 3, 10_000, 20_000
 
 
 def _windows(words: Column) -> Column:
@@ -17,21 +17,33 @@ def containing(docs: DataFrame, quotes: DataFrame, id: str = "doc_id", text: str
     """(qid, id) for each quote (qid, quote) and document that holds it.
 
     A quote's inner words stand as whole words wherever it occurs, so its second to fourth word are an
-    anchor that a document must have. Documents give each distinct anchor once; quotes are few and are
-    sent around as long as the optimizer finds them small. Quotes without three inner words (MOST_SHORT
-    at most) are tried on every document. Empty quotes are held by none.
+    anchor that a document must have. Up to SET_QUOTES quotes, the anchors are a set that the scan looks
+    windows up in, and only documents with a hit go on, with their text; more quotes are joined by anchor.
+    Quotes without three inner words (MOST_SHORT at most) are tried on every document. Empty quotes are
+    held by none.
     """
     q = quotes.filter(F.col("quote") != "").withColumn("_w", F.split("quote", r"\s+"))
     inner = F.slice("_w", 2, ANCHOR)
     long = q.filter(F.size("_w") >= ANCHOR + 2).select("qid", "quote", F.xxhash64(inner).alias("_a"))
     short = q.filter(F.size("_w") < ANCHOR + 2).select("qid", "quote")
     anchors = docs.withColumn("_w", F.split(text, r"\s+")).select(F.col(id).alias("id"), F.col(text).alias("_text"), _windows(F.col("_w")).alias("_h"))
+    known = [r["_a"] for r in long.select("_a").distinct().limit(SET_QUOTES + 1).collect()]
+    if len(known) <= SET_QUOTES:
+        listed = ", ".join(f"{h}L" if h != -(2**63) else "bigint('-9223372036854775808')" for h in known) or "null"
+        met = anchors.select("id", "_text", F.explode_outer(F.expr(f"array_distinct(filter(_h, h -> h IN ({listed})))")).alias("_a"))
+        found = met.join(long, "_a").filter(F.contains("_text", "quote")).select("qid", "id").distinct()
+        return _with_short(found, docs, short, id, text)
     # ids first: texts aren't copied for each window
     met = anchors.select("id", F.explode_outer("_h").alias("_a")).join(long.select("qid", "_a"), "_a").select("id", "qid").distinct()
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("_text"))
     found = texts.join(met.join(long, "qid"), "id").filter(F.contains("_text", "quote")).select("qid", "id")
+    return _with_short(found, docs, short, id, text)
+
+
+def _with_short(found: DataFrame, docs: DataFrame, short: DataFrame, id: str, text: str) -> DataFrame:
     if short.isEmpty():
         return found
     if short.count() > MOST_SHORT:
         raise ValueError(f"over {MOST_SHORT} quotes of fewer than {ANCHOR + 2} words")
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("_text"))
     return found.unionByName(texts.join(F.broadcast(short), F.contains("_text", "quote")).select("qid", "id"))

@@ -15,6 +15,7 @@ from loamdex.operators import metrics as M
 from loamdex.operators import quiz as Z
 from loamdex.operators import selfquery as S
 from loamdex.operators import validators as D
+from loamdex.operators import matching
 from loamdex.operators.matching import containing
 from loamdex.operators.retrieval import Bm25Index, GraphIndex, IvfIndex, generated_vectors, list_recall, vector_search
 
@@ -61,10 +62,12 @@ def test_overlap_costs(spark):
     assert (s["count"], s.avg, s.min, s.max, s.duplicated) == (100, 300, 300, 300, 0.0)
 
 
-def test_evidence(spark):
+def test_evidence(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "nothing here")], "doc_id long, text string")
     quotes = spark.createDataFrame([(0, "three four five six seven"), (1, "ten"), (2, ""), (3, "wo three four five six sev")], "qid long, quote string")
     assert sorted(map(tuple, containing(docs, quotes).collect())) == [(0, 1), (1, 1), (3, 1)]
+    monkeypatch.setattr(matching, "SET_QUOTES", 0)
+    assert sorted(map(tuple, containing(docs, quotes).collect())) == [(0, 1), (1, 1), (3, 1)]
     q = quotes.filter("qid = 0").select(F.lit(1).cast("long").alias("doc"), "qid", "quote")
     rates = {(r.strategy, r["size"]): r.rate for r in K.survival(docs, q, [K.ChunkConfig("fixed", 10), K.ChunkConfig("fixed", 60)]).collect()}
     assert rates == {("fixed", 10): 0.0, ("fixed", 60): 1.0}

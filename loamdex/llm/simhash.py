@@ -131,14 +131,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def labelled(docs: DataFrame, pairs: int = PAIRS) -> DataFrame:
-    """(doc_id, _key, fp, root, component_id) of each row; root is the smallest fingerprint of the component."""
+    """(doc_id, _key, fp, root, component_id, stays) of each row.
+
+    root is the smallest fingerprint of the component; stays marks the row of the smallest doc_id, null
+    ids last, then of the smallest text hash. Rows meet their component by fingerprint, both sides being
+    plain shuffles, so that a fingerprint of very many copies is split at run time.
+    """
     rows = checkpointed(fingerprints(docs))
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min(first).alias("first")))
     root = components(links(nodes.select("fp"), pairs)).withColumnRenamed("u", "fp")
     rooted = nodes.join(root, "fp", "left").withColumn("root", F.coalesce("v", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = checkpointed(rooted.select("fp", "root").join(ids, "root").select("fp", "root", "component_id"))
-    return rows.join(ids, "fp").select("doc_id", "_key", "fp", "root", "component_id")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    ids = checkpointed(rooted.select("fp", "root").join(least, "root").select("fp", "root", F.col("least.doc_id").alias("component_id"), F.col("least._key").alias("_least_key")))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("_key") == F.col("_least_key"))
+    return rows.join(ids, "fp").select("doc_id", "_key", "fp", "root", "component_id", stays.alias("stays"))
 
 
 def near_duplicates(docs: DataFrame, pairs: int = PAIRS) -> DataFrame:
@@ -153,11 +160,8 @@ def near_duplicates(docs: DataFrame, pairs: int = PAIRS) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each component stays, all columns kept: that of the smallest doc_id, null ids last, then of the smallest text hash."""
-    rows = checkpointed(labelled(docs).select("doc_id", "_key", "root"))
-    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key")
-    stays = rows.groupBy("root").agg(F.min(first).alias("s"))
-    out = rows.join(stays, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("_key") == F.col("s._key"))))
-    out = out.select(F.col("doc_id").alias("_out_id"), F.col("_key").alias("_out_key")).distinct()
+    rows = checkpointed(labelled(docs).select("doc_id", "_key", "stays"))
+    out = rows.filter("not stays").select(F.col("doc_id").alias("_out_id"), F.col("_key").alias("_out_key")).distinct()
     kept = docs.join(out, docs["doc_id"].eqNullSafe(out["_out_id"]) & (text_key(docs["text"]) == out["_out_key"]), "left_anti")
     repeated = rows.groupBy("doc_id", "_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -10,12 +10,12 @@ exact result of the merges.
 from __future__ import annotations
 
 import hashlib
-from array import array
+import struct
 from collections.abc import Iterator
 from functools import cache
-from sys import byteorder
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +25,11 @@ from loamdex.llm.merges import Merges, ranks_of_tiktoken
 from loamdex.llm.textops import whole
 from loamdex.llm.workers import map_texts
 
-PIECES = 200_000
+PIECES, STEP = 400_000, 1 << 20
 
 
 class Codec(dict):
-    """Maps a piece to its ids; keeps those of pieces seen."""
+    """Maps a piece to its ids as little-endian 32-bit integers; keeps those of pieces seen."""
 
     def __init__(self, merges: Merges):
         super().__init__()
@@ -39,9 +39,10 @@ class Codec(dict):
             self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self[piece] = tuple(self.encode_piece(piece.encode("utf-8")))
-        return ids
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode_piece(piece.encode("utf-8"))
+        packed = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
 
     def encode_piece(self, data: bytes) -> list[int]:
         if data in self.m.rank:
@@ -67,17 +68,18 @@ class Codec(dict):
                 at -= len(self.m.tokens[out.pop()])
         return out
 
-    def encode(self, text: str) -> array:
+    def packed(self, text: str) -> bytes:
+        """The ids of a text, little-endian 32-bit integers."""
         if len(self) > PIECES:
             self.clear()
-        ids = array("I")
-        step = 1 << 20
-        for part in (text,) if len(text) <= step else pieces_in_steps(text, step):
-            for piece_ids in map(self.__getitem__, pretokens.pieces(part)):
-                ids.extend(piece_ids)
-        return ids
-
-    def decode(self, ids: array) -> bytes:
+        if len(text) <= STEP:
+            return b"".join(map(self.__getitem__, pretokens.pieces(text)))
+        return b"".join(b"".join(map(self.__getitem__, pretokens.pieces(part))) for part in pieces_in_steps(text, STEP))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<u4").tolist()
+
+    def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.m.tokens.__getitem__, ids))
 
 
@@ -117,14 +119,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -
         for batch in batches:
             n, digests, decoded, kept = [], [], [], []
             for t in batch.column(1):
-                ids = codec.encode(t.as_py())
+                packed = codec.packed(t.as_py())
+                ids = np.frombuffer(packed, "<u4").tolist()
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                digests.append(hashlib.sha256(packed).hexdigest())
                 n.append(len(ids))
                 if keep_ids:
-                    kept.append(list(ids))
-                if byteorder == "big":
-                    ids.byteswap()
-                digests.append(hashlib.sha256(ids).hexdigest())
+                    kept.append(ids)
             out = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays([*out, pa.array(kept, pa.list_(pa.int32()))] if keep_ids else out, [*names, "ids"] if keep_ids else names)

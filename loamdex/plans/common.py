@@ -12,7 +12,9 @@ from loamdex.sources.readers import table
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    """The documents table. A table of fewer splits than the session has cores is dealt out anew, as a row group can't be split; a large one is read as it lies."""
+    docs, cores = table(spark, folder, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:

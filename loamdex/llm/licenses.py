@@ -1,12 +1,16 @@
 """License scans as an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document, a template a short license notice; both are sets of words.
-A block meets a template if it holds at least THRESHOLD of the template's words. Words are
-ordered by their frequency over all blocks, rarest first, so a template's prefix (as many
-words as may be missing, and one more) must meet the block: the join runs on prefix words,
-and length and position filters drop most of what is left before the exact test.
+A block is a line of a document, or a run of SPAN times as many consecutive words as the
+template has, wherever lines break; a template is a short license notice. Both are sets of
+words, and a block meets a template if it holds at least THRESHOLD of the template's words.
 
-Only words of some template take part in the test, so blocks are cut down to these first.
+A document with such a block holds as many of the template's words itself, so candidates come
+from an exact join of whole documents. Words are ordered by the documents they are in, rarest
+first, so a template's prefix (as many words as may be missing, and one more) must meet the
+document: the join runs on prefix words, and length and position filters drop most of what is
+left. The blocks of a candidate are then tested one by one.
+
+Only words of some template take part in the join, so documents are cut down to these first.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.textops import NOT_WORD, ascii_lower, left_by_row, text_key, whole, words
+from loamdex.llm.textops import NOT_WORD, ascii_lower, left_by_row, let, text_key, whole, words
 
 #: Phrases of consecutive words and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -34,42 +38,64 @@ TEMPLATES = {
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
 }
 THRESHOLD = 0.9
+#: Words of a block that spans lines, to each word of the template.
+SPAN = 1.5
 
 
 def _array(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def block_words(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
-    """A row for each line that holds enough template words: doc_id, _key, _t (its template words)."""
-    lines = docs.select("doc_id", text_key().alias("_key"), F.explode(F.split(ascii_lower(whole()), "\n")).alias("_line"))
-    return lines.select("doc_id", "_key", F.array_intersect(words(F.col("_line")), _array(vocabulary)).alias("_t")).filter(F.size("_t") >= least)
+def template_words(docs: DataFrame, order: list[str]) -> DataFrame:
+    """doc_id, _key, _text (lower-cased) and _t: its distinct template words, in the given order."""
+    rows = docs.select("doc_id", text_key().alias("_key"), ascii_lower(whole()).alias("_text"))
+    # an intersection keeps the order of its first argument
+    return rows.withColumn("_t", F.array_intersect(_array(order), words(F.col("_text"))))
+
+
+def most_in_lines(text: str, template: str) -> Column:
+    """The most template words that one line holds."""
+    return F.array_max(F.transform(F.split(text, "\n"), lambda line: F.size(F.array_intersect(template, words(line)))))
+
+
+def most_in_windows(text: str, template: str, span: str) -> Column:
+    """The most template words that span consecutive words hold, wherever lines break. Only windows that begin with a template word need a look."""
+    every = F.transform(words(F.col(text)), lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+
+    def best(own: Column) -> Column:
+        held = lambda x, k: F.filter(F.slice(own, k + 1, F.col(span)), lambda y: y["i"] < x["i"] + F.col(span))
+        return F.array_max(F.transform(own, lambda x, k: F.size(F.array_distinct(F.transform(held(x, k), lambda y: y["w"])))))
+
+    return let(F.filter(every, lambda x: F.array_contains(template, x["w"])), best)
 
 
 def template_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """All (block, template) pairs that meet the threshold: doc_id, _key, _label, _containment."""
-    sets = [(label, sorted(set(t.split()))) for label, texts in templates.items() for t in texts]
-    vocabulary = sorted({w for _, t in sets for w in t})
-    need = [max(1, math.ceil(threshold * len(t) - 1e-9)) for _, t in sets]
+    """All (document, template) pairs of which a block meets the threshold: doc_id, _key, _label, _containment (of the best block)."""
+    sets = [(label, sorted(set(t.split())), len(t.split())) for label, texts in templates.items() for t in texts]
+    vocabulary = sorted({w for _, t, _ in sets for w in t})
+    need = [max(1, math.ceil(threshold * len(t) - 1e-9)) for _, t, _ in sets]
     # as many rows as the templates have words
-    seen = block_words(docs, vocabulary, 1).select(F.explode("_t").alias("_w")).groupBy("_w").count().collect()
+    seen = template_words(docs, vocabulary).select(F.explode("_t").alias("_w")).groupBy("_w").count().collect()
     frequency = dict.fromkeys(vocabulary, 0) | {r["_w"]: r["count"] for r in seen}
     order = sorted(vocabulary, key=lambda w: (frequency[w], w))
     place = {w: i for i, w in enumerate(order)}
 
     rows = []
-    for k, (label, t) in enumerate(sets):
+    for k, (label, t, n) in enumerate(sets):
         t = sorted(t, key=place.get)
-        rows += [(t[i], label, t, len(t), need[k], i) for i in range(len(t) - need[k] + 1)]
-    prefixes = docs.sparkSession.createDataFrame(rows, "_w string, _label string, _template array<string>, _size int, _need int, _i int")
-    # an intersection keeps the order of its first argument, so blocks come out rarest word first
-    ordered = block_words(docs, vocabulary, min(need)).withColumn("_t", F.array_intersect(_array(order), F.col("_t")))
-    met = ordered.select("doc_id", "_key", "_t", F.posexplode("_t").alias("_j", "_w")).join(F.broadcast(prefixes), "_w")
+        prefix = t[: len(t) - need[k] + 1]
+        rows += [(w, label, t, prefix, len(t), math.ceil(SPAN * n), need[k], i) for i, w in enumerate(prefix)]
+    prefixes = docs.sparkSession.createDataFrame(rows, "_w string, _label string, _template array<string>, _prefix array<string>, _size int, _span int, _need int, _i int")
+    met = template_words(docs, order).select("doc_id", "_key", "_text", "_t", F.posexplode("_t").alias("_j", "_w")).join(F.broadcast(prefixes), "_w")
     met = met.filter(F.size("_t") >= F.col("_need"))
     rest = F.least(F.col("_size") - F.col("_i"), F.size("_t") - F.col("_j"))
     met = met.filter(F.least("_i", "_j") + rest >= F.col("_need"))
-    containment = F.size(F.array_intersect("_template", "_t")) / F.col("_size")
-    return met.select("doc_id", "_key", "_label", containment.alias("_containment"), F.size(F.array_intersect("_template", "_t")).alias("_common"), "_need").filter(F.col("_common") >= F.col("_need")).drop("_common", "_need")
+    # a pair comes once for each prefix word that it shares: the first stands for it
+    met = met.filter((F.get(F.array_intersect("_prefix", "_t"), F.lit(0)) == F.col("_w")) & (F.size(F.array_intersect("_template", "_t")) >= F.col("_need")))
+    common = F.greatest(most_in_lines("_text", "_template"), most_in_windows("_text", "_template", "_span"))
+    # an array of one or none, so that the blocks are looked through once
+    best = F.filter(F.array(common), lambda c: c >= F.col("_need"))
+    return met.select("doc_id", "_key", "_label", "_size", F.explode(best).alias("_common")).select("doc_id", "_key", "_label", (F.col("_common") / F.col("_size")).alias("_containment"))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -407,6 +407,21 @@ def test_licenses(spark, docs, empty):
     assert {r.labels for r in got if r.doc_id == 5000} == {"mit"} and licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_over_lines(spark):
+    """Notices wrapped at any width, behind comment marks, in the midst of long texts; words far apart are no notice."""
+    import textwrap
+
+    notices = [(label, t) for label, texts in licenses.TEMPLATES.items() for t in texts]
+    rows, filler = [], "\n".join(f"line {i} of the text" for i in range(300))
+    for label, t in notices:
+        for width in (30, 72):
+            rows.append((len(rows), label, filler + "\n" + "\n".join(" * " + x for x in textwrap.wrap(t, width)) + "\n" + filler))
+        rows.append((len(rows), None, ("\n" + "x y z " * 20 + "\n").join(t.split())))
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")).collect()}
+    for i, label, t in rows:
+        assert label in got[i].labels.split(",") and got[i].score == 1.0 if label else not set(got[i].labels.split(",")) & set(licenses.TEMPLATES), t
+
+
 # ---- pipeline
 
 

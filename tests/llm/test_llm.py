@@ -122,6 +122,16 @@ def test_random_tokens_are_found(spark):
     assert abs(secrets.chi2_tail(9.488, 4) - 0.05) < 1e-3 and abs(secrets.two_sided(1.96) - 0.05) < 1e-3
 
 
+def test_random_tokens_of_any_length(spark):
+    rng = random.Random(14)
+    alphabet = secrets.ALPHABETS["base64"]
+    prose = lambda: " ".join(rng.choice(["nation", "the", "printing", "reader", "of"]) for _ in range(300))
+    sizes = {0: 257, 10: 343, 20: 1600, 30: 5000}
+    rows = [(i, prose() + (" " + "".join(rng.choice(alphabet) for _ in range(sizes[i])) + "==" if i in sizes else " " + "/".join(["usr", "share", "lib"] * 40) if i % 40 == 5 else "")) for i in range(400)]
+    got = {r.doc_id: r.n_random for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, n in got.items() if n} == set(sizes)
+
+
 # ---- op3 and op6
 
 

@@ -3,18 +3,21 @@
 Long tokens get an encoding by their characters. Three tests ask whether a token looks drawn
 at random from that alphabet: chi-squared uniformity over ranges of the alphabet, the
 Wald-Wolfowitz runs test, and lag-one serial correlation; Fisher's method combines them. How
-often ordinary text passes depends on length and encoding, so it is measured: each document
-gives one token of every length band made of its own words, at a place chosen by hash. Within
-a band and encoding, the passing level is the lowest at which the expected share of ordinary
-text among what passes stays under FALSE_SHARE (Benjamini-Hochberg on the measured rates).
+often ordinary text passes depends on length and encoding, so it is measured: all short pieces
+of all texts, digits and signs included, are glued as words, slugs, identifiers and paths are,
+and cut into tokens of each length band. Within a band and encoding, the passing level is the
+lowest at which the expected share of ordinary text among what passes stays under FALSE_SHARE
+(Benjamini-Hochberg on the measured rates, see passing_levels).
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -42,6 +45,13 @@ ALPHABETS = {
 _PLACES = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()}
 BANDS = (20, 28, 40, 64, 100)
 LEVELS, LEAST_P, FALSE_SHARE = 40, 0.01, 0.05
+#: Below so many ordinary tokens a rate isn't measured; where a whole band has fewer, tokens pass at SMALL_P.
+LEAST_ORDINARY, SMALL_P = 200, 0.05
+#: Ordinary pieces, too short to be candidates, and what holds them together, in turns of STRETCH pieces.
+PIECE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{1,19}(?![A-Za-z0-9+/_-])")
+GLUES, STRETCH = ("", "-", "_", "/"), 64
+#: Rows of tokens that are tested at once.
+ROWS = 16_384
 
 
 def chi2_tail(x: float, df: int) -> float:
@@ -106,22 +116,82 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
 
 
-def examine(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, str, int]], list[tuple[int, str, int]]]:
-    """Base spans, candidates (start, end, band, encoding, level) that no base span meets, and the document's own ordinary tokens (band, encoding, level)."""
-    base, candidates, ordinary = base_spans(text), [], []
+def examine(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, str, int]], bytes]:
+    """Base spans, candidates (start, end, band, encoding, level) that no base span meets, and the rest's pieces, glued."""
+    base, candidates = base_spans(text), []
     for m in TOKEN.finditer(text):
         name = encoding(m[0])
         if name and not any(s < m.end() and m.start() < e for s, _, e in base):
             candidates.append((m.start(), m.end(), band(len(m[0])), name, level(randomness(m[0], name))))
-    if text:
-        at = xxhash.xxh64_intdigest(text) % len(text)
-        around = re.findall(r"[A-Za-z]{1,19}", text[max(0, at - 800) : at + 800])
-        joined = "".join(around)
-        for i, least in enumerate(BANDS):
-            if len(joined) >= least:
-                name = encoding(joined[:least])
-                ordinary.append((i, name, level(randomness(joined[:least], name))))
-    return base, candidates, ordinary
+    return base, candidates, glued(text, base)
+
+
+def glued(text: str, base: list[tuple[int, int, int]]) -> bytes:
+    """The short pieces outside of base spans. A text's hash says which glue comes first, so that short texts have them all between them."""
+    at, rest = 0, []
+    for s, _, e in base:
+        rest.append(text[at : max(at, s)])
+        at = max(at, e)
+    pieces = PIECE.findall(" ".join([*rest, text[at:]]))
+    turn = xxhash.xxh64_intdigest(text)
+    glues = [GLUES[(turn + i) % len(GLUES)] for i in range(len(pieces) // STRETCH + 1)]
+    return "".join(g.join(pieces[i * STRETCH : (i + 1) * STRETCH]) + g for i, g in enumerate(glues)).encode()
+
+
+#: Classes of characters that alphabets hold or lack as a whole, the first in all of them that have digits.
+_CLASSES = ("0189", "234567", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "-_")
+_NAMES = list(ALPHABETS)
+_CLASS_OF = np.zeros(256, np.uint8)
+for _i, _c in enumerate(_CLASSES):
+    _CLASS_OF[list(_c.encode())] = 1 << _i
+#: The encoding of a set of classes by number, -1 for digits alone, as encoding() has it.
+_ENCODING_OF = np.array([_NAMES.index(n) if (n := encoding("".join(c for i, c in enumerate(_CLASSES) if mask >> i & 1))) else -1 for mask in range(256)])
+_Z = np.arange(0, 26, 0.0005)
+_LOG_TWO_SIDED = np.log(np.maximum([two_sided(z) for z in _Z.tolist()], 1e-300))
+
+
+def _log_chi2_tail(x: np.ndarray, df: int) -> np.ndarray:
+    half = x / 2
+    return np.minimum(0.0, np.log(sum(half**i / math.factorial(i) for i in range(df // 2))) - half)
+
+
+def levels_of(codes: np.ndarray, name: str) -> np.ndarray:
+    """level(randomness()) of many tokens of one length and encoding, rows of character codes."""
+    place = np.zeros(256, np.int16)
+    place[list(ALPHABETS[name].encode())] = np.arange(len(ALPHABETS[name]))
+    x, m, n = place[codes], len(ALPHABETS[name]), codes.shape[1]
+    k = 5 if n < 32 else 9
+    bins = np.arange(m) * k // m
+    size = n * np.bincount(bins, minlength=k) / m
+    seen = np.bincount((bins[x] + k * np.arange(len(x))[:, None]).ravel(), minlength=k * len(x)).reshape(-1, k)
+    fisher = np.maximum(_log_chi2_tail(((seen - size) ** 2 / size).sum(axis=1), k - 1), math.log(1e-300))
+    above = 2 * x >= m
+    up, runs = above.sum(axis=1), 1 + (above[:, 1:] != above[:, :-1]).sum(axis=1)
+    mean = 1 + 2 * up * (n - up) / n
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    z_runs = np.where(spread > 0, (runs - mean) / np.sqrt(np.where(spread > 0, spread, 1)), math.sqrt(n))
+    off = x - x.mean(axis=1, keepdims=True)
+    power = np.einsum("ij,ij->i", off, off)
+    serial = np.where(power > 0, np.einsum("ij,ij->i", off[:, :-1], off[:, 1:]) / np.where(power > 0, power, 1), 1.0)
+    for z in (z_runs, (serial + 1 / n) * math.sqrt(n)):
+        fisher = fisher + np.interp(np.abs(z), _Z, _LOG_TWO_SIDED)
+    log_p = np.maximum(_log_chi2_tail(-2 * fisher, 6) / math.log(10), -8)
+    return np.clip(((log_p + 8) / 8 * LEVELS).astype(int), 0, LEVELS - 1)
+
+
+def ordinary_counts(texts: list[bytes]) -> Counter[tuple[int, str, int]]:
+    """How many tokens that glued texts are cut into have which (band, encoding, level); a rest shorter than a token is left."""
+    found: Counter[tuple[int, str, int]] = Counter()
+    for b, n in enumerate(BANDS):
+        every = np.frombuffer(b"".join(t[: len(t) // n * n] for t in texts), np.uint8).reshape(-1, n)
+        for at in range(0, len(every), ROWS):
+            codes = every[at : at + ROWS]
+            kind = _ENCODING_OF[np.bitwise_or.reduce(_CLASS_OF[codes], axis=1)]
+            for e in set(kind.tolist()) - {-1}:
+                for k, count in enumerate(np.bincount(levels_of(codes[kind == e], _NAMES[e])).tolist()):
+                    if count:
+                        found[b, _NAMES[e], k] += count
+    return found
 
 
 def _joined(spans: Column) -> Column:
@@ -130,20 +200,31 @@ def _joined(spans: Column) -> Column:
 
 
 def passing_levels(seen: list[tuple[int, str, int, int, int]], false_share: float = FALSE_SHARE) -> dict[tuple[int, str], int]:
-    """The lowest passing level of each band and encoding. seen: (band, encoding, level, candidates, ordinary tokens)."""
+    """The lowest passing level of each band and encoding. seen: (band, encoding, level, candidates, ordinary tokens).
+
+    What passes by mistake is at most all candidates of the encoding by the rate of its ordinary
+    tokens. An encoding with fewer than LEAST_ORDINARY of them is rare in ordinary text: then all
+    candidates of the band by the rate at which its ordinary tokens have the encoding and pass, times
+    the number of glues, as real tokens may all be held together by the one that suits the encoding.
+    Where the band has fewer too, as in a table of a few short texts, nothing is measured and tokens
+    pass at SMALL_P.
+    """
     floor, out = level(LEAST_P), {}
-    per_band: dict[int, int] = {}
-    for b, _, _, _, n in seen:
-        per_band[b] = per_band.get(b, 0) + n
-    for key in {(b, e) for b, e, *_ in seen}:
-        own = {k: (c, n) for b, e, k, c, n in seen if (b, e) == key}
-        candidates = sum(c for c, _ in own.values())
+    for b, e in {(b, e) for b, e, *_ in seen}:
+        own = {k: (c, n) for b2, e2, k, c, n in seen if (b2, e2) == (b, e)}
+        candidates, tokens = (sum(x) for x in zip(*own.values()))
+        if tokens < LEAST_ORDINARY:
+            candidates, tokens = (sum(x[i] for x in seen if x[0] == b) for i in (3, 4))
+            candidates *= len(GLUES)
+        if tokens < LEAST_ORDINARY:
+            out[b, e] = level(SMALL_P)
+            continue
         passed = ordinary = 0
         for k in range(LEVELS - 1, floor - 1, -1):
             passed += own.get(k, (0, 0))[0]
             ordinary += own.get(k, (0, 0))[1]
-            if passed and candidates * (ordinary + 1) / (per_band[key[0]] + 1) <= false_share * passed:
-                out[key] = k
+            if passed and candidates * (ordinary + 1) / (tokens + 1) <= false_share * passed:
+                out[b, e] = k
     return out
 
 
@@ -155,22 +236,25 @@ def scan_secrets(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame
     table gives no rows.
     """
     span, candidate = "struct<start int, kind int, end int>", "struct<start int, end int, band int, encoding string, level int>"
-    kinds = [pa.list_(pa.struct([(n, pa.string() if n == "encoding" else pa.int32()) for n in names])) for names in (("start", "kind", "end"), ("start", "end", "band", "encoding", "level"), ("band", "encoding", "level"))]
+    kinds = [pa.list_(pa.struct([(n, pa.string() if n == "encoding" else pa.int32()) for n in names])) for names in (("start", "kind", "end"), ("start", "end", "band", "encoding", "level"), ("band", "encoding", "level", "count"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [examine(t.as_py()) for t in batch.column(1)]
+            found = [list(examine(t.as_py())) for t in batch.column(1)]
+            counts = [(*key, n) for key, n in ordinary_counts([row[2] for row in found]).items()]
+            for i, row in enumerate(found):
+                row[2] = [] if i else counts  # the batch's counts stand in its first row
             columns = [pa.array([[dict(zip((f.name for f in kind.value_type), x)) for x in row[k]] for row in found], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "base", "candidates", "ordinary"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", whole().alias("text"))
-    rows = map_texts(rows, run, f"doc_id {kind}, base array<{span}>, candidates array<{candidate}>, ordinary array<struct<band int, encoding string, level int>>")
+    rows = map_texts(rows, run, f"doc_id {kind}, base array<{span}>, candidates array<{candidate}>, ordinary array<struct<band int, encoding string, level int, count int>>")
     rows = checkpointed(rows)  # small; read twice
     both = F.concat(
-        F.transform("candidates", lambda c: F.struct(c["band"].alias("b"), c["encoding"].alias("e"), c["level"].alias("k"), F.lit(1).alias("c"))),
-        F.transform("ordinary", lambda c: F.struct(c["band"].alias("b"), c["encoding"].alias("e"), c["level"].alias("k"), F.lit(0).alias("c"))))
-    counts = rows.select(F.explode(both).alias("x")).groupBy("x.b", "x.e", "x.k").agg(F.sum("x.c").alias("c"), F.sum(1 - F.col("x.c")).alias("n"))
+        F.transform("candidates", lambda c: F.struct(c["band"].alias("b"), c["encoding"].alias("e"), c["level"].alias("k"), F.lit(1).alias("c"), F.lit(0).alias("n"))),
+        F.transform("ordinary", lambda c: F.struct(c["band"].alias("b"), c["encoding"].alias("e"), c["level"].alias("k"), F.lit(0).alias("c"), c["count"].alias("n"))))
+    counts = rows.select(F.explode(both).alias("x")).groupBy("x.b", "x.e", "x.k").agg(F.sum("x.c").alias("c"), F.sum("x.n").alias("n"))
     # bands x encodings x levels rows at most
     passing = passing_levels([tuple(r) for r in counts.collect()], false_share)
     passes = F.create_map(*[F.lit(x) for (b, e), k in passing.items() for x in (f"{b} {e}", k)]) if passing else F.lit(None).cast("map<string,int>")

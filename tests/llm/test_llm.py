@@ -132,6 +132,35 @@ def test_random_tokens_of_any_length(spark):
     assert {i for i, n in got.items() if n} == set(sizes)
 
 
+def test_ordinary_tokens_of_whole_texts():
+    rng = random.Random(15)
+    text = " ".join(rng.choice(["Nation", "the", "v2", "2024", "x-ray", "a_b", "printing", "of"]) for _ in range(5000))
+    base, _, whole_text = secrets.examine(text + " token=abcdef123")
+    assert base and len(whole_text) > 20_000 and b"abcdef123" not in whole_text
+    got, expected = secrets.ordinary_counts([whole_text, b"", b"deadbeef" * 3, b"7" * 500]), {}
+    for t in (whole_text, b"deadbeef" * 3):
+        for b, n in enumerate(secrets.BANDS):
+            for i in range(0, len(t) - n + 1, n):
+                token = t[i : i + n].decode()
+                if name := secrets.encoding(token):
+                    key = b, name, secrets.level(secrets.randomness(token, name))
+                    expected[key] = expected.get(key, 0) + 1
+    assert got == expected and {"base62", "base64", "base64url", "any"} <= {e for _, e, _ in got}
+
+
+def test_slugs_are_controlled_and_small_tables_searched(spark):
+    rng = random.Random(16)
+    alphabet = secrets.ALPHABETS["base62"]
+    secret = "".join(rng.choice(alphabet) for _ in range(44))
+    alone = secrets.scan_secrets(spark.createDataFrame([(1, f"the key is {secret} as said")], "doc_id long, text string")).first()
+    assert alone.n_random == 1 and alone.spans == "random:11:55"
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    words_ = [word() for _ in range(3000)]
+    rows = [(i, " ".join(rng.choice(words_) for _ in range(400)) + " " + "/".join(rng.choice(words_) for _ in range(4)) + " " + secret * (i == 7)) for i in range(200)]
+    got = {r.doc_id: r.n_random for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[7] >= 1 and sum(got.values()) <= 6
+
+
 # ---- op3 and op6
 
 

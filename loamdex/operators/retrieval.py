@@ -188,16 +188,15 @@ class GraphIndex:
         self.vectors = vectors.select(F.col(id).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id), F.lit(shards)).alias("shard"))
 
     def search(self, queries: DataFrame, k: int = 10, beam: int = 32, vector: str = "embedding") -> DataFrame:
-        """queries: a bounded block (BLOCK rows at most)."""
-        rows = queries.select("qid", F.col(vector).alias("v")).limit(BLOCK + 1).collect()
-        if len(rows) > BLOCK:
-            raise ValueError(f"search in blocks of {BLOCK} queries")
-        names, q = [r["qid"] for r in rows], _unit(np.array([r["v"] for r in rows], np.float64))
+        """All queries, sent in blocks of BLOCK; a shard's graph is built once and searched block by block."""
+        context = self.vectors.sparkSession.sparkContext
+        rows = queries.select("qid", F.col(vector).alias("v")).toLocalIterator()
+        sent = [context.broadcast(([r["qid"] for r in block], _unit(np.array([r["v"] for r in block], np.float64)))) for block in _blocks(rows)]
         links, width, seed = self.links, self.width, self.seed
 
         def run(table: pa.Table) -> pa.Table:
             ids, graph = table.column("id").to_pylist(), SmallWorld(_unit(_matrix(table.column("v").combine_chunks())), links, width, seed)
-            found = [(n, ids[i], round(float(s), DIGITS)) for n, x in zip(names, q) for s, i in graph.search(x, k, max(beam, k))]
+            found = [(n, ids[i], round(float(s), DIGITS)) for block in sent for n, x in zip(*block.value) for s, i in graph.search(x, k, max(beam, k))]
             return pa.table({"qid": [f[0] for f in found], "id": [f[1] for f in found], "score": [f[2] for f in found]}, schema=pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
 
         return top_k(self.vectors.groupBy("shard").applyInArrow(run, "qid long, id long, score double"), k)

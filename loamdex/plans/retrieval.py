@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamdex.functions.text import coverage, tokenize
 from loamdex.functions.vectors import neighbour_ranks, pca2, project2, similarity_pairs, topic_metrics, toy_embedding
 from loamdex.operators import answers, fusion, metrics
-from loamdex.operators.retrieval import BLOCK, GraphIndex, IvfIndex, list_recall, vector_search
+from loamdex.operators.retrieval import GraphIndex, IvfIndex, list_recall, vector_search
 from loamdex.plans.common import EVIDENCE_SQL, QUESTIONS_SQL, documents, evidence, keyword_index, questions, runs, runs_sql
 from loamdex.sources.readers import table
 
@@ -230,8 +230,8 @@ def ann_recall(spark: SparkSession, folder: str) -> DataFrame:
 
 @plan()
 def graph_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """(beam, recall): sharded small-world graphs against exact search, over one block of queries."""
-    v, q = _vectors(spark, folder), _asked(spark, folder).orderBy("qid").limit(BLOCK)
+    """(beam, recall): sharded small-world graphs against exact search."""
+    v, q = _vectors(spark, folder), _asked(spark, folder)
     exact, index = vector_search(v, q, 10), GraphIndex(v)
     rows = [list_recall(index.search(q, 10, b), exact, 10).agg(F.avg("recall").alias("recall")).select(F.lit(b).alias("beam"), "recall") for b in (10, 32)]
     return rows[0].unionByName(rows[1])

@@ -117,6 +117,30 @@ def test_vector_search(spark):
     assert [r.score for r in vector_search(zero, zero.select(F.col("vec_id").alias("qid"), "embedding"), 2).filter("qid = 1").collect()] == [0.0, 0.0]
 
 
+def test_graphs_are_asked_in_blocks(spark, tmp_path, monkeypatch):
+    from loamdex.operators import retrieval as R
+    from loamdex.plans import retrieval as P
+
+    v = generated_vectors(spark, 600, 8, clusters=4).cache()
+    q = v.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    whole = sorted(map(tuple, GraphIndex(v, 3).search(q, 5, 32).collect()))
+    monkeypatch.setattr(R, "BLOCK", 7)
+    monkeypatch.setattr(P, "BLOCK", 7, raising=False)
+    assert sorted(map(tuple, GraphIndex(v, 3).search(q, 5, 32).collect())) == whole and len({r[0] for r in whole}) == 60
+    v.write.parquet(f"{tmp_path}/embeddings.parquet")
+    asked = []
+    monkeypatch.setattr(P, "list_recall", lambda a, e, k: asked.append((a.select("qid").distinct().count(), e.select("qid").distinct().count())) or list_recall(a, e, k))
+    assert P.graph_recall(spark, str(tmp_path)).count() == 2 and asked == [(12, 12)] * 2
+
+
+def test_quiz_items_look_into_all_documents(spark, tmp_path):
+    from loamdex.plans import texts as T
+
+    rows = [(i, "45%" if i < 30 else f"The share of answers in group {i} was {i}% of all.") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.chunk for r in T.quiz_items(spark, str(tmp_path)).orderBy("chunk").collect()] == [str(i) for i in range(30, 40)]
+
+
 def _list(spark, ids, scores=None):
     return spark.createDataFrame([(1, x, float(s), i + 1) for i, (x, s) in enumerate(zip(ids, scores or range(len(ids), 0, -1)))], "qid int, id string, score double, rank int")
 

@@ -1,10 +1,11 @@
 """Document fingerprints as threshold-scaled sketches.
 
 The sketch of a text keeps the hash of every five-word shingle below a fixed fraction of the
-hash range (and the smallest hash where none is below, so that a text with words is never
-blank). What is kept doesn't depend on the other text, so sketches of very unequal texts
-still estimate how much of the one the other contains, and the sketch of a union is the union
-of sketches cut at the fraction.
+hash range, and the LEAST smallest hashes where fewer are below, so that short texts are kept
+whole. What is kept doesn't depend on the other text, so sketches of very unequal texts still
+estimate how much of the one the other contains, and the sketch of a union is the union of
+sketches, cut the same way. A sketch is complete up to some hash (all there are, if it has
+fewer than LEAST); two are compared up to the lower of these.
 """
 
 from __future__ import annotations
@@ -14,53 +15,68 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamdex.llm.textops import ascii_lower, checkpointed, sha256_of, text_key, whole, words
+from loamdex.llm.textops import ascii_lower, checkpointed, let, sha256_of, text_key, whole, words
 
 SHINGLE = 5
-#: A hash is kept if its first FRACTION_BITS bits are 0: one in eight.
-FRACTION_BITS = 3
+#: A hash of 63 bits is kept if its first FRACTION_BITS bits are 0: one in eight. fingerprints() keeps one in two.
+FRACTION_BITS, DENSE_BITS = 3, 1
+#: Hashes that a sketch has at least, as far as the text has them.
+LEAST = 64
 #: Consecutive ids that a task puts in order at once, and ids of such groups, as powers of 2.
 GROUP_BITS, LEVEL_BITS = 5, 16
 
 
 def shingle_hashes(w: str) -> Column:
-    """Hashes of the shingles of a word array; fewer than five words are one shingle, none are none."""
+    """Hashes (63 bits) of the shingles of a word array; fewer than five words are one shingle, none are none."""
     a = F.col(w)
     at = lambda i: F.get(a, i)
-    many = F.transform(F.slice(a, 1, F.size(a) - (SHINGLE - 1)), lambda x, i: F.xxhash64(x, *[at(i + k) for k in range(1, SHINGLE)]))
-    hashes = F.when(F.size(a) >= SHINGLE, many).when(F.size(a) > 0, F.array(F.xxhash64(a))).otherwise(F.array().cast("array<bigint>"))
+    many = F.transform(F.slice(a, 1, F.size(a) - (SHINGLE - 1)), lambda x, i: F.shiftrightunsigned(F.xxhash64(x, *[at(i + k) for k in range(1, SHINGLE)]), 1))
+    hashes = F.when(F.size(a) >= SHINGLE, many).when(F.size(a) > 0, F.array(F.shiftrightunsigned(F.xxhash64(a), 1))).otherwise(F.array().cast("array<bigint>"))
     return hashes
 
 
-def kept(hashes: str) -> Column:
-    """The sketch: sorted distinct hashes below the fraction, else the smallest (its first 63 bits)."""
-    h = F.col(hashes)
-    low = F.filter(h, lambda x: F.shiftrightunsigned(x, 64 - FRACTION_BITS) == 0)
-    smallest = F.filter(F.array(F.array_min(F.transform(h, lambda x: F.shiftrightunsigned(x, 1)))), lambda x: x.isNotNull())
-    return F.when(F.exists(h, lambda x: F.shiftrightunsigned(x, 64 - FRACTION_BITS) == 0), F.sort_array(F.array_distinct(low))).otherwise(smallest)
+def kept(hashes: str | Column, bits: int = FRACTION_BITS) -> Column:
+    """The sketch: sorted distinct hashes below the fraction, or the LEAST smallest where these are more."""
+    h = F.col(hashes) if isinstance(hashes, str) else hashes
+    low = F.array_distinct(F.filter(h, lambda x: x < 1 << (63 - bits)))
+    return let(low, lambda x: F.when(F.size(x) >= LEAST, F.sort_array(x)).otherwise(F.slice(F.sort_array(F.array_distinct(h)), 1, LEAST)))
 
 
 def text_form(sketched: Column) -> Column:
     return F.array_join(F.transform(sketched, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def likeness(a: str, b: str) -> Column:
+def complete_to(sketched: Column, bits: int) -> Column:
+    """All hashes of the text up to this one are in its sketch."""
+    return F.when(F.size(sketched) < LEAST, 2**63 - 1).otherwise(F.greatest(F.lit((1 << (63 - bits)) - 1), F.element_at(sketched, -1)))
+
+
+def _compared(a: str, b: str, bits: int) -> Column:
+    """(both, a, b): how many hashes are in both sketches and in each, up to where both are complete."""
+    end = F.least(complete_to(F.col(a), bits), complete_to(F.col(b), bits))
+    upto = lambda c, e: F.when(F.element_at(c, -1) <= e, F.size(c)).otherwise(F.size(F.filter(c, lambda x: x <= e)))
+    size = lambda c, e: F.when(F.size(c) == 0, 0).otherwise(upto(c, e))
+    # what is in both is in the one up to where the other is complete, if it is up to the end
+    shared = F.array_intersect(a, b)
+    return let(end, lambda e: F.struct(size(shared, e).alias("both"), size(F.col(a), e).alias("a"), size(F.col(b), e).alias("b")))
+
+
+def likeness(a: str, b: str, bits: int = FRACTION_BITS) -> Column:
     """Jaccard estimate; two blank sketches are alike."""
-    both = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - both
-    return F.when(union == 0, 1.0).otherwise(both / union)
+    union = lambda n: n["a"] + n["b"] - n["both"]
+    return let(_compared(a, b, bits), lambda n: F.when(union(n) == 0, 1.0).otherwise(n["both"] / union(n)))
 
 
-def containment(a: str, b: str) -> Column:
+def containment(a: str, b: str, bits: int = FRACTION_BITS) -> Column:
     """Estimate of the share of a that b holds; a blank sketch is held by any."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    return let(_compared(a, b, bits), lambda n: F.when(n["a"] == 0, F.when(F.size(a) == 0, 1.0).otherwise(0.0)).otherwise(n["both"] / n["a"]))
 
 
-def with_sketch(df: DataFrame, text: Column, name: str) -> DataFrame:
+def with_sketch(df: DataFrame, text: Column, name: str, bits: int = FRACTION_BITS) -> DataFrame:
     """Adds the sketch of a text column, step by step so that none is evaluated twice."""
     columns = [c for c in df.columns if c != name]
     df = df.withColumn("_w", words(ascii_lower(text)))
-    return df.withColumn("_hashes", shingle_hashes("_w")).withColumn(name, kept("_hashes")).select(*columns, name)
+    return df.withColumn("_hashes", shingle_hashes("_w")).withColumn(name, kept("_hashes", bits)).select(*columns, name)
 
 
 def upper_neighbours(groups: DataFrame) -> DataFrame:
@@ -97,7 +113,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     base = base.withColumn("_group", F.shiftright("_sort", GROUP_BITS))
     up = upper_neighbours(base.select("_group").distinct())
 
-    base = with_sketch(base, F.col("_text"), "_fp")
+    base = with_sketch(base, F.col("_text"), "_fp", DENSE_BITS)
     order = Window.partitionBy("_group").orderBy(F.col("_sort").desc(), F.col("_key").desc())
     nexts = {"_next_id": "doc_id", "_next_text": "_text", "_next_fp": "_fp", "_next_sort": "_sort"}
     row = base.select("*", *[F.lead(c).over(order).alias(n) for n, c in nexts.items()], F.lag("_sort").over(order).isNull().alias("_first"))
@@ -110,15 +126,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         *[F.when(inside, F.col(f"_next_{c}")).otherwise(F.col(f"_head_{c}")).alias(f"_{c}2") for c in ("id", "text", "fp")])
     third = F.expr("cast(n_chars div 3 as int)")
     row = row.withColumn("_edited", F.concat(F.left("_text", F.col("n_chars").cast("int") - third), F.left("_text2", third)))
-    row = with_sketch(row, F.col("_edited"), "_efp")
+    row = with_sketch(row, F.col("_edited"), "_efp", DENSE_BITS)
     return row.select(
         "doc_id", "n_chars", sha256_of(F.col("_edited")).alias("edited_sha256"), text_form(F.col("_fp")).alias("fingerprint"), text_form(F.col("_efp")).alias("edited_fingerprint"),
-        likeness("_fp", "_efp").alias("near_edited"), likeness("_fp", "_fp2").alias("near_next"),
-        containment("_fp", "_efp").alias("within_edited"), containment("_fp", "_fp2").alias("within_next"), F.col("_id2").alias("next_doc_id"))
+        likeness("_fp", "_efp", DENSE_BITS).alias("near_edited"), likeness("_fp", "_fp2", DENSE_BITS).alias("near_next"),
+        containment("_fp", "_efp", DENSE_BITS).alias("within_edited"), containment("_fp", "_fp2", DENSE_BITS).alias("within_next"), F.col("_id2").alias("next_doc_id"))
 
 
-def merged(sketches: list[Column]) -> Column:
+def merged(sketches: list[Column], bits: int = FRACTION_BITS) -> Column:
     """The sketch of the union of the sketched texts."""
-    every = reduce(F.array_union, sketches)
-    low = F.filter(every, lambda x: F.shiftrightunsigned(x, 64 - FRACTION_BITS) == 0)
-    return F.sort_array(F.when(F.size(low) > 0, low).otherwise(F.slice(F.sort_array(every), 1, 1)))
+    return kept(reduce(F.array_union, sketches), bits)

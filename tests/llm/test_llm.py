@@ -87,6 +87,20 @@ def test_sketch_estimates(spark):
     assert row.c == 1.0 and abs(row.j - 0.1) < 0.04 and 400 < row.n < 600 and row.m == row.sa
 
 
+def test_sketches_of_short_texts_are_exact(spark):
+    rng = random.Random(17)
+    rows = []
+    for i in range(200):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, 60))]
+        rows.append((i, " ".join(w)))
+    shingles = lambda t: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} if t.split() else set()
+    texts = dict(rows)
+    for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        t, other = texts[r.doc_id], texts[r.next_doc_id]
+        a, b = shingles(t), shingles(t[: len(t) - len(t) // 3] + other[: len(t) // 3])
+        assert abs(r.near_edited - len(a & b) / len(a | b)) < 1e-9 and abs(r.within_edited - len(a & b) / len(a)) < 1e-9
+
+
 # ---- op2
 
 

@@ -1,20 +1,18 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Two fingerprints within RADIUS = 3 bits have a variant in common that lies within one flipped
-bit of the one and two of the other. The radius is met in two forms, both exact:
-
-* By halves: one of the two 32-bit halves differs in one bit at most. A half with an odd number
-  of bits emits all its variants within half the radius (one flip, and itself), one with an even
-  number only itself, so halves within one bit of each other meet once or twice. Fingerprints
-  that meet are verified pair by pair, where at most PAIRS of them meet.
-* By whole fingerprints, for those that met in larger groups: each emits itself and its 64
-  variants of one flip, those with an odd number of bits also the variants of two flips in one
-  half (of three differing bits two are always in one half, and the parities differ). A variant
-  within one flip of some fingerprint links all that emit it to the smallest such one, which is
-  within 3 bits of each; no pairs within a group are needed.
-
-Equal fingerprints are one node. Components come from alternating large-star and small-star
-steps over the links, with a checkpoint after each round.
+Two fingerprints within RADIUS = 3 bits have a variant in common that lies within half the radius
+of both: within one flipped bit of the one and two of the other. Every fingerprint emits itself
+and its 64 variants of one flip. Fingerprints three bits apart differ in parity, so only those with
+an odd number of bits emit variants of two flips as well, and of three differing bits two are
+always in one half, so the two flips are of the same half: about 560 variants on average.
+
+Variants are shuffled once. On a variant, the smallest fingerprint within one flip of it is the
+hub; all others that emit it are within 3 bits of the hub, are verified against it and linked to
+it. Equal fingerprints are one node, so at most 2,081 meet on a variant, however many copies there
+are, and no pairs within a group are needed.
+
+Components come from alternating large-star and small-star steps over the links, with a checkpoint
+after each round.
 """
 
 from __future__ import annotations
@@ -25,13 +23,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.llm.textops import checkpointed, text_key, whole
 from loamdex.llm.workers import map_texts
 
-RADIUS, SHINGLE, SEED, PAIRS, STEP = 3, 3, 42, 64, 1 << 16
+RADIUS, SHINGLE, SEED, STEP = 3, 3, 42, 1 << 16
 
 
 def fingerprint(text: str) -> int:
@@ -65,47 +63,22 @@ def _odd(x: Column) -> Column:
     return F.bit_count(x) % 2 == 1
 
 
-def _flips(x: Column, masks: list[int]) -> Column:
-    return F.transform(F.lit(masks), lambda m: x.bitwiseXOR(m))
-
-
-def half_variants(nodes: DataFrame) -> DataFrame:
-    """(key, fp): the variants of both halves; the key's top bit tells the half."""
-    masks = [1 << k for k in range(32)]
-    keys = []
-    for number, half in enumerate((F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(0xFFFFFFFF))):
-        own = half.bitwiseOR(F.lit(number << 33))
-        keys.append(F.when(_odd(half), F.concat(F.array(own), _flips(own, masks))).otherwise(F.array(own)))
-    return nodes.select("fp", F.explode_outer(F.concat(*keys)).alias("key"))
-
-
 def ball_variants(nodes: DataFrame) -> DataFrame:
-    """(variant, fp, near): near within one flip, else two."""
+    """(variant, fp) of the distinct fingerprints fp."""
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    single = [signed(1 << k) for k in range(64)]
-    double = [signed(1 << a | 1 << b) for low in (0, 32) for a, b in combinations(range(low, low + 32), 2)]
-    fp = F.col("fp")
-    near = nodes.select("fp", F.explode_outer(F.concat(F.array(fp), _flips(fp, single))).alias("variant"), F.lit(True).alias("near"))
-    far = nodes.filter(_odd(fp)).select("fp", F.explode_outer(_flips(fp, double)).alias("variant"), F.lit(False).alias("near"))
-    return near.unionByName(far)
+    near = [0, *[signed(1 << k) for k in range(64)]]
+    far = [signed(1 << a | 1 << b) for low in (0, 32) for a, b in combinations(range(low, low + 32), 2)]
+    masks = F.when(_odd(F.col("fp")), F.lit(near + far)).otherwise(F.lit(near))
+    return nodes.select("fp", F.explode_outer(masks).alias("_m")).select(F.col("fp").bitwiseXOR(F.col("_m")).alias("variant"), "fp")
 
 
-def links(nodes: DataFrame, pairs: int = PAIRS) -> DataFrame:
+def links(nodes: DataFrame) -> DataFrame:
     """Distinct links (u, v), u > v, that connect what lies within RADIUS bits. nodes: distinct fp."""
-    rows = half_variants(nodes)
-    met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = checkpointed(rows.join(met, "key"))
-    few = met.filter(F.col("n") <= pairs)
-    a, b = few.select("key", F.col("fp").alias("u")), few.select("key", F.col("fp").alias("v"))
-    near = a.join(b, "key").filter((F.col("u") > F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS))
-    found = near.select("u", "v")
-    many = met.filter(F.col("n") > pairs).select("fp").distinct()
-    if not many.isEmpty():
-        ball = ball_variants(many)
-        hub = ball.groupBy("variant").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1 and hub is not null")
-        star = ball.join(hub, "variant").filter(F.col("fp") != F.col("hub"))
-        found = found.unionByName(star.select(F.greatest("fp", "hub").alias("u"), F.least("fp", "hub").alias("v")))
-    return found.distinct()
+    apart = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    near = F.when(apart("fp", "variant") <= RADIUS // 2, F.col("fp"))
+    met = ball_variants(nodes).withColumn("hub", F.min(near).over(Window.partitionBy("variant")))
+    found = met.filter((F.col("fp") != F.col("hub")) & (apart("fp", "hub") <= RADIUS))
+    return found.select(F.greatest("fp", "hub").alias("u"), F.least("fp", "hub").alias("v")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -114,14 +87,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    # tables of nodes and links grow with the input: their joins are never broadcasts
     edges = checkpointed(edges)
     known = state(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = large.join(least.hint("merge"), "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = checkpointed(small.distinct())
         now = state(edges)
         if now == known:
@@ -130,7 +104,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
-def labelled(docs: DataFrame, pairs: int = PAIRS) -> DataFrame:
+def labelled(docs: DataFrame) -> DataFrame:
     """(doc_id, _key, fp, root, component_id, stays) of each row.
 
     root is the smallest fingerprint of the component; stays marks the row of the smallest doc_id, null
@@ -140,22 +114,22 @@ def labelled(docs: DataFrame, pairs: int = PAIRS) -> DataFrame:
     rows = checkpointed(fingerprints(docs))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
     nodes = checkpointed(rows.groupBy("fp").agg(F.min(first).alias("first")))
-    root = components(links(nodes.select("fp"), pairs)).withColumnRenamed("u", "fp")
-    rooted = nodes.join(root, "fp", "left").withColumn("root", F.coalesce("v", "fp"))
+    root = components(links(nodes.select("fp"))).withColumnRenamed("u", "fp")
+    rooted = nodes.join(root.hint("merge"), "fp", "left").withColumn("root", F.coalesce("v", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    ids = checkpointed(rooted.select("fp", "root").join(least, "root").select("fp", "root", F.col("least.doc_id").alias("component_id"), F.col("least._key").alias("_least_key")))
+    ids = checkpointed(rooted.select("fp", "root").join(least.hint("merge"), "root").select("fp", "root", F.col("least.doc_id").alias("component_id"), F.col("least._key").alias("_least_key")))
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("_key") == F.col("_least_key"))
-    return rows.join(ids, "fp").select("doc_id", "_key", "fp", "root", "component_id", stays.alias("stays"))
+    return rows.join(ids.hint("merge"), "fp").select("doc_id", "_key", "fp", "root", "component_id", stays.alias("stays"))
 
 
-def near_duplicates(docs: DataFrame, pairs: int = PAIRS) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """Return doc_id, fingerprint (16 hexadecimal digits), component_id.
 
     component_id is the smallest doc_id that can be reached over links of RADIUS bits or fewer,
     the row's own included; null only where no doc_id of the component is known. Repeated rows
     and null or empty texts (fingerprint 0) are linked like any other; an empty table gives no rows.
     """
-    return labelled(docs, pairs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return labelled(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

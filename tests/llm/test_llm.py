@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -192,8 +193,19 @@ def test_token_counts(spark, docs, empty, monkeypatch):
     texts = samples()
     expected = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [counter.count(t) for t in texts] == expected
-    monkeypatch.setattr(token_counts, "CHUNK", 23)
-    assert [counter.count(t) for t in texts[:600]] == expected[:600] and counter.count(LONG) == expected[3000]
+    for size in (1, 2, 23, 400):
+        for t, n in [*zip(texts[:600], expected), *zip(texts[3000:], expected[3000:])][:: 1 if size > 20 else 7]:
+            maps = counter.maps(t, size) or [""]
+            assert counter.total(reduce(counter.compose, maps)) == n
+            # associative: any tree gives the same
+            halves = [reduce(counter.compose, part) for part in (maps[: len(maps) // 2], maps[len(maps) // 2 :]) if part]
+            assert counter.total(reduce(counter.compose, halves)) == n
+    again = token_counts.Counter(*token_counts.vocabulary_parts(open(path, "rb").read()), counter.machine.tables)
+    monkeypatch.setattr(token_counts, "STATES", 50)  # states that were added go and come again
+    assert [again.count(t) for t in texts] == expected and again.machine.known == len(counter.machine.tables.parent)
+    chunked = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), path, chunk=50).collect()}
+    once = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), path).collect()}
+    assert chunked == once
     got = token_counts.token_counts(docs, path).collect()
     plain = {(r.doc_id, len((r.text or "").encode())): r.text or "" for r in docs.collect()}
     for r in got:
@@ -306,16 +318,16 @@ def test_simhash(docs, empty):
     assert simhash.fingerprint("x " * 300_000) == naive_fingerprint("x " * 20)
 
 
-@pytest.mark.parametrize("pairs", [1, 64])
-def test_links_of_dense_groups(spark, pairs):
-    """Fingerprints within a few bits of each other: both forms link the same components."""
+def test_links_of_dense_groups(spark):
+    """Fingerprints within a few bits of each other, and a full ball: the components of all pairs."""
     rng = random.Random(8)
     centres = [rng.getrandbits(64) for _ in range(6)]
     prints = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for c in centres for _ in range(60)}
+    prints |= {centres[0] ^ 1 << a ^ 1 << b for a in range(0, 64, 7) for b in range(64)}
     rows = [(i, f) for i, f in enumerate(sorted(prints))]
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     nodes = spark.createDataFrame([(signed(f),) for _, f in rows], "fp long")
-    found = simhash.links(nodes, pairs)
+    found = simhash.links(nodes)
     assert found.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > 3).count() == 0
     root = {r.u: r.v for r in simhash.components(found).collect()}
     mine, theirs = {}, {}

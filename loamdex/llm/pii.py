@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contexts.
 
-Fixed patterns give the seeds. The two words before an identifier-like token are its lexical
-pattern; patterns and instances form a bipartite graph over the whole corpus. A pattern's score
+Fixed patterns give the seeds. The two words before an identifier-like token, of any length, are
+its lexical pattern; patterns and instances form a bipartite graph over the whole corpus. A pattern's score
 is the mean confidence of its instances (damped for few instances), an unseen instance's
 confidence the chance that one of its good patterns is right. A few rounds of both settle the
 scores; unseen instances of high-confidence patterns become spans of kind context.
@@ -26,27 +26,40 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: What a text with a valid match must hold; others are not searched.
 HINTS = {EMAIL: "@[A-Za-z0-9-]+\\.", IP: r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", CARD: r"[0-9](?:[\x20-]?[0-9]){13}", PHONE: r"\+[0-9]"}
-#: Tokens of 6 to 64 characters with four digits or an @: what an unseen identifier may look like.
-TOKEN = r"(?<![A-Za-z0-9@._+-])(?=(?:[A-Za-z@._+-]*+[0-9]){4}|[A-Za-z0-9._+-]++@)[A-Za-z0-9@._+-]{6,64}+(?![A-Za-z0-9@._+-])"
+#: Tokens of LEAST_CHARS or more characters with four digits or an @: what an unseen identifier may look like.
+TOKEN = r"(?<![A-Za-z0-9@._+-])(?=(?:[A-Za-z@._+-]*+[0-9]){4}|[A-Za-z0-9._+-]++@)[A-Za-z0-9@._+-]{6,}+"
 TOKEN_HINT = r"[0-9@]"
 
+LEAST_CHARS = 6
+BLOCK, SPANS = 256, "array<struct<start:int,end:int,match:string,before:string>>"
+#: Patterns and instances of more characters are told apart by digest.
+KEY_CHARS = 200
 ROUNDS, DAMPING, GOOD_PATTERN, GOOD_INSTANCE, LEAST_SEEDS = 3, 2.0, 0.8, 0.8, 3
 
 
-def _spans(text: str, pattern: str, hint: str) -> Column:
-    """Array of (start, end, match), start and end in code points."""
+def _spans(text: str, pattern: str, hint: str, before: int = 0) -> Column:
+    """Array of (start, end, match, before), start and end in code points; before: the text since the before-th match before, none for 0."""
     t = F.col(text)
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    none = F.array().cast(SPANS)
     pieces, matches = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
 
     def located(x: Column) -> Column:
         start = lambda a, i: a["to"] + F.char_length(F.get(x["p"], i))
-        out = F.aggregate(
-            F.sequence(F.lit(0), F.size(x["m"]) - 1), F.struct(F.lit(0).alias("to"), none.alias("found")),
-            lambda a, i: F.struct(
-                (start(a, i) + F.char_length(F.get(x["m"], i))).alias("to"),
-                F.concat(a["found"], F.array(F.struct(start(a, i).alias("start"), (start(a, i) + F.char_length(F.get(x["m"], i))).alias("end"), F.get(x["m"], i).alias("match")))).alias("found")))
-        return F.when(F.size(x["m"]) > 0, out["found"]).otherwise(none)
+        passed = lambda i: F.concat(*[F.coalesce(F.get(x[k], i - back), F.lit("")) for back in range(before - 1, -1, -1) for k in "pm"][:-1]) if before else F.lit("")
+
+        def one(a: Column, i: Column) -> Column:
+            match = F.get(x["m"], i)
+            return let(start(a, i), lambda s: F.struct(s.alias("start"), (s + F.char_length(match)).alias("end"), match.alias("match"), passed(i).alias("before")))
+
+        def block(a: Column, j: Column) -> Column:
+            """BLOCK matches at a time, as each step copies what it appends to."""
+            last = F.least(j * BLOCK + BLOCK, F.size(x["m"])) - 1
+            step = lambda b, i: let(one(b, i), lambda o: F.struct(o["end"].alias("to"), F.concat(b["found"], F.array(o)).alias("found")))
+            own = F.aggregate(F.sequence(j * BLOCK, last), F.struct(a["to"].alias("to"), none.alias("found")), step)
+            return let(own, lambda o: F.struct(o["to"].alias("to"), F.concat(a["found"], F.array(o["found"])).alias("found")))
+
+        out = F.aggregate(F.sequence(F.lit(0), ((F.size(x["m"]) - 1) / BLOCK).cast("int")), F.struct(F.lit(0).alias("to"), F.array().cast(f"array<{SPANS}>").alias("found")), block)
+        return F.when(F.size(x["m"]) > 0, F.flatten(out["found"])).otherwise(none)
 
     return F.when(t.rlike(hint), let(F.struct(pieces.alias("p"), matches.alias("m")), located)).otherwise(none)
 
@@ -92,22 +105,30 @@ def _tagged(k: int):
     return lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"))
 
 
+def _key(text: Column) -> Column:
+    return F.when(F.char_length(text) <= KEY_CHARS, text).otherwise(F.sha2(text, 256))
+
+
 def occurrences(text: str, base: str) -> Column:
-    """Array of identifier-like tokens: (start, end, instance, pattern, seed). seed: a base span meets it."""
+    """Array of identifier-like tokens: (start, end, instance, pattern, seed). seed: a base span meets it.
+
+    The two words before a token stand between it and the third token before it, so no window cuts them short.
+    """
 
     def one(s: Column) -> Column:
         word = F.regexp_replace(s["match"], r"[._+-]+$", "")
         end = s["start"] + F.char_length(word)
-        before = F.substring(F.col(text), F.greatest(s["start"] - 63, F.lit(1)), F.least(s["start"], F.lit(64)))
-        context = F.regexp_replace(F.lower(F.regexp_extract(before, r"(\S+\s+)?\S+\s*$", 0)), "[0-9]+", "#")
+        context = F.substring_index(F.trim(F.regexp_replace(s["before"], r"\s+", " ")), " ", -2)
         seed = F.exists(F.col(base), lambda b: (b["start"] < end) & (s["start"] < b["end"]))
-        return F.struct(s["start"].alias("start"), end.alias("end"), word.alias("instance"), F.trim(F.regexp_replace(context, r"\s+", " ")).alias("pattern"), seed.alias("seed"))
+        return F.struct(s["start"].alias("start"), end.alias("end"), _key(word).alias("instance"), _key(F.regexp_replace(F.lower(context), "[0-9]+", "#")).alias("pattern"), seed.alias("seed"))
 
-    return F.filter(F.transform(_spans(text, TOKEN, TOKEN_HINT), one), lambda o: F.char_length(o["instance"]) >= 6)
+    return F.filter(F.transform(_spans(text, TOKEN, TOKEN_HINT, 3), one), lambda o: o["end"] - o["start"] >= LEAST_CHARS)
 
 
 def confident(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, instance) pairs that are accepted. found: pattern, instance, seed of each occurrence."""
+    """(pattern, instance) pairs that are accepted. found: pattern, instance, seed of each occurrence. One round at least."""
+    if rounds < 1:
+        raise ValueError("bootstrapping takes one round or more")
     edges = checkpointed(found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     seeds = edges.groupBy("instance").agg(F.max("seed").alias("known"))
     confidence = seeds.select("instance", "known", F.col("known").cast("double").alias("c"))
@@ -163,7 +184,7 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
         out = F.when(fresh, F.concat(a["out"], F.substring(text, a["to"] + 1, s["start"] - a["to"]), F.get(masks, s["kind"]))).otherwise(a["out"])
         return F.struct(out.alias("out"), F.greatest(a["to"], s["end"]).alias("to"))
 
-    done = F.aggregate(F.col("_m_spans"), F.struct(F.lit("").alias("out"), F.lit(0).alias("to")), put, lambda a: F.concat(a["out"], F.substring(text, a["to"] + 1, F.char_length(text))))
-    masked = F.when(F.col("_m_spans").isNull(), text).otherwise(done)
+    done = F.aggregate(found["_m_spans"], F.struct(F.lit("").alias("out"), F.lit(0).alias("to")), put, lambda a: F.concat(a["out"], F.substring(text, a["to"] + 1, F.char_length(text))))
+    masked = F.when(found["_m_spans"].isNull(), text).otherwise(done)
     out = both.select(*[masked.alias("text") if c == "text" else docs[c] for c in docs.columns])
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -49,8 +49,11 @@ def sha256_of(joined: Column) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared folder that the session names; a folder of its own only where none is set."""
+    """df with its lineage cut, in the shared folder that the session names. Without one, a local session gets a folder of its own; a cluster's executors would share none."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint()

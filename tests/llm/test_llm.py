@@ -362,17 +362,16 @@ def naive_contamination(text, items):
 
 
 @pytest.mark.parametrize("set_windows", [0, 10_000])
-def test_contamination(spark, docs, empty, set_windows, monkeypatch):
+def test_contamination(spark, docs, empty, set_windows):
     items = [(1, "the same again and again"), (10, "COPY of one text that is the same again and again"), (2, ""), (3, None), (4, "the"), (5, LONG[:200]), (6, "the same again and again")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate.window_hits, "__defaults__", (decontaminate.N, set_windows))
-    got = decontaminate.contamination(docs, bench).collect()
+    got = decontaminate.contamination(docs, bench, set_windows=set_windows).collect()
     texts = {(r.doc_id, len(words(r.text))): r.text for r in docs.collect()}
     assert len(got) == docs.count()
     for r in got:
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == naive_contamination(texts[r.doc_id, r.n_words], items), r
     assert decontaminate.contamination(empty, bench).count() == 0
-    none = decontaminate.contamination(docs, bench.filter("item_id > 99"))
+    none = decontaminate.contamination(docs, bench.filter("item_id > 99"), set_windows=set_windows)
     assert none.filter("n_hit > 0 or contaminated").count() == 0 and none.count() == docs.count()
     kept = decontaminate.decontaminate(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not r.contaminated for r in got)

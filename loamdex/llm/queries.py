@@ -86,25 +86,32 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def _list(values, kind: str = "VARCHAR[]") -> str:
+    return f"{[list(v) if isinstance(v, tuple) else v for v in values]}::{kind}"
+
+
 def _op10_sql() -> str:
-    """The same by brute force: every line against every template."""
-    sets = [(label, sorted(set(t.split()))) for label, texts in licenses.TEMPLATES.items() for t in texts]
-    templates = ", ".join(f"('{label}', {t})" for label, t in sets)
+    """The same by brute force: every line, and every run of words that begins with a template word, against every template."""
+    rows = [f"({i}, '{t.label}', {_list(t.words)}, {t.need}, {t.span}, {_list(t.needed)}, {_list(t.others, 'VARCHAR[][]')})" for i, t in enumerate(licenses.compiled())]
     phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in licenses.PHRASES.items())
     pattern = textops.WORD
     return rf"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-w AS (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS w FROM d),
-template(label, words) AS (VALUES {templates}),
+w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS w FROM d),
+template(id, label, words, need, span, needed, others) AS (VALUES {", ".join(rows)}),
 phrase(words, label) AS (VALUES {phrases}),
 places AS (
   SELECT doc_id, i - 1 AS pos, label FROM w, phrase, unnest(generate_series(1, len(w.w))) AS u(i)
   WHERE w.w[i] = phrase.words[1] AND list_slice(w.w, i, i + len(phrase.words) - 1) = phrase.words),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
-line AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{pattern}')) AS words FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+candidate AS MATERIALIZED (SELECT doc_id, id, w FROM w, template WHERE len(list_intersect(words, w)) >= need),
+line AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{pattern}')) AS words FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d WHERE doc_id IN (SELECT doc_id FROM candidate))),
+block AS (
+  SELECT doc_id, id, line.words FROM line JOIN candidate USING (doc_id) UNION ALL
+  SELECT doc_id, id, list_distinct(list_slice(w, i, i + span - 1)) FROM candidate JOIN template USING (id), unnest(generate_series(1, len(w))) AS u(i) WHERE list_contains(words, w[i])),
 met AS (
-  SELECT doc_id, label, len(list_intersect(template.words, line.words)) / CAST(len(template.words) AS DOUBLE) AS share FROM line, template
-  WHERE len(list_intersect(template.words, line.words)) >= ceil({licenses.THRESHOLD} * len(template.words) - 1e-9)),
+  SELECT doc_id, label, len(list_intersect(t.words, b.words)) / CAST(len(t.words) AS DOUBLE) AS share FROM block b JOIN template t USING (id)
+  WHERE len(list_intersect(t.words, b.words)) >= need AND len(list_intersect(needed, b.words)) = len(needed) AND len(list_filter(others, lambda o: len(list_intersect(o, b.words)) = len(o))) = 0),
 label AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM met) GROUP BY doc_id),
 best AS (SELECT doc_id, max(share) AS best FROM met GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,

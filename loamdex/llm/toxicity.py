@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.llm.textops import checkpointed, whole
@@ -30,7 +30,8 @@ from loamdex.llm.workers import map_texts, releasing, small_batches
 
 #: Labelled rows that the lexicon and the logistic function are fitted on, at most.
 SAMPLE = 10_000
-SHORTEST, LONGEST = 3, 8
+#: Beginnings have this many characters; of longer words, the whole word is one more.
+SHORTEST, LONGEST = 3, 24
 #: A beginning is taken if this share of toxic documents has it, and MIN_POSITIVE of them, at this log-odds.
 MIN_SHARE, MIN_POSITIVE, MIN_WEIGHT = 0.01, 4, 3.0
 #: A longer beginning stands for a shorter one that has hardly more documents.
@@ -83,7 +84,8 @@ def features(text: str, matcher: ahocorasick.Automaton) -> tuple[float, float]:
 
 
 def beginnings(text: str) -> set[str]:
-    return {w[:k] for words in forms(text) for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
+    every = {w for words in forms(text) for w in words}
+    return {w[:k] for w in every for k in (*range(SHORTEST, min(len(w), LONGEST) + 1), len(w)) if k >= SHORTEST}
 
 
 def choose(counts: dict[str, tuple[int, int]], positive: int, negative: int) -> dict[str, float]:
@@ -93,7 +95,8 @@ def choose(counts: dict[str, tuple[int, int]], positive: int, negative: int) ->
     good = {b for b, w in weight.items() if w >= MIN_WEIGHT}
     longer = Counter()
     for b in good:
-        longer[b[:-1]] = max(longer[b[:-1]], counts[b][0])
+        shorter = b[: min(len(b) - 1, LONGEST)]
+        longer[shorter] = max(longer[shorter], counts[b][0])
     taken: dict[str, float] = {}
     for b in sorted(good, key=lambda b: (len(b), b)):
         if longer[b] < SAME * counts[b][0] and not any(b[:k] in taken for k in range(SHORTEST, len(b))):
@@ -180,6 +183,10 @@ def scored(docs: DataFrame, lexicon: dict[str, float], keep: list[str]) -> DataF
     return map_texts(docs.select(whole().alias("text"), *keep), run, f"{kinds}, x1 double, x2 double")
 
 
+def logit(x1: Column, x2: Column, beta: list[float]) -> Column:
+    return F.lit(beta[0]) + F.lit(beta[1]) * x1 + F.lit(beta[2]) * x2
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Return doc_id, held_out, score (0 to 1), predicted (1 from score 0.5 on).
 
@@ -189,7 +196,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     scores; an empty table gives no rows. Neither labels nor other columns go into a score.
     """
     lexicon, beta = learn(docs, labels, sample)
-    z = F.lit(beta[0]) + F.lit(beta[1]) * F.col("x1") + F.lit(beta[2]) * F.col("x2")
+    z = logit(F.col("x1"), F.col("x2"), beta)
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.least(F.greatest(z, F.lit(-35.0)), F.lit(35.0))))
     out = scored(docs.select("doc_id", "text"), lexicon, ["doc_id"]).withColumn("score", score)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -200,14 +207,15 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     lexicon, beta = learn(docs, labels, sample)
     compiled = json.dumps(lexicon)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         matcher = automaton(compiled)
         for texts in batches:
-            yield pd.Series([beta[0] + sum(b * x for b, x in zip(beta[1:], features(t or "", matcher))) >= 0 for t in texts], dtype=bool)
+            yield pd.DataFrame([features(t or "", matcher) for t in texts], columns=["x1", "x2"])
 
-    @F.pandas_udf("boolean")
-    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<x1:double,x2:double>")
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from releasing(run)(batches)
 
     small_batches(docs)
-    return docs.filter(~toxic("text"))
+    x = measured(docs["text"])
+    return docs.filter(logit(x["x1"], x["x2"], beta) < 0)

@@ -448,26 +448,32 @@ def naive_licenses(text):
     w = words(text)
     places = sorted((i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
     best, more = 0.0, set()
-    for line in (text or "").split("\n"):
-        have = set(words(line))
-        for label, templates in licenses.TEMPLATES.items():
-            for t in map(set, map(str.split, templates)):
-                share = len(t & have) / len(t)
-                if share >= licenses.THRESHOLD - 1e-9:
-                    best, more = max(best, share), more | {label}
+    every = [(label, t.split()) for label, texts in licenses.TEMPLATES.items() for t in texts]
+    for label, t in every:
+        own, span = set(t), -(-len(t) * 3 // 2)
+        need = -(-len(own) * 9 // 10)
+        siblings = [set(s) for other, s in every if other != label and len(own & set(s)) >= need]
+        blocks = [set(words(line)) for line in (text or "").split("\n")] + [set(w[i : i + span]) for i in range(len(w)) if w[i] in own]
+        for have in blocks:
+            if len(own & have) >= need and all(own - s <= have and not (s > own and s - own <= have) for s in siblings):
+                best, more = max(best, len(own & have) / len(own)), more | {label}
     base = {label for _, label in places}
     at = [i for i, _ in places]
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if at else best
 
 
 def test_licenses(spark, docs, empty):
-    texts = ["Released under the MIT License.", "released under license", "x\nThis work is licensed under the GNU General Public License, version 3.\ny", "All rights reserved. CC BY; cc\nby general public license", "cc", "Licensed under CC BY-NC 4.0."]
+    texts = ["Released under the MIT License.", "released under license", "x\nThis work is licensed under the GNU General Public License, version 3.\ny", "All rights reserved. CC BY; cc\nby general public license", "cc", "Licensed under CC BY-NC 4.0.",
+             "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under a Creative Commons\nAttribution 4.0 International License",
+             "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(5000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     got = licenses.scan_licenses(df).collect()
     plain = {(r.doc_id, len(words(r.text))): r.text for r in df.collect()}
     assert len(got) == df.count()
     for r in got:
         assert tuple(r)[1:] == naive_licenses(plain[r.doc_id, r.n_words]), plain[r.doc_id, r.n_words]
+    labels = {r.doc_id: set(r.labels.split(",")) for r in got}
+    assert labels[5002] == {"gpl", "gpl-3.0"} and labels[5006] == {"gpl", "gpl-2.0"} and labels[5007] == {"cc-by-4.0"} and labels[5008] == {"cc-by-sa-4.0"}
     assert {r.labels for r in got if r.doc_id == 5000} == {"mit"} and licenses.scan_licenses(empty).count() == 0
 
 

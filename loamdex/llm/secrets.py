@@ -2,7 +2,8 @@
 
 Long tokens get an encoding by their characters. Three tests ask whether a token looks drawn
 at random from that alphabet: chi-squared uniformity over ranges of the alphabet, the
-Wald-Wolfowitz runs test, and lag-one serial correlation; Fisher's method combines them. How
+Wald-Wolfowitz runs test over its kinds of characters (capitals, small letters, digits, signs; of
+one kind, over its halves), and lag-one serial correlation; Fisher's method combines them. How
 often ordinary text passes depends on length and encoding, so it is measured: all short pieces
 of all texts, digits and signs included, are glued as words, slugs, identifiers and paths are,
 and cut into tokens of each length band. Within a band and encoding, the passing level is the
@@ -34,15 +35,26 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Letters by how common they are in texts, so that a range of an alphabet holds letters that texts use alike often; random tokens use all ranges alike.
+SMALL = "etaoinsrhldcumfpgwybvkxjqz"
+CAPITALS, DIGITS = SMALL.upper(), "0123456789"
 #: Encodings by alphabet, narrowest first.
 ALPHABETS = {
-    "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "alpha": "abcdefghijklmnopqrstuvwxyz", "ALPHA": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
-    "any": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
+    "hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "alpha": SMALL, "ALPHA": CAPITALS,
+    "base32": CAPITALS + "234567", "base36": DIGITS + SMALL, "BASE36": DIGITS + CAPITALS,
+    "mixed": CAPITALS + SMALL, "base62": CAPITALS + SMALL + DIGITS,
+    "base64": CAPITALS + SMALL + DIGITS + "+/", "base64url": CAPITALS + SMALL + DIGITS + "-_", "any": CAPITALS + SMALL + DIGITS + "+/-_",
 }
 _PLACES = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()}
+
+
+def _kinds(alphabet: str) -> list[int]:
+    """What the runs test tells apart, for each character of an alphabet."""
+    kind = [c.isupper() + 2 * c.islower() + 3 * c.isdigit() for c in alphabet]
+    return kind if len(set(kind)) > 1 else [int(2 * i >= len(alphabet)) for i in range(len(alphabet))]
+
+
+_RUN_KINDS = {name: _kinds(a) for name, a in ALPHABETS.items()}
 BANDS = (20, 28, 40, 64, 100)
 LEVELS, LEAST_P, FALSE_SHARE = 40, 0.01, 0.05
 #: Below so many ordinary tokens a rate isn't measured; where a whole band has fewer, tokens pass at SMALL_P.
@@ -84,12 +96,12 @@ def randomness(token: str, name: str) -> float:
     for i in x:
         seen[i * k // m] += 1
     uniform = chi2_tail(sum((s - n * w / m) ** 2 / (n * w / m) for s, w in zip(seen, size)), k - 1)
-    above = [2 * i >= m for i in x]
-    up, runs = sum(above), 1 + sum(a != b for a, b in zip(above, above[1:]))
-    down = n - up
-    mean = 1 + 2 * up * down / n
-    spread = (mean - 1) * (mean - 2) / (n - 1)
-    p_runs = two_sided((runs - mean) / math.sqrt(spread)) if spread > 0 else two_sided(math.sqrt(n))
+    kind = [_RUN_KINDS[name][i] for i in x]
+    each = [kind.count(c) for c in range(4)]
+    runs, squares, cubes = 1 + sum(a != b for a, b in zip(kind, kind[1:])), sum(c * c for c in each), sum(c**3 for c in each)
+    mean = n + 1 - squares / n
+    spread = (squares * (squares + n * (n + 1)) - 2 * n * cubes - n**3) / (n * n * (n - 1))
+    p_runs = two_sided((runs - mean) / math.sqrt(spread)) if spread > 1e-9 else two_sided(math.sqrt(n))
     mid = sum(x) / n
     power = sum((i - mid) ** 2 for i in x)
     serial = sum((a - mid) * (b - mid) for a, b in zip(x, x[1:])) / power if power else 1.0
@@ -165,11 +177,12 @@ def levels_of(codes: np.ndarray, name: str) -> np.ndarray:
     size = n * np.bincount(bins, minlength=k) / m
     seen = np.bincount((bins[x] + k * np.arange(len(x))[:, None]).ravel(), minlength=k * len(x)).reshape(-1, k)
     fisher = np.maximum(_log_chi2_tail(((seen - size) ** 2 / size).sum(axis=1), k - 1), math.log(1e-300))
-    above = 2 * x >= m
-    up, runs = above.sum(axis=1), 1 + (above[:, 1:] != above[:, :-1]).sum(axis=1)
-    mean = 1 + 2 * up * (n - up) / n
-    spread = (mean - 1) * (mean - 2) / (n - 1)
-    z_runs = np.where(spread > 0, (runs - mean) / np.sqrt(np.where(spread > 0, spread, 1)), math.sqrt(n))
+    kind = np.array(_RUN_KINDS[name], np.int8)[x]
+    each = np.stack([(kind == c).sum(axis=1) for c in range(4)]).astype(float)
+    runs, squares, cubes = 1 + (kind[:, 1:] != kind[:, :-1]).sum(axis=1), (each**2).sum(axis=0), (each**3).sum(axis=0)
+    mean = n + 1 - squares / n
+    spread = (squares * (squares + n * (n + 1)) - 2 * n * cubes - n**3) / (n * n * (n - 1))
+    z_runs = np.where(spread > 1e-9, (runs - mean) / np.sqrt(np.where(spread > 1e-9, spread, 1)), math.sqrt(n))
     off = x - x.mean(axis=1, keepdims=True)
     power = np.einsum("ij,ij->i", off, off)
     serial = np.where(power > 0, np.einsum("ij,ij->i", off[:, :-1], off[:, 1:]) / np.where(power > 0, power, 1), 1.0)

@@ -72,6 +72,77 @@ def test_fingerprints(spark, docs, empty):
     assert lone.near_next == 1.0 and lone.next_doc_id == 3
 
 
+def chained(*parts, seed=42):
+    """Spark's xxhash64 of several values: the hash of each is the seed of the next."""
+    import struct
+
+    import xxhash
+
+    for x in parts:
+        if x is not None:
+            seed = xxhash.xxh64_intdigest(x if isinstance(x, bytes) else struct.pack("<q", x), seed)
+    return seed
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def naive_sketch(text):
+    w = [x.encode() for x in words(text)]
+    every = {chained(*w[i : i + 5]) >> 1 for i in range(len(w) - 4)} if len(w) >= 5 else {chained(*w) >> 1} if w else set()
+    low = sorted(h for h in every if h < 1 << 62)
+    return low if len(low) >= 64 else sorted(every)[:64]
+
+
+def naive_likeness(a, b):
+    end = min(2**63 - 1 if len(x) < 64 else max((1 << 62) - 1, x[-1]) for x in (a, b))
+    a, b = ({h for h in x if h <= end} for x in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints_by_brute_force(spark, docs):
+    """All rows: null and repeated ids, short texts beside very long ones."""
+    rng = random.Random(11)
+    lone = [f"x{rng.randint(0, 10**9)}" for _ in range(2000)]
+    extra = [(10_000 + i, " ".join(lone[k : k + n])) for i, (k, n) in enumerate([(0, 3), (0, 2000), (5, 5), (0, 300), (100, 300), (3, 4), (0, 70), (2, 64), (2, 68), (2, 69)])]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    rows = [(r.doc_id, r.text or "") for r in df.collect()]
+    rows.sort(key=lambda r: (-(2**63) if r[0] is None else r[0], signed(chained(r[1].encode()))), reverse=True)
+    sketch = {t: naive_sketch(t) for _, t in rows}
+    written = lambda x: "".join(f"{h:016x}" for h in x)
+    expected = []
+    for k, (i, t) in enumerate(rows):
+        other = rows[(k + 1) % len(rows)][1]
+        third = len(t) // 3
+        edited = t[: len(t) - third] + other[:third]
+        e = naive_sketch(edited)
+        expected.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), written(sketch[t]), written(e), round(naive_likeness(sketch[t], e), 12), round(naive_likeness(sketch[t], sketch[other]), 12)))
+    got = fingerprints.fingerprints(df).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.round("near_edited", 12), F.round("near_next", 12))
+    assert by_row(got) == sorted(expected, key=str)
+
+
+def test_merged_sketches_and_containment(spark):
+    """Of texts of very unequal length: the sketch of a union is that of all shingles, and a short text's containment is exact."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        long = [f"v{rng.randint(0, 10**6)}" for _ in range(rng.choice([20, 300, 3000]))]
+        at = rng.randint(0, len(long) - 10)
+        rows.append((i, " ".join(long), " ".join(long[at : at + rng.randint(3, 10)]) if i % 2 else " ".join(f"u{rng.randint(0, 99)}" for _ in range(rng.randint(0, 9)))))
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    df = fingerprints.with_sketch(fingerprints.with_sketch(df, F.col("a"), "sa", fingerprints.DENSE_BITS), F.col("b"), "sb", fingerprints.DENSE_BITS)
+    got = df.select("i", "a", "b", fingerprints.merged([F.col("sa"), F.col("sb")], fingerprints.DENSE_BITS).alias("m"), fingerprints.containment("sb", "sa", fingerprints.DENSE_BITS).alias("c")).collect()
+    for r in got:
+        sa, sb = naive_sketch(r.a), naive_sketch(r.b)
+        both = {*sa, *sb}
+        low = sorted(h for h in both if h < 1 << 62)
+        assert list(r.m) == (low if len(low) >= 64 else sorted(both)[:64])
+        end = min(2**63 - 1 if len(x) < 64 else max((1 << 62) - 1, x[-1]) for x in (sa, sb))
+        own = {h for h in sb if h <= end}
+        assert r.c == (len(own & set(sa)) / len(own) if own else 0.0 if sb else 1.0)
+
+
 def test_neighbours_of_sparse_ids(spark):
     rng = random.Random(1)
     groups = sorted({rng.getrandbits(rng.choice([4, 20, 40, 58])) * rng.choice([1, -1]) for _ in range(300)})
@@ -176,6 +247,62 @@ def test_slugs_are_controlled_and_small_tables_searched(spark):
     assert got[7] >= 1 and sum(got.values()) <= 6
 
 
+def test_secrets_by_brute_force(spark, docs):
+    rng = random.Random(18)
+    made = lambda n: "".join(rng.choice(secrets.ALPHABETS["base64url"]) for _ in range(n))
+    extra = [(7000 + i, " ".join(["plain", "words", "v2", "of", "x-ray"] * 40) + f" {made(rng.choice([20, 33, 64, 300]))} AKIA{'Q' * 16} {'/'.join(['usr', 'lib'] * 6)}") for i in range(40)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    plain = [(r.doc_id, r.text or "") for r in df.collect()]
+    seen, found = {}, []
+    for i, t in plain:
+        base = naive_secrets(t)
+        own = []
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", t):
+            name = secrets.encoding(m[0])
+            if name and not any(s < m.end() and m.start() < e for s, _, e in base):
+                key = secrets.band(len(m[0])), name, secrets.level(secrets.randomness(m[0], name))
+                own.append((m.start(), m.end(), *key))
+                seen.setdefault(key, [0, 0])[0] += 1
+        joined = secrets.glued(t, base)
+        for b, n in enumerate(secrets.BANDS):
+            for k in range(0, len(joined) - n + 1, n):
+                token = joined[k : k + n].decode()
+                if name := secrets.encoding(token):
+                    seen.setdefault((b, name, secrets.level(secrets.randomness(token, name))), [0, 0])[1] += 1
+        found.append((i, t, base, own))
+    passing = secrets.passing_levels([(*k, *v) for k, v in seen.items()])
+    expected = []
+    for i, _, base, own in found:
+        spans = sorted(base + [(s, 3, e) for s, e, b, name, k in own if k >= passing.get((b, name), 99)])
+        joined = lambda x: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in x)
+        expected.append((i, *(sum(k == j for _, k, _ in base) for j in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)))
+    got = secrets.scan_secrets(df)
+    assert by_row(got.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")) == sorted(expected, key=str)
+    assert sum(e[-1] for e in expected) >= 30
+
+
+READABLE = ["version{}releasecandidate{}buildnumber", "internationalization{}conference{}", "IMG2024{}Holiday{}Summer3Vacation4", "annualreport20{}finaldraftversion{}"]
+
+
+def test_readable_identifiers_and_planted_secrets(spark):
+    """Of 400 identifiers of words and numbers hardly any is taken for random; of random tokens, nearly all, in every band of length."""
+    rng = random.Random(19)
+    vocabulary = ["".join(rng.choice(["tion", "er", "an", "the", "ing", "re", "on", "st", "ve", "al"]) for _ in range(rng.randint(1, 3))) for _ in range(800)]
+    prose = lambda: " ".join(rng.choice(vocabulary) if rng.random() < 0.93 else str(rng.randint(0, 2030)) for _ in range(200))
+    rows, planted = [], {}
+    for i in range(400):
+        rows.append((i, f"{prose()} {READABLE[i % 4].format(rng.randint(1, 29), rng.randint(1, 9))} {prose()}"))
+    for i in range(400, 600):
+        n = rng.choice([32, 44, 64, 100, 343])
+        planted[i] = n
+        rows.append((i, f"{prose()} {''.join(rng.choice(secrets.ALPHABETS['base62']) for _ in range(n))} {prose()}"))
+    got = {r.doc_id: r.n_random for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] > 0 for i in range(400)) <= 5
+    for least, most in ((32, 32), (44, 64), (100, 343)):
+        own = [i for i, n in planted.items() if least <= n <= most]
+        assert sum(got[i] > 0 for i in own) >= 0.9 * len(own), (least, most)
+
+
 # ---- op3 and op6
 
 
@@ -267,6 +394,67 @@ def test_personal_data(spark, docs, empty):
     assert pii.scan_personal_data(docs).count() == docs.count() and pii.scan_personal_data(empty).count() == 0
 
 
+def naive_contexts(texts):
+    """Spans that bootstrapping adds, by plain loops. texts: {key: text}."""
+    found, edges = [], {}
+    for key, t in texts.items():
+        base = naive_personal(t)
+        for m in re.finditer(r"[A-Za-z0-9@._+-]+", t):
+            word = m[0].rstrip("._+-")
+            if len(m[0]) < 6 or len(word) < 6 or not (len(re.findall("[0-9]", m[0])) >= 4 or m[0].find("@") > 0):
+                continue
+            start, end = m.start(), m.start() + len(word)
+            before = [x for x in re.split(r"[ \t\n\x0b\f\r]+", t[:start]) if x]
+            pattern = re.sub("[0-9]+", "#", " ".join(before[-2:]).lower())
+            seed = any(s < end and start < e for s, _, e in base)
+            found.append((key, start, end, word, pattern, seed))
+            edges[pattern, word] = edges.get((pattern, word), False) or seed
+    known = {}
+    for (_, w), seed in edges.items():
+        known[w] = known.get(w, False) or seed
+    sure = {w: float(k) for w, k in known.items()}
+    for _ in range(pii.ROUNDS):
+        patterns = {}
+        for p in {p for p, _ in edges}:
+            own = [w for q, w in edges if q == p]
+            score = sum(sure[w] for w in own) / (len(own) + pii.DAMPING)
+            if sum(known[w] for w in own) >= pii.LEAST_SEEDS and score > 0.5:
+                patterns[p] = score
+        wrong = {}
+        for p, w in edges:
+            if p in patterns:
+                wrong[w] = wrong.get(w, 1.0) * (1 - min(patterns[p], 0.999))
+        sure = {w: 1.0 if k else 1 - wrong.get(w, 1.0) for w, k in known.items()}
+    return {(key, s, e) for key, s, e, w, p, seed in found if not seed and not known[w] and patterns.get(p, 0) >= pii.GOOD_PATTERN and sure[w] >= pii.GOOD_INSTANCE}
+
+
+def test_personal_data_by_brute_force(spark, docs):
+    rng = random.Random(20)
+    kinds = ["please write to {}@mail.org today", "my  account {} is open", "call {} or come"]
+    rows = [(i, kinds[i % 3].format(f"m{i}" if i % 3 == 0 else f"10.0.{i % 250}.7" if i % 6 == 1 else f"{rng.randint(10**5, 10**7)}-X{i}")) for i in range(240)]
+    rows += [(900, "please write to 12-3456-AB, 12-3456-AC and please write to 77-3456-AB."), (901, f"please write to {'ab1234' * 12}x now"), (902, f"{'long' * 40} please write to 55-4444-QQ"), (903, None), (904, "")]
+    got = {r.doc_id: r for r in pii.scan_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    contexts = naive_contexts({i: t or "" for i, t in rows})
+    for i, t in rows:
+        base = naive_personal(t or "")
+        spans = sorted(base + [(s, 4, e) for k, s, e in contexts if k == i])
+        assert got[i].spans == ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans) and got[i].n_context == len(spans) - len(base), t
+    # an identifier of 73 characters, and one behind a word of 160
+    assert {(901, 16, 89), (902, 177, 187)} <= contexts
+
+
+def test_recall_and_precision_of_contexts(spark):
+    """Unseen identifiers in contexts that identifiers have, against the same forms in other contexts."""
+    rng = random.Random(21)
+    good, bad = ["reach me at", "contact person at", "send it to"], ["invoice number was", "the model is", "build of"]
+    number = lambda: f"{rng.randint(10, 99)}-{rng.randint(1000, 9999)}-{rng.choice('ABCDE')}{rng.randint(0, 9)}"
+    rows = [(i, f"so {good[i % 3]} user{i}@mail.org please") for i in range(150)]
+    rows += [(1000 + i, f"so {good[i % 3]} {number()} please") for i in range(30)] + [(2000 + i, f"so {bad[i % 3]} {number()} please") for i in range(150)]
+    got = {r.doc_id: r.n_context for r in pii.scan_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit, wrong = sum(got[1000 + i] for i in range(30)), sum(got[2000 + i] for i in range(150))
+    assert hit >= 27 and wrong == 0
+
+
 def test_contexts_find_unseen_identifiers(spark):
     rows = [(i, f"please write to member{i}@mail.org today") for i in range(30)] + [(100, "please write to 12-3456-AB today"), (101, "the invoice 12-9999-ZZ is late")]
     got = {r.doc_id: r.spans for r in pii.scan_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -279,6 +467,28 @@ def test_masking(spark, docs):
     assert got == {1: ("mail [EMAIL] or [IP]!", 21), 2: (None, None), 3: ("nothing", 7)}
     out = pii.mask_personal_data(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
+    with pytest.raises(ValueError):
+        pii.confident(docs.select(F.lit("p").alias("pattern"), F.lit("i").alias("instance"), F.lit(True).alias("seed")), 0)
+
+
+#: Names that operators give to columns of their own.
+HELPERS = ["_m_id", "_m_key", "_m_spans", "_out_id", "_out_key", "_bad_id", "_bad_key", "_row", "_text", "_t", "_w", "_wh", "_h", "_s", "_b", "_f", "_fb", "_g", "_group", "_sort", "_fp", "_places", "_label", "fp", "root", "first", "component_id", "base", "spans", "candidates", "ordinary", "head", "between", "tail", "x1", "x2", "score", "variant", "hub", "n_words", "contaminated"]
+
+
+def test_clashing_names(spark):
+    rows = [(1, "write to me@mail.org now", "en", "a"), (2, "write to me@mail.org now", "en", "a"), (3, None, None, None), (4, "some other words that stand here", "de", "b")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.char_length("text").cast("long"))
+    clash = plain.select("*", *[F.lit("own").alias(n) for n in HELPERS])
+    labels = spark.createDataFrame([(1, 0), (2, 0), (4, 1)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "other words that stand")], "item_id long, text string")
+    path, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    whole = [fingerprints.fingerprints, secrets.scan_secrets, lambda d: token_counts.token_counts(d, path, chunk=5), pii.scan_personal_data, simhash.near_duplicates, lambda d: byte_bpe.encode_documents(d, ranks),
+             lambda d: decontaminate.contamination(d, bench), lambda d: toxicity.toxicity(d, labels), sharding.interleaved_shards, licenses.scan_licenses]
+    for f in whole:
+        assert by_row(f(clash)) == by_row(f(plain))
+    for f in (pii.mask_personal_data, simhash.drop_near_duplicates, lambda d: decontaminate.decontaminate(d, bench), lambda d: toxicity.drop_toxic(d, labels)):
+        out = f(clash)
+        assert out.columns == clash.columns and by_row(out.select(*plain.columns)) == by_row(f(plain)) and out.filter("_m_spans != 'own' or score != 'own'").count() == 0
 
 
 # ---- op5
@@ -406,6 +616,28 @@ def test_toxicity(spark, docs, empty):
     assert kept.columns == df.columns and kept.filter("toxic = 0").count() == 500 and kept.filter("toxic = 1").count() <= 3
 
 
+def test_scores_by_brute_force(spark, docs):
+    import json
+    import math
+    import zlib
+
+    rng = random.Random(22)
+    rows = [(i, " ".join(rng.choice(["fine", "good", "words", "lumpenpack" if i % 5 == 0 else "nice", "schurke" if i % 5 == 0 else "kind", "internationalisierungsbeauftragter" if i % 5 == 0 else "internationalisierungsbeauftragte"]) for _ in range(30)), int(i % 5 == 0)) for i in range(400)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    every = labelled.select("doc_id", "text").unionByName(docs.select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
+    labels = labelled.select("doc_id", "toxic")
+    lexicon, beta = toxicity.learn(every, labels)
+    assert any(len(b) > 8 for b in lexicon)
+    matcher = toxicity.automaton(json.dumps(lexicon))
+    expected = []
+    for r in every.collect():
+        x1, x2 = toxicity.features(r.text or "", matcher)
+        z = max(-35.0, min(35.0, beta[0] + beta[1] * x1 + beta[2] * x2))
+        expected.append((r.doc_id, zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 0, round(1 / (1 + math.exp(-z)), 9), int(z >= 0)))
+    got = toxicity.toxicity(every, labels).select("doc_id", "held_out", F.round("score", 9), "predicted")
+    assert by_row(got) == sorted(expected, key=str)
+
+
 def test_folding_and_exceptions():
     import json
 
@@ -441,6 +673,35 @@ def test_sharding(spark, docs, empty):
     assert again == {(r.doc_id, r.size, r.slot, r.shard) for r in got}
 
 
+@pytest.mark.parametrize("bucket_rows", [4096, 2])
+def test_shards_by_brute_force(spark, docs, bucket_rows, monkeypatch):
+    import struct
+    import zlib
+
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(sharding, "GROUP_BITS", 3)
+    seed = chained(struct.pack("<i", 42))
+    rows = []
+    for r in docs.collect():
+        data = (r.text or "").encode()
+        rows.append((r.doc_id, r.source, len(data) + 1, zlib.crc32(data)))
+    number = lambda i: (i is not None, i or 0)
+    own = lambda r: (chained(r[0], r[3], r[2], seed=seed), number(r[0]), r[3])
+    placed = []
+    for source in {r[1] for r in rows}:
+        name = "" if source is None else "s" + source
+        offset = (signed(chained(name.encode(), seed=seed)) % (1 << 30) + 1) / float((1 << 30) + 1)
+        mine = sorted((r for r in rows if r[1] == source), key=own)
+        placed += [((k + offset) / len(mine), name, own(r), r) for k, r in enumerate(mine)]
+    placed.sort(key=lambda p: p[:3])
+    n, slots, expected = len(placed), {}, []
+    for g, (*_, r) in enumerate(placed):
+        shard = g * 8 // n
+        expected.append((*r, shard, slots.setdefault(shard, 0)))
+        slots[shard] += 1
+    assert by_row(sharding.interleaved_shards(docs, 8)) == sorted(expected, key=str)
+
+
 # ---- op10
 
 
@@ -523,3 +784,67 @@ def test_pipeline(spark, tmp_path):
     none = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, folder).count() == 0, name
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """All stages by plain Python, over rows with nulls, repeats, copies and near copies."""
+    import base64
+    import json
+
+    import corpus_pipeline
+    import tiktoken
+
+    rng = random.Random(23)
+    vocabulary = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8))) for _ in range(500)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    bench = [(i, " ".join(prose(rng.choice([6, 20])))) for i in range(6)] + [(90, None), (91, "")]
+    texts = []
+    for i in range(300):
+        w = prose(rng.randint(0, 90))
+        if i % 7 == 0:
+            w = [x + " schurke" * (k % 5 == 0) for k, x in enumerate(w)]
+        if i % 11 == 0:
+            w[len(w) // 2 : len(w) // 2] = bench[i % 6][1].split()
+        if i % 13 == 0:
+            w.append(rng.choice(["me@mail.org", "10.1.2.3", "4111 1111 1111 1111", "+1 (555) 123-4567", "<|endoftext|>"]))
+        if i % 9 == 0 and i:
+            w = texts[rng.randrange(len(texts))].split() + ["more"] * rng.randint(0, 1)
+        texts.append(" ".join(w))
+    rows = [(i * 3 % 311, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(None, "no id here", "en", "s", 10), (None, None, None, None, None), (700, None, None, None, None), (701, "", "en", "s", 0)]
+    rows += [rows[1], rows[8], rows[8]]
+    folder = str(tmp_path)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i * 3 % 311, int("schurke" in t)) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+    lexicon, beta = toxicity.learn(docs, labels)
+    matcher = toxicity.automaton(json.dumps(lexicon))
+    kept = [r[:2] for r in rows if beta[0] + sum(b * x for b, x in zip(beta[1:], toxicity.features(r[1] or "", matcher))) < 0]
+    assert 0 < len(kept) < len(rows) - 20
+    root = naive_components([(i, naive_fingerprint(t)) for i, t in kept])
+    groups = {}
+    prints = [naive_fingerprint(t) for _, t in kept]
+    for (i, t), c, p in zip(kept, root, prints):
+        # a component without any id is told apart by its fingerprint
+        groups.setdefault((c,) if c is not None else (None, p), []).append((i is None, i or 0, signed(chained((t or "").encode())), t))
+    kept = [(None if none else i, t) for none, i, _, t in map(min, ([(a, b, c, t or "") for a, b, c, t in g] for g in groups.values()))]
+    kept = [(i, t) for i, t in kept if not naive_contamination(t, bench)[4]]
+    contexts = naive_contexts(dict(enumerate(t or "" for _, t in kept)))
+    masked = []
+    for k, (i, t) in enumerate(kept):
+        out, at = "", 0
+        for s, kind, e in sorted(naive_personal(t) + [(s, 4, e) for key, s, e in contexts if key == k]):
+            if s >= at:
+                out += t[at:s] + f"[{pii.KINDS[kind].upper()}]"
+            at = max(at, e)
+        masked.append((i, out + t[at:]))
+    data = open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read()
+    library = tiktoken.Encoding("p", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}, special_tokens={})
+    expected = []
+    for i, t in masked:
+        ids = library.encode_ordinary(t)
+        expected.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    got = corpus_pipeline.run(spark, folder).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert by_row(got) == sorted(expected, key=str)

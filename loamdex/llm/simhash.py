@@ -6,9 +6,9 @@ and its 64 variants of one flip. Fingerprints three bits apart differ in parity,
 an odd number of bits emit variants of two flips as well, and of three differing bits two are
 always in one half, so the two flips are of the same half: about 560 variants on average.
 
-Variants are shuffled once. On a variant, the smallest fingerprint within one flip of it is the
-hub; all others that emit it are within 3 bits of the hub, are verified against it and linked to
-it. Equal fingerprints are one node, so at most 2,081 meet on a variant, however many copies there
+Variants are shuffled once, each with the number of its flips, from which its fingerprint follows. On a
+variant, a fingerprint within one flip of it is the hub, that of the least number; all others that
+emit it are within 3 bits of the hub, are verified against it and linked to it. Equal fingerprints are one node, so at most 2,081 meet on a variant, however many copies there
 are, and no pairs within a group are needed.
 
 Components come from alternating large-star and small-star steps over the links, with a checkpoint
@@ -63,21 +63,32 @@ def _odd(x: Column) -> Column:
     return F.bit_count(x) % 2 == 1
 
 
-def ball_variants(nodes: DataFrame) -> DataFrame:
-    """(variant, fp) of the distinct fingerprints fp."""
+def _flips() -> list[int]:
+    """The masks of variants by number: none, one flip, two flips of one half."""
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    near = [0, *[signed(1 << k) for k in range(64)]]
-    far = [signed(1 << a | 1 << b) for low in (0, 32) for a, b in combinations(range(low, low + 32), 2)]
-    masks = F.when(_odd(F.col("fp")), F.lit(near + far)).otherwise(F.lit(near))
-    return nodes.select("fp", F.explode_outer(masks).alias("_m")).select(F.col("fp").bitwiseXOR(F.col("_m")).alias("variant"), "fp")
+    single = [signed(1 << k) for k in range(64)]
+    return [0, *single, *[signed(1 << a | 1 << b) for low in (0, 32) for a, b in combinations(range(low, low + 32), 2)]]
+
+
+#: Flips up to this number are of one bit at most.
+NEAR = 64
+
+
+def ball_variants(nodes: DataFrame) -> DataFrame:
+    """(variant, flip) of the distinct fingerprints fp; flip is the number of the mask, from which the fingerprint follows again."""
+    masks = _flips()
+    every = F.when(_odd(F.col("fp")), F.lit(masks)).otherwise(F.lit(masks[: NEAR + 1]))
+    return nodes.select("fp", F.posexplode_outer(every).alias("flip", "_m")).select(F.col("fp").bitwiseXOR(F.col("_m")).alias("variant"), F.col("flip").cast("short").alias("flip"))
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """Distinct links (u, v), u > v, that connect what lies within RADIUS bits. nodes: distinct fp."""
-    apart = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-    near = F.when(apart("fp", "variant") <= RADIUS // 2, F.col("fp"))
-    met = ball_variants(nodes).withColumn("hub", F.min(near).over(Window.partitionBy("variant")))
-    found = met.filter((F.col("fp") != F.col("hub")) & (apart("fp", "hub") <= RADIUS))
+    # only variant and flip are shuffled: fingerprints follow from them behind the window
+    met = ball_variants(nodes).withColumn("_least", F.min("flip").over(Window.partitionBy("variant")))
+    met = met.filter((F.col("_least") <= NEAR) & (F.col("flip") != F.col("_least")))
+    of = lambda flip: F.col("variant").bitwiseXOR(F.get(F.lit(_flips()), F.col(flip)))
+    met = met.select(of("flip").alias("fp"), of("_least").alias("hub"))
+    found = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= RADIUS)
     return found.select(F.greatest("fp", "hub").alias("u"), F.least("fp", "hub").alias("v")).distinct()
 
 

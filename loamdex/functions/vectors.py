@@ -63,10 +63,11 @@ def toy_embedding(dim: int = 256):
     """Arrow. Deterministic stand-in for a model: counts of character bigrams, hashed as code point 1 * 31 + code point 2; not normalised."""
 
     @F.pandas_udf("array<double>")
-    def run(text: pd.Series) -> pd.Series:
+    def run(text: pd.Series, size: pd.Series) -> pd.Series:
         return text.map(lambda t: toy_embed(t, dim), na_action="ignore")
 
-    return run
+    # the second use keeps the optimizer from inlining a text that is an expression: lambdas can't stand inside of a Python function's arguments
+    return lambda text: run(_c(text), F.char_length(_c(text)))
 
 
 #: Prefixes of texts by model family and role, and sizes.
@@ -89,6 +90,11 @@ def similarity_pairs(vectors: DataFrame, id: str = "vec_id", vector: str = "embe
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", cosine("_a", "_b").alias("sim"))
 
 
+def ranked_neighbours(found: DataFrame) -> DataFrame:
+    """(i, j, sim, rank) of searched lists (qid, id, score): ties share a rank."""
+    return found.select(F.col("qid").alias("i"), F.col("id").alias("j"), F.col("score").alias("sim"), F.rank().over(Window.partitionBy("qid").orderBy(F.col("score").desc())).alias("rank"))
+
+
 def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "sim"))
 

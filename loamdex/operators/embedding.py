@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,19 +30,41 @@ class ToyEmbedder:
         return model_embedding(lambda: lambda texts: [toy_embed(t) for t in texts])(text)
 
 
-def model_embedding(load: Callable[[], Callable[[list[str]], list]], batch: int = BATCH):
-    """Arrow. load() runs once in each task, and gives a function from texts to vectors that is called on batches."""
+_MODELS: dict[str, object] = {}
+
+
+def loaded(name: str, load: Callable[[], object]):
+    """One model a worker process: the first call loads it, another name takes its place."""
+    if name not in _MODELS:
+        _MODELS.clear()
+        _MODELS[name] = load()
+    return _MODELS[name]
+
+
+def pooled(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Mean of the token vectors (texts, tokens, numbers) that the mask keeps, to unit length; a text without tokens stays zero."""
+    kept = mask[..., None].astype(np.float64)
+    mean = (tokens * kept).sum(axis=1) / np.maximum(kept.sum(axis=1), 1e-9)
+    n = np.linalg.norm(mean, axis=1, keepdims=True)
+    return mean / np.where(n == 0, 1, n)
+
+
+def model_embedding(load: Callable[[], Callable[[list[str]], list]], batch: int = BATCH, name: str | None = None):
+    """Arrow. load() gives a function from texts to vectors, or to (token vectors, mask) that are pooled; it is called on batches. With a name it runs once a worker, else once a task."""
 
     def run(text: Column) -> Column:
         @F.pandas_udf("array<double>")
-        def embed(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = load()
-            for s in series:
-                own = [t or "" for t in s]
-                vectors = [v for i in range(0, len(own), batch) for v in model(own[i : i + batch])]
+        def embed(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            model = loaded(name, load) if name else load()
+            for s, _ in series:
+                own, vectors = [t or "" for t in s], []
+                for i in range(0, len(own), batch):
+                    made = model(own[i : i + batch])
+                    vectors += list(pooled(*map(np.asarray, made))) if isinstance(made, tuple) else list(made)
                 yield pd.Series([None if t is None else list(map(float, v)) for t, v in zip(s, vectors)])
 
-        return embed(text)
+        # the second use keeps the optimizer from inlining a text that is an expression with lambdas
+        return embed(text, F.char_length(text))
 
     return run
 

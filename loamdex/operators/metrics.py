@@ -105,8 +105,9 @@ def team_scores(submissions: DataFrame, golden: DataFrame, k: int) -> DataFrame:
 
     submissions (team, qid, retrieved, citations arrays of ids); golden (qid, docs array). Missing questions score 0.
     """
-    teams = submissions.select("team").distinct()
-    full = teams.join(F.broadcast(golden.select("qid", "docs"))).join(submissions, ["team", "qid"], "left")  # questions are a fixed short list
+    # each question once for each team; documents of a question may be many, so they only meet what a team gave
+    teams = submissions.agg(F.collect_set("team").alias("_teams"))
+    full = golden.select("qid", "docs").join(F.broadcast(teams)).select(F.explode("_teams").alias("team"), "qid", "docs").join(submissions, ["team", "qid"], "left")
     rows = full.select(F.struct("team", "qid").alias("qid"), "docs", "retrieved", "citations")
     runs = first_of_documents(rows.select("qid", F.posexplode("retrieved").alias("rank", "id")).withColumn("rank", F.col("rank") + 1)).filter(F.col("rank") <= k).filter("id is not null")
     scored = per_query(runs, rows.select("qid", F.explode(F.array_distinct("docs")).alias("id")), rows, k)

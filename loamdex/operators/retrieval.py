@@ -7,18 +7,25 @@ digits before ranking, so the order of summation can't swap equal ones.
 from __future__ import annotations
 
 import heapq
+import math
+import pickle
+import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loamdex.functions.text import tokenize
+from loamdex.session import stored
 
 DIGITS, BLOCK = 9, 1024
+#: Query terms that are sent to all tasks at most; vectors of a block, to each query of one.
+SET_TERMS, VECTORS_PER_QUERY = 20_000, 16
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
@@ -40,15 +47,29 @@ class Bm25Index:
 
     @staticmethod
     def build(texts: DataFrame, id: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, tokenizer: Callable[[Column], Column] = tokenize, only: DataFrame | None = None) -> Bm25Index:
-        """only (term): keep postings of these terms alone, for searches that need no others; they are dropped before anything is shuffled, and scores stay the same."""
+        """only (term): keep postings of these terms alone, for searches that need no others; scores stay the same.
+
+        Up to SET_TERMS terms, texts are cut into words once: the words asked for and the lengths leave the
+        scan and are stored, and postings and the collection's size come from there. More terms are too many
+        to send; then words leave the scan and meet the terms in a join.
+        """
         tokens = texts.select(F.col(id).alias("id"), F.coalesce(tokenizer(F.col(text)), F.array().cast("array<string>")).alias("_t"))
+        known = [r["term"] for r in only.select("term").distinct().limit(SET_TERMS + 1).collect()] if only is not None else None
+        if known is not None and len(known) <= SET_TERMS:
+            tokens = stored(tokens.select("id", F.size("_t").alias("len"), F.filter("_t", lambda t: t.isin(known)).alias("_t")))
+        else:
+            tokens = tokens.withColumn("len", F.size("_t"))
         # an outer explode: for others, the optimizer also tokenizes in a filter
-        words = tokens.select("id", F.size("_t").alias("len"), F.explode_outer("_t").alias("term"))
-        words = words.filter("term is not null") if only is None else words.join(only.select("term").distinct(), "term", "left_semi")
+        words = tokens.select("id", "len", F.explode_outer("_t").alias("term"))
+        words = words.join(only.select("term").distinct(), "term", "left_semi") if known is not None and len(known) > SET_TERMS else words.filter("term is not null")
         postings = words.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-        size = tokens.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_t")).alias("total"))
+        size = tokens.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total"))
         return Bm25Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), size, k1, b, tokenizer)
 
+    def with_(self, k1: float, b: float) -> Bm25Index:
+        """The same postings, scored by other settings."""
+        return replace(self, k1=k1, b=b)
+
     def add(self, texts: DataFrame, id: str = "doc_id", text: str = "text") -> Bm25Index:
         """An index over both sets; nothing of the old texts is read again."""
         new = Bm25Index.build(texts, id, text, self.k1, self.b, self.tokenizer)
@@ -89,60 +110,79 @@ def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     return rows
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", skip_self: bool = False) -> DataFrame:
-    """Exact cosine top-k of every query (qid, vector) against every vector, in blocks of BLOCK queries.
+def _best(names: list, q: np.ndarray, ids: list, m: np.ndarray, k: int, skip_self: bool, best: list[list[tuple]]) -> None:
+    """Puts the k best of unit rows m into each query's list (score, id)."""
+    wide = k + skip_self  # a query's own row takes a place before it is left out
+    scores = np.round(q @ m.T, DIGITS)
+    for i, row in enumerate(scores):
+        cut = np.partition(row, -wide)[-wide] if len(row) > wide else -np.inf
+        found = [(float(row[j]), ids[j]) for j in np.flatnonzero(row >= cut).tolist() if not (skip_self and ids[j] == names[i])]
+        best[i] = sorted(best[i] + found, key=lambda x: (-x[0], x[1]))[:k]
+
+
+def _flat(names: list, best: list[list[tuple]], schema: pa.Schema) -> pa.RecordBatch:
+    rows = [(n, x[1], x[0]) for n, own in zip(names, best) for x in own]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(3)], schema=schema)
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", skip_self: bool = False, block: int = BLOCK) -> DataFrame:
+    """Exact cosine top-k of every query (qid, vector) against every vector. A zero vector scores 0.
 
-    A block's queries are a matrix that all tasks get; each partition multiplies its batches with it and
-    keeps k rows a query, so the shuffle carries k rows a query and partition. A zero vector scores 0.
+    Up to block queries are sent to all tasks: each partition multiplies its batches with them, so the
+    shuffle carries k rows a query and partition. More queries are dealt into blocks of about that
+    size and vectors into larger ones; each block of queries meets each block of vectors in one task, as
+    a product of two matrices. No query passes through the driver then.
     """
-    out, wide = None, k + skip_self  # a query's own row takes a place before it is left out
-    kind = vectors.schema[id].dataType.simpleString()
-    # distinct blocks by the queries' order; a block is bounded, their number follows the query set
-    rows = queries.select("qid", F.col(vector).alias("v")).toLocalIterator()
-    for block in _blocks(rows):
-        names, q = [r["qid"] for r in block], _unit(np.array([r["v"] for r in block], np.float64))
+    own = vectors.select(F.col(id).alias("id"), F.col(vector).alias("v"))
+    asked = queries.select("qid", F.col(vector).alias("q"))
+    kinds = asked.schema["qid"].dataType, own.schema["id"].dataType
+    schema = pa.schema([("qid", to_arrow_type(kinds[0])), ("id", to_arrow_type(kinds[1])), ("score", pa.float64())])
+    spark_schema = f"qid {kinds[0].simpleString()}, id {kinds[1].simpleString()}, score double"
+    first = asked.limit(block + 1).collect()
+    if len(first) <= block:
+        names, q = [r["qid"] for r in first], _unit(np.array([r["q"] for r in first], np.float64)) if first else None
         sent = vectors.sparkSession.sparkContext.broadcast((names, q))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
             best: list[list[tuple]] = [[] for _ in names]
             for batch in batches:
-                ids, m = batch.column(0).to_pylist(), _unit(_matrix(batch.column(1), q.shape[1]))
-                scores = np.round(q @ m.T, DIGITS) if len(ids) else np.zeros((len(names), 0))
-                for i, row in enumerate(scores):
-                    cut = np.partition(row, -wide)[-wide] if len(row) > wide else -np.inf
-                    found = [(row[j], -ids[j] if isinstance(ids[j], int) else 0, ids[j]) for j in np.flatnonzero(row >= cut).tolist() if not (skip_self and ids[j] == names[i])]
-                    best[i] = heapq.nlargest(k, best[i] + found, key=lambda x: x[:2])
-            flat = [(n, x[2], float(x[0])) for n, own in zip(names, best) for x in own]
-            yield pa.RecordBatch.from_pylist([{"qid": a, "id": b, "score": c} for a, b, c in flat], schema=pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
-
-        part = vectors.select(id, vector).mapInArrow(run, f"qid {kind}, id {kind}, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], f"qid {kind}, id {kind}, score double, rank int")
-    return top_k(out, k)
-
-
-def _blocks(rows: Iterator) -> Iterator[list]:
-    block = []
-    for r in rows:
-        block.append(r)
-        if len(block) == BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
+                if len(names) and batch.num_rows:
+                    _best(names, q, batch.column(0).to_pylist(), _unit(_matrix(batch.column(1), q.shape[1])), k, skip_self, best)
+            yield _flat(names, best, schema)
+
+        return top_k(own.mapInArrow(run, spark_schema), k)
+
+    blocks, slabs = -(-queries.count() // block), -(-vectors.count() // (VECTORS_PER_QUERY * block))
+    dealt = lambda df, key, n, name: df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    everywhere = lambda df, n, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left = everywhere(dealt(asked, "qid", blocks, "_block"), slabs, "_slab")
+    right = everywhere(dealt(own, "id", slabs, "_slab"), blocks, "_block")
+
+    def product(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = a.column("qid").to_pylist()
+        best: list[list[tuple]] = [[] for _ in names]
+        if a.num_rows and b.num_rows:
+            q = _unit(_matrix(a.column("q").combine_chunks()))
+            _best(names, q, b.column("id").to_pylist(), _unit(_matrix(b.column("v").combine_chunks(), q.shape[1])), k, skip_self, best)
+        return pa.Table.from_batches([_flat(names, best, schema)])
+
+    pairs = left.groupBy("_block", "_slab").cogroup(right.groupBy("_block", "_slab")).applyInArrow(product, spark_schema)
+    return top_k(pairs, k)
 
 
 class IvfIndex:
     """Approximate search: vectors are assigned to the nearest of some centres, a query looks into those of the nearest nprobe.
 
-    Centres are fitted on a bounded sample (SAMPLE rows); every vector is indexed. The join of queries and vectors is on the list, large lists are split by salt.
+    Centres are fitted on a bounded sample (SAMPLE rows); every vector is indexed. There are as many lists as
+    the square root of the vectors, and a query looks into PROBE per cent of them where nothing else is asked for. The join of queries and vectors is on the list, large lists are split by salt.
     """
 
-    SAMPLE, SALTS = 20_000, 8
+    #: Rows that centres are fitted on, salts of a list, and per cent of the lists that a search looks into.
+    SAMPLE, SALTS, PROBE = 20_000, 8, 60
 
-    def __init__(self, vectors: DataFrame, lists: int = 32, seed: int = 42, id: str = "vec_id", vector: str = "embedding"):
+    def __init__(self, vectors: DataFrame, lists: int | None = None, seed: int = 42, id: str = "vec_id", vector: str = "embedding"):
+        lists = lists or max(8, round(vectors.count() ** 0.5))
         rows = vectors.select(vector).filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(id)).limit(self.SAMPLE).collect()
         sample = _unit(np.array([r[0] for r in rows], np.float64))
         self.centres = self._fit(sample, min(lists, len(sample)), seed)
@@ -168,9 +208,10 @@ class IvfIndex:
 
         return lists
 
-    def search(self, queries: DataFrame, k: int = 10, nprobe: int = 4, vector: str = "embedding") -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, nprobe: int | None = None, vector: str = "embedding") -> DataFrame:
         from loamdex.functions.vectors import cosine
 
+        nprobe = nprobe or -(-len(self.centres) * self.PROBE // 100)
         q = queries.select("qid", F.col(vector).alias("q"), F.explode(self._nearest(min(nprobe, len(self.centres)))(F.col(vector))).alias("list"))
         q = q.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(self.SALTS)])))
         met = self.vectors.join(q, ["list", "salt"])
@@ -178,28 +219,50 @@ class IvfIndex:
 
 
 class GraphIndex:
-    """A navigable small-world graph per partition: greedy descent through layers, then a beam on the lowest.
+    """Navigable small-world graphs over shards: greedy descent through layers, then a beam on the lowest.
 
-    Graphs are built and searched where the partition is; lists of k from all shards are merged. More shards build faster and search more.
+    Shards have about SHARD_ROWS vectors. Their graphs are built once and stored as rows; searches read them,
+    and lists of k from all shards are merged. Smaller shards build faster and search more.
     """
 
-    def __init__(self, vectors: DataFrame, shards: int = 4, links: int = 12, width: int = 48, seed: int = 42, id: str = "vec_id", vector: str = "embedding"):
-        self.links, self.width, self.seed = links, width, seed
-        self.vectors = vectors.select(F.col(id).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id), F.lit(shards)).alias("shard"))
-
-    def search(self, queries: DataFrame, k: int = 10, beam: int = 32, vector: str = "embedding") -> DataFrame:
-        """All queries, sent in blocks of BLOCK; a shard's graph is built once and searched block by block."""
-        context = self.vectors.sparkSession.sparkContext
-        rows = queries.select("qid", F.col(vector).alias("v")).toLocalIterator()
-        sent = [context.broadcast(([r["qid"] for r in block], _unit(np.array([r["v"] for r in block], np.float64)))) for block in _blocks(rows)]
-        links, width, seed = self.links, self.width, self.seed
-
-        def run(table: pa.Table) -> pa.Table:
-            ids, graph = table.column("id").to_pylist(), SmallWorld(_unit(_matrix(table.column("v").combine_chunks())), links, width, seed)
-            found = [(n, ids[i], round(float(s), DIGITS)) for block in sent for n, x in zip(*block.value) for s, i in graph.search(x, k, max(beam, k))]
-            return pa.table({"qid": [f[0] for f in found], "id": [f[1] for f in found], "score": [f[2] for f in found]}, schema=pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
-
-        return top_k(self.vectors.groupBy("shard").applyInArrow(run, "qid long, id long, score double"), k)
+    SHARD_ROWS = 2_000
+
+    def __init__(self, vectors: DataFrame, links: int = 12, width: int = 48, seed: int = 42, id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS):
+        own = vectors.select(F.col(id).alias("id"), F.col(vector).alias("v"))
+        self.kind = own.schema["id"].dataType
+        self.shards = max(1, -(-own.count() // shard_rows))
+
+        def build(table: pa.Table) -> pa.Table:
+            shard, ids = table.column("shard")[0].as_py(), table.column("id").to_pylist()
+            graph = SmallWorld(_unit(_matrix(table.column("v").combine_chunks())), links, width, seed)
+            return pa.table({"shard": pa.array([shard], pa.int32()), "graph": pa.array([pickle.dumps((ids, graph))], pa.binary())})
+
+        shard = F.pmod(F.xxhash64("id"), F.lit(self.shards)).cast("int")
+        self.graphs = stored(own.withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard int, graph binary"))
+
+    def search(self, queries: DataFrame, k: int = 10, beam: int = 32, vector: str = "embedding", counted: bool = False) -> DataFrame:
+        """(qid, id, score, rank). Queries are dealt into blocks of about BLOCK, each of which meets each shard. counted: (qid, looked) instead, the vectors that were compared."""
+        asked = queries.select("qid", F.col(vector).alias("q"))
+        blocks = max(1, -(-asked.count() // BLOCK))
+        left = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(self.shards - 1))))
+        right = self.graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        qid = asked.schema["qid"].dataType
+        schema = pa.schema([("qid", to_arrow_type(qid)), ("id", to_arrow_type(self.kind)), ("score", pa.float64()), ("looked", pa.int64())])
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            rows: list[tuple] = []
+            if a.num_rows and b.num_rows:
+                ids, graph = pickle.loads(b.column("graph")[0].as_py())
+                for name, x in zip(a.column("qid").to_pylist(), _unit(_matrix(a.column("q").combine_chunks()))):
+                    graph.looked = 0
+                    found = graph.search(x, k, beam)
+                    rows += [(name, ids[i], round(float(s), DIGITS), graph.looked) for s, i in found]
+            return pa.table([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(4)], schema=schema)
+
+        out = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(run, f"qid {qid.simpleString()}, id {self.kind.simpleString()}, score double, looked long")
+        if counted:
+            return out.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(self.shards))).groupBy("qid", "_shard").agg(F.max("looked").alias("looked")).groupBy("qid").agg(F.sum("looked").alias("looked"))
+        return top_k(out.drop("looked"), k)
 
 
 class SmallWorld:
@@ -217,12 +280,15 @@ class SmallWorld:
     def layer_sizes(self) -> list[int]:
         return [len(layer) for layer in self.layers]
 
-    def _beam(self, q: np.ndarray, start: list[int], width: int, layer: dict[int, list[int]]) -> list[tuple[float, int]]:
+    def _beam(self, q: np.ndarray, start: list[int], width: int, layer: dict[int, list[int]], pool: list[tuple[float, int]] | None = None) -> list[tuple[float, int]]:
+        """The width best that the walk finds; pool gets all that it looked at, so that a narrow walk can still give more."""
         seen, self.looked = set(start), self.looked + len(start)
         open_ = [(-float(q @ self.x[i]), i) for i in start]
         heapq.heapify(open_)
         best = [(-d, i) for d, i in open_]
         heapq.heapify(best)
+        if pool is not None:
+            pool += best
         while open_:
             d, i = heapq.heappop(open_)
             if len(best) >= width and -d < best[0][0]:
@@ -230,7 +296,10 @@ class SmallWorld:
             fresh = [j for j in layer[i] if j not in seen]
             seen.update(fresh)
             self.looked += len(fresh)
-            for j, s in zip(fresh, (self.x[fresh] @ q).tolist() if fresh else []):
+            scores = (self.x[fresh] @ q).tolist() if fresh else []
+            if pool is not None:
+                pool += zip(scores, fresh)
+            for j, s in zip(fresh, scores):
                 if len(best) < width or s > best[0][0]:
                     heapq.heappush(open_, (-s, j))
                     heapq.heappush(best, (s, j))
@@ -273,12 +342,17 @@ class SmallWorld:
             self.entry = i
 
     def search(self, q: np.ndarray, k: int, beam: int) -> list[tuple[float, int]]:
+        """The k best of a walk of width beam; a beam under k is filled up with the next best of what the walk looked at."""
         if self.entry is None:
             return []
         at = [self.entry]
         for layer in reversed(self.layers[1 : int(self.levels[self.entry]) + 1]):
             at = [self._beam(q, at, 1, layer)[0][1]]
-        return self._beam(q, at, max(beam, k), self.layers[0])[:k]
+        pool: list[tuple[float, int]] = []
+        best = self._beam(q, at, beam, self.layers[0], pool if beam < k else None)
+        taken = {i for _, i in best}
+        rest = sorted((p for p in pool if p[1] not in taken), key=lambda b: (-b[0], b[1]))
+        return (best + rest)[:k]
 
 
 class Retriever(Protocol):
@@ -347,6 +421,37 @@ def simulate(docs: DataFrame, questions: DataFrame, evidence: DataFrame, config,
     return out.join(F.broadcast(own.agg(F.count(F.lit(1)).alias("chunks")))).select("chunks", "hit", "mrr", "context", "density")
 
 
+def break_even(build: float, flat: float, ann: float) -> int | None:
+    """Queries after which building an index has paid: none where it isn't faster."""
+    return math.ceil(build / (flat - ann)) if flat > ann else None
+
+
+def verdict(recall: float, speedup: float, least_recall: float = 0.9, least_speedup: float = 1.5) -> str:
+    return "inaccurate" if recall < least_recall else "not faster" if speedup < least_speedup else "good"
+
+
+def sweep(vectors: DataFrame, queries: DataFrame, k: int, beams: list[int]) -> DataFrame:
+    """A row for each beam: recall against exact search, mean vectors compared, seconds a query of both searches, speed-up, break-even and verdict.
+
+    A loop over a short grid of settings; each search is one job over all queries.
+    """
+    def timed(df: DataFrame) -> tuple[DataFrame, float]:
+        began = time.perf_counter()
+        return stored(df), time.perf_counter() - began
+
+    n = max(1, queries.count())
+    exact, flat = timed(vector_search(vectors, queries, k))
+    began = time.perf_counter()
+    index = GraphIndex(vectors)
+    build, rows = time.perf_counter() - began, []
+    for beam in beams:
+        found, seconds = timed(index.search(queries, k, beam))
+        recall = list_recall(found, exact, k).agg(F.avg("recall")).first()[0] or 0.0
+        looked = index.search(queries, k, beam, counted=True).agg(F.avg("looked")).first()[0] or 0.0
+        rows.append((beam, recall, looked, seconds / n, flat / n, flat / seconds, break_even(build, flat / n, seconds / n), verdict(recall, flat / seconds)))
+    return vectors.sparkSession.createDataFrame(rows, "beam int, recall double, looked double, seconds double, flat_seconds double, speedup double, break_even long, verdict string")
+
+
 def list_recall(approximate: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """(qid, recall): the share of the exact k best that the approximate list has."""
     hits = exact.join(approximate.select("qid", "id").distinct().withColumn("hit", F.lit(1)), ["qid", "id"], "left")

@@ -12,9 +12,7 @@ from loamdex.sources.readers import table
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents table. A table of fewer splits than the session has cores is dealt out anew, as a row group can't be split; a large one is read as it lies."""
-    docs, cores = table(spark, folder, "documents"), spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return table(spark, folder, "documents")
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,8 +30,14 @@ def keyword_index(spark: SparkSession, folder: str, k1: float = 1.5, b: float =
 
 
 def runs(spark: SparkSession, folder: str, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    return several_runs(spark, folder, [(k1, b)], k)[0]
+
+
+def several_runs(spark: SparkSession, folder: str, settings: list[tuple[float, float]], k: int = 10) -> list[DataFrame]:
+    """One ranked list for each (k1, b): texts are cut into words once, the settings only enter into scores."""
     asked = questions(spark, folder)
-    return Bm25Index.build(documents(spark, folder), k1=k1, b=b, only=Bm25Index.terms(asked)).search(asked, k)
+    index = Bm25Index.build(documents(spark, folder), only=Bm25Index.terms(asked))
+    return [index.with_(k1, b).search(asked, k) for k1, b in settings]
 
 
 #: The same in SQL.

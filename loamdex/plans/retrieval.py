@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex.functions.text import coverage, tokenize
-from loamdex.functions.vectors import neighbour_ranks, pca2, project2, similarity_pairs, topic_metrics, toy_embedding
+from loamdex.functions.vectors import pca2, project2, ranked_neighbours, similarity_pairs, topic_metrics, toy_embedding
 from loamdex.operators import answers, fusion, metrics
-from loamdex.operators.retrieval import GraphIndex, IvfIndex, list_recall, vector_search
-from loamdex.plans.common import EVIDENCE_SQL, QUESTIONS_SQL, documents, evidence, keyword_index, questions, runs, runs_sql
+from loamdex.operators.embedding import off_diagonal_scale
+from loamdex.operators.retrieval import GraphIndex, IvfIndex, list_recall, sweep, vector_search
+from loamdex.plans.common import EVIDENCE_SQL, QUESTIONS_SQL, documents, evidence, keyword_index, questions, runs, runs_sql, several_runs
+from loamdex.session import stored
 from loamdex.sources.readers import table
 
 QUERIES, SQL = {}, {}
@@ -73,7 +75,8 @@ rrf AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY scor
 
 def _two(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Ranked lists with and without length normalisation."""
-    return runs(spark, folder), runs(spark, folder, 10, 1.2, 0.0)
+    a, b = several_runs(spark, folder, [(1.5, 0.75), (1.2, 0.0)])
+    return a, b
 
 
 @plan(f"WITH {TWO}, {FUSED} SELECT qid, id, round(score, 9) AS score, rank FROM rrf")
@@ -212,29 +215,43 @@ def topic_separation(spark: SparkSession, folder: str) -> DataFrame:
     return _round(topic_metrics(_vectors(spark, folder)), "nn_agree", "same", "diff")
 
 
-@plan(f"WITH {VECTORS_SQL}, p AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e), 9) AS sim FROM u a, u b WHERE a.vec_id <> b.vec_id AND a.label = 3 AND b.label = 3) SELECT i, j, round(sim, 6) AS sim, rank() OVER (PARTITION BY i ORDER BY p.sim DESC) AS rank FROM p")
+@plan(f"WITH {VECTORS_SQL}, p AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e), 9) AS sim FROM u a, u b WHERE a.vec_id <> b.vec_id AND a.vec_id % 50 = 0), t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) <= 20) SELECT i, j, round(sim, 6) AS sim, rank() OVER (PARTITION BY i ORDER BY t.sim DESC) AS rank FROM t")
 def neighbour_rank(spark: SparkSession, folder: str) -> DataFrame:
-    """Ranks of neighbours within one topic."""
-    pairs = similarity_pairs(_vectors(spark, folder).filter("label = 3")).withColumn("sim", F.round("sim", 9))
-    return _round(neighbour_ranks(pairs), "sim")
+    """The twenty nearest of all vectors to each of the stated query set, ranked with ties."""
+    found = vector_search(_vectors(spark, folder), _asked(spark, folder), 20, skip_self=True)
+    return _round(ranked_neighbours(found), "sim")
+
+
+@plan(f"WITH {VECTORS_SQL}, q AS (SELECT * FROM u WHERE vec_id % 50 = 0), p AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e), 9) AS sim FROM q a JOIN q b ON a.vec_id < b.vec_id), e AS (SELECT min(sim) AS lo, max(sim) AS hi FROM p) SELECT i, j, round(sim, 6) AS sim, round(CASE WHEN hi = lo THEN 1 ELSE (sim - lo) / (hi - lo) END, 6) AS scaled FROM p, e")
+def similarity_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """The upper triangle over the stated query set, and its values scaled to 0 to 1."""
+    pairs = similarity_pairs(_asked(spark, folder), "qid").withColumn("sim", F.round("sim", 9))
+    return _round(off_diagonal_scale(pairs), "sim", "scaled")
 
 
 @plan()
 def ann_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """(nprobe, recall): inverted lists against exact search."""
+    """(share, recall): inverted lists against exact search, by the share of lists that are looked into."""
     v, q = _vectors(spark, folder), _asked(spark, folder)
-    exact, index = vector_search(v, q, 10), IvfIndex(v)
-    rows = [list_recall(index.search(q, 10, p), exact, 10).agg(F.avg("recall").alias("recall")).select(F.lit(p).alias("nprobe"), "recall") for p in (4, 16, 24)]
+    exact, index = stored(vector_search(v, q, 10)), IvfIndex(v)
+    n = len(index.centres)
+    rows = [list_recall(index.search(q, 10, max(1, n * p // 100)), exact, 10).agg(F.avg("recall").alias("recall")).select(F.lit(p).alias("share"), "recall") for p in (10, 30, IvfIndex.PROBE)]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @plan()
 def graph_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """(beam, recall): sharded small-world graphs against exact search."""
+    """(beam, recall): sharded small-world graphs against exact search; a beam under k is filled up."""
     v, q = _vectors(spark, folder), _asked(spark, folder)
-    exact, index = vector_search(v, q, 10), GraphIndex(v)
-    rows = [list_recall(index.search(q, 10, b), exact, 10).agg(F.avg("recall").alias("recall")).select(F.lit(b).alias("beam"), "recall") for b in (10, 32)]
-    return rows[0].unionByName(rows[1])
+    exact, index = stored(vector_search(v, q, 10)), GraphIndex(v)
+    rows = [list_recall(index.search(q, 10, b), exact, 10).agg(F.avg("recall").alias("recall")).select(F.lit(b).alias("beam"), "recall") for b in (4, 10, 32)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@plan()
+def graph_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """(beam, recall, looked, seconds, flat_seconds, speedup, break_even, verdict) for beams of powers of two."""
+    return sweep(_vectors(spark, folder), _asked(spark, folder), 10, [2**i for i in range(9)])
 
 
 @plan()

@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 ANCHOR, MOST_SHORT, SET_QUOTES = 3, 10_000, 20_000
 
 
-def _windows(words: Column) -> Column:
-    last = F.size(words) - (ANCHOR - 1)
-    return F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, ANCHOR)))
+def _anchor(hashes: Column, i: Column | int) -> Column:
+    return F.xxhash64(*[F.get(hashes, i + k) for k in range(ANCHOR)])
+
+
+def _windows(hashes: str) -> Column:
+    """The anchor at each word but the last ones, from the hashes of words."""
+    return F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - (ANCHOR - 1), F.lit(0))), lambda _, i: _anchor(F.col(hashes), i))
+
+
+def _hashes(text: str) -> Column:
+    return F.transform(F.split(text, r"\s+"), lambda w: F.xxhash64(w))
 
 
 def containing(docs: DataFrame, quotes: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -22,11 +30,10 @@ def containing(docs: DataFrame, quotes: DataFrame, id: str = "doc_id", text: str
     Quotes without three inner words (MOST_SHORT at most) are tried on every document. Empty quotes are
     held by none.
     """
-    q = quotes.filter(F.col("quote") != "").withColumn("_w", F.split("quote", r"\s+"))
-    inner = F.slice("_w", 2, ANCHOR)
-    long = q.filter(F.size("_w") >= ANCHOR + 2).select("qid", "quote", F.xxhash64(inner).alias("_a"))
+    q = quotes.filter(F.col("quote") != "").withColumn("_w", _hashes("quote"))
+    long = q.filter(F.size("_w") >= ANCHOR + 2).select("qid", "quote", _anchor(F.col("_w"), F.lit(1)).alias("_a"))
     short = q.filter(F.size("_w") < ANCHOR + 2).select("qid", "quote")
-    anchors = docs.withColumn("_w", F.split(text, r"\s+")).select(F.col(id).alias("id"), F.col(text).alias("_text"), _windows(F.col("_w")).alias("_h"))
+    anchors = docs.select(F.col(id).alias("id"), F.col(text).alias("_text"), _hashes(text).alias("_w")).select("id", "_text", _windows("_w").alias("_h"))
     known = [r["_a"] for r in long.select("_a").distinct().limit(SET_QUOTES + 1).collect()]
     if len(known) <= SET_QUOTES:
         listed = ", ".join(f"{h}L" if h != -(2**63) else "bigint('-9223372036854775808')" for h in known) or "null"

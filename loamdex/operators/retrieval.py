@@ -54,15 +54,19 @@ class Bm25Index:
         to send; then words leave the scan and meet the terms in a join.
         """
         tokens = texts.select(F.col(id).alias("id"), F.coalesce(tokenizer(F.col(text)), F.array().cast("array<string>")).alias("_t"))
-        known = [r["term"] for r in only.select("term").distinct().limit(SET_TERMS + 1).collect()] if only is not None else None
+        known = [r["h"] for r in only.select(F.xxhash64("term").alias("h")).distinct().limit(SET_TERMS + 1).collect()] if only is not None else None
         if known is not None and len(known) <= SET_TERMS:
-            tokens = stored(tokens.select("id", F.size("_t").alias("len"), F.filter("_t", lambda t: t.isin(known)).alias("_t")))
+            # by hash: a word that shares one leaves the scan too, and meets no query
+            listed = ", ".join(f"{h}L" if h != -(2**63) else "bigint('-9223372036854775808')" for h in known) or "null"
+            tokens = stored(tokens.select("id", F.size("_t").alias("len"), F.expr(f"filter(_t, t -> xxhash64(t) IN ({listed}))").alias("_t")))
         else:
             tokens = tokens.withColumn("len", F.size("_t"))
         # an outer explode: for others, the optimizer also tokenizes in a filter
         words = tokens.select("id", "len", F.explode_outer("_t").alias("term"))
         words = words.join(only.select("term").distinct(), "term", "left_semi") if known is not None and len(known) > SET_TERMS else words.filter("term is not null")
         postings = words.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+        if known is not None:
+            postings = stored(postings)  # read for frequencies and for each search
         size = tokens.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total"))
         return Bm25Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), size, k1, b, tokenizer)
 

@@ -141,21 +141,40 @@ def cited_sentences(text: pd.Series) -> pd.Series:
     return text.map(_cited_sentences, na_action="ignore")
 
 
-@arrow("array<struct<start:int,end:int,text:string>>")
-def long_sentences(text: pd.Series) -> pd.Series:
-    """Arrow. Trimmed sentences of eight or more characters with offsets."""
-    return text.map(lambda t: [x for x in trimmed_sentences(t) if x["end"] - x["start"] >= 8], na_action="ignore")
+def long_sentences(text: Column | str, least: int = 8) -> Column:
+    """Trimmed sentences of least or more characters with offsets."""
+    return F.filter(trimmed(text), lambda x: x["end"] - x["start"] >= least)
 
 
-def trimmed_sentences(text: str) -> list[dict]:
-    cuts = [m.end() for m in re.finditer(r"[.!?。]+[\"')\]]?(?=\s|\Z)\s*|\n+", text)]
-    out = []
-    for s, e in zip([0, *cuts], [*cuts, len(text)]):
-        body = text[s:e].strip()
-        if body:
-            at = s + text[s:e].index(body)
-            out.append({"start": at, "end": at + len(body), "text": body})
-    return out
+def located(text: Column | str, pattern: str) -> Column:
+    """Array of (start, end, match) of a pattern's matches. Pieces between them and matches alternate, so lengths give the places."""
+    t = _c(text)
+    both = F.struct(F.split(t, pattern, -1).alias("p"), matches(t, pattern).alias("m"))
+
+    def places(x: Column) -> Column:
+        cut = F.flatten(F.transform(x["p"], lambda p, i: F.array(p, F.coalesce(F.get(x["m"], i), F.lit("")))))
+        return F.transform(x["m"], lambda m, i: F.struct(F.get(spans(cut), 2 * i + 1).alias("o"), m.alias("m")))
+
+    found = F.transform(let(both, places), lambda f: F.struct(f["o"]["start"].alias("start"), f["o"]["end"].alias("end"), f["m"].alias("match")))
+    return F.when(F.regexp_like(t, F.lit(pattern)), found).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+
+
+def replaced(text: Column | str, pattern: str, by: Callable[[Column], Column]) -> Column:
+    """struct(text, count): each match of a pattern as by() makes it, and how many that changed."""
+    t = _c(text)
+    both = F.struct(F.split(t, pattern, -1).alias("p"), matches(t, pattern).alias("m"))
+    made = let(both, lambda x: F.struct(x["p"].alias("p"), x["m"].alias("m"), F.transform(x["m"], by).alias("n")))
+    return let(made, lambda x: F.struct(
+        F.array_join(F.transform(x["p"], lambda p, i: F.concat(p, F.coalesce(F.get(x["n"], i), F.lit("")))), "").alias("text"),
+        F.size(F.filter(F.zip_with(x["m"], x["n"], lambda a, b: a != b), lambda c: c)).alias("count")))
+
+
+def trimmed(text: Column | str) -> Column:
+    """Array of (start, end, text): sentences without the white space around them, blank ones left out."""
+    left = lambda s: F.char_length(s) - F.char_length(F.regexp_replace(s, r"(?U)^\s+", ""))
+    pieces = let(sentences(text), lambda s: F.arrays_zip(s.alias("s"), spans(s).alias("o")))
+    body = F.transform(pieces, lambda x: F.struct((x["o"]["start"] + left(x["s"])).alias("start"), trim_blank(x["s"]).alias("text")))
+    return F.transform(F.filter(body, lambda b: b["text"] != ""), lambda b: F.struct(b["start"].alias("start"), (b["start"] + F.char_length(b["text"])).alias("end"), b["text"].alias("text")))
 
 
 # ---- facts
@@ -276,6 +295,12 @@ def citations(text: Column | str) -> Column:
     return F.transform(F.flatten(F.transform(matches(text, CITATION, 1), lambda g: F.split(g, ","))), lambda n: F.regexp_replace(n, r"\s", "").cast("int"))
 
 
+def citation_places(text: Column | str) -> Column:
+    """Array of (n, start, end): cited numbers in order, with the place of their brackets."""
+    each = F.transform(located(text, CITATION), lambda c: F.transform(citations(c["match"]), lambda n: F.struct(n.alias("n"), c["start"].alias("start"), c["end"].alias("end"))))
+    return F.flatten(each)
+
+
 def strip_citations(text: Column | str) -> Column:
     """Without citations, and without the blanks that they leave before punctuation."""
     return trim_blank(F.regexp_replace(F.regexp_replace(F.regexp_replace(_c(text), CITATION, ""), r"(?U)\s+([.!?。])", "$1"), r"(?U)\s{2,}", " "))
@@ -316,6 +341,11 @@ def contains_term(text: Column | str, term: Column | str) -> Column:
     return F.when(blank, False).otherwise(F.regexp_like(_c(text), term_pattern(_c(term))))
 
 
+def title_has(title: Column | str, needle: Column | str) -> Column:
+    """Whether a title contains a typed text, however either is cased; an empty one is in all."""
+    return F.contains(F.lower(_c(title)), F.lower(trim_blank(_c(needle))))
+
+
 def cloze(sentence: Column | str, answer: Column | str, blank: str = "____") -> Column:
     return F.regexp_replace(_c(sentence), term_pattern(_c(answer)), F.lit(blank))
 

@@ -61,6 +61,13 @@ def variants(rows: DataFrame, templates: dict[str, tuple[str, str]], values: dic
     return reduce(DataFrame.unionByName, made)
 
 
+def run_variants(rows: DataFrame, templates: dict[str, tuple[str, str]], values: dict[str, Column], generator, key: str = "qid") -> DataFrame:
+    """(key, variant, answer) of all variants at once: one plan over all prompts, so they run side by side."""
+    made = variants(rows, templates, values).withColumn("_qid", F.struct(key, "variant"))
+    answered = generator.generate(made.select(F.col("_qid").alias("qid"), F.col("user").alias("question"), "texts"))
+    return answered.select(F.col(f"qid.{key}").alias(key), F.col("qid.variant").alias("variant"), "answer")
+
+
 # ---- generation
 
 
@@ -70,12 +77,22 @@ class Generator(Protocol):
     def generate(self, prompts: DataFrame) -> DataFrame: ...
 
 
+#: Public request forms. Where a form puts its parts: the key's header and what stands before it, the system text, messages, limits, and the reply's text.
+FORMS = {
+    "messages": {"header": "x-api-key", "prefix": "", "system": "system", "limit": "max_tokens", "texts": lambda j: [b["text"] for b in j["content"] if b["type"] == "text"]},
+    "chat": {"header": "authorization", "prefix": "Bearer ", "system": None, "limit": "max_tokens", "texts": lambda j: [c["message"]["content"] for c in j["choices"][:1]]},
+    "contents": {"header": "x-goog-api-key", "prefix": "", "system": "systemInstruction", "limit": None, "texts": lambda j: [p["text"] for c in j["candidates"][:1] for p in c["content"]["parts"]]},
+}
+
+
 @dataclass
 class Provider:
-    """A remote model. The key is held by the driver's session, never by a column or a message."""
+    """A remote model behind one of the FORMS. The key is held by the driver's session, never by a column or a message; transport(headers, body) gives (status, reply) and is a plug-in."""
 
     name: str
     models: tuple[str, ...] = ()
+    form: str = "messages"
+    transport: object = None
     _key: str | None = field(default=None, repr=False)
 
     def set_key(self, key: str) -> None:
@@ -87,11 +104,35 @@ class Provider:
     def clear_key(self) -> None:
         self._key = None
 
-    def request(self, model: str, system: str, user: str) -> dict:
+    def request(self, model: str, system: str, user: str, most_tokens: int = 1024, temperature: float = 0.2) -> dict:
         """What would be sent, without the key."""
         if not self.has_key():
             raise GenerationError("no-key", "no key is set")
-        return {"model": model, "system": system, "messages": [{"role": "user", "content": user}]}
+        if self.form not in FORMS:
+            raise GenerationError("bad-provider", f"unknown form {self.form}")
+        form = FORMS[self.form]
+        if self.form == "contents":
+            parts = lambda t: {"parts": [{"text": t}]}
+            return {form["system"]: parts(system), "contents": [{"role": "user", **parts(user)}], "generationConfig": {"maxOutputTokens": most_tokens, "temperature": temperature}}
+        asked = [{"role": "user", "content": user}]
+        top = {form["system"]: system} if form["system"] else {}
+        return {"model": model, **top, "messages": asked if top else [{"role": "system", "content": system}, *asked], form["limit"]: most_tokens, "temperature": temperature}
+
+    def headers(self) -> dict:
+        form = FORMS[self.form]
+        return {"content-type": "application/json", form["header"]: form["prefix"] + (self._key or "")}
+
+    def call(self, model: str, system: str, user: str, **settings) -> str:
+        """The reply's text. Errors carry a code and a status, and no key."""
+        body = self.request(model, system, user, **settings)
+        try:
+            status, reply = self.transport(self.headers(), body)
+        except OSError as e:
+            raise GenerationError("network", "no connection") from e
+        if status != 200:
+            said = str((reply.get("error") or {}).get("message", "") if isinstance(reply, dict) else "").replace(self._key, "[redacted]")
+            raise GenerationError("http", f"{status} {said}".strip(), status)
+        return "".join(FORMS[self.form]["texts"](reply))
 
 
 class GenerationError(RuntimeError):

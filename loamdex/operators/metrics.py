@@ -147,3 +147,8 @@ def sorted_board(rows: DataFrame, by: str, name: str, descending: bool = True, l
     """rows by a column, equal ones by name in the order of a language."""
     first = F.col(by).desc() if descending else F.col(by).asc()
     return rows.orderBy(first, F.collate(F.col(name), locale))
+
+
+def broken_first(docs: DataFrame, kind: str = "type", ord: str = "ord") -> DataFrame:
+    """Damaged documents before the others, each in data order."""
+    return docs.orderBy((F.col(kind) == "broken").desc_nulls_last(), ord)

@@ -175,6 +175,27 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str =
     return top_k(pairs, k)
 
 
+class VectorStore:
+    """Vectors (vec_id, embedding) that are added in batches, all of one dimension, and searched exactly."""
+
+    def __init__(self, spark, dim: int, id: str = "long"):
+        self.dim, self.empty = dim, spark.createDataFrame([], f"vec_id {id}, embedding array<float>")
+        self.vectors = self.empty
+
+    def add(self, rows: DataFrame) -> VectorStore:
+        """A vector of another dimension fails the query that reads it."""
+        checked = F.when(F.size("embedding") == self.dim, F.col("embedding")).otherwise(F.raise_error(F.lit(f"a vector has not {self.dim} numbers")).cast("array<float>"))
+        self.vectors = self.vectors.unionByName(rows.select("vec_id", checked.alias("embedding")))
+        return self
+
+    def clear(self) -> VectorStore:
+        self.vectors = self.empty
+        return self
+
+    def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        return vector_search(self.vectors, queries, k)
+
+
 class IvfIndex:
     """Approximate search: vectors are assigned to the nearest of some centres, a query looks into those of the nearest nprobe.
 

@@ -15,6 +15,7 @@ from loamdex.operators.matching import containing
 from loamdex.operators.metrics import cost
 from loamdex.operators.retrieval import simulate
 from loamdex.plans.common import documents, questions
+from loamdex.session import stored
 from loamdex.sources.readers import pages_of, paragraph, table
 
 QUERIES, SQL = {}, {}
@@ -339,6 +340,6 @@ def quiz_items(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     sources = docs.filter(F.col("text").rlike(r"\d{2,}%|version \d")).select(F.col("doc_id").alias("rank"), F.col("doc_id").cast("string").alias("id"), "text")
     items = quiz.generate(sources, quiz.pools(docs), 10, "normal", 7).withColumn("n", F.substring("id", 2, 9).cast("int"))
-    items = spark.createDataFrame(items.collect(), items.schema)  # ten rows, read three times below
+    items = stored(items)  # ten rows, read three times below
     chunks = sources.select(F.col("id").alias("chunk_id"), F.col("id").alias("doc"), "text")
     return quiz.verify(items, chunks).select("id", "question", "answer", "choices", "chunk", "checks", "status")

@@ -34,12 +34,18 @@ def visible(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared folder that the session names. Without one, a local session gets a folder of its own; a cluster's executors would share none."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for what the driver and all executors share. Without one, a local session gets a folder of its own; a cluster's executors would share none."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None and not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 MOST_ROWS = 12
 
 
-def write_json(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    rows.write.mode(mode).json(path)
+def write_json(rows: DataFrame, path: str, mode: str = "overwrite", options: dict | None = None) -> None:
+    rows.write.mode(mode).options(**(options or {})).json(path)
 
 
 def write_text(documents: DataFrame, path: str, column: str = "document", mode: str = "overwrite") -> None:

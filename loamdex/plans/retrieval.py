@@ -269,13 +269,25 @@ def toy_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return rows.filter("n > 0").select("item_id", "bucket", F.col("n").cast("long").alias("n"))
 
 
-@plan()
+_BUCKETS = r"""{0} AS MATERIALIZED (SELECT id, bucket, count(*) AS n FROM (SELECT id, (c[i] * 31 + c[i + 1]) % 256 AS bucket FROM (SELECT {1} AS id, list_transform(string_split(regexp_replace({2}, '{3}+', ' ', 'g'), ''), lambda x: unicode(x)) AS c FROM {4}), unnest(generate_series(1, len(c) - 1)) AS u(i)) GROUP BY ALL)"""
+# white space as Python's \\s sees it
+_BLANK = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@plan(f"""WITH {QUESTIONS_SQL}, {runs_sql()}, {_BUCKETS.format("db", "doc_id", "text", _BLANK, "documents")}, {_BUCKETS.format("qb", "qid", "question", _BLANK, "questions")},
+dn AS (SELECT id, sqrt(sum(n * n)) AS l FROM db GROUP BY id), qn AS (SELECT id, sqrt(sum(n * n)) AS l FROM qb GROUP BY id),
+dots AS (SELECT qb.id AS qid, db.id AS id, sum(qb.n * db.n) AS s FROM qb JOIN db USING (bucket) GROUP BY ALL),
+cosines AS (SELECT qn.id AS qid, documents.doc_id AS id, round(coalesce(s / (qn.l * dn.l), 0), 9) AS s FROM qn CROSS JOIN documents LEFT JOIN dn ON dn.id = documents.doc_id LEFT JOIN dots ON dots.qid = qn.id AND dots.id = documents.doc_id),
+vec AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM cosines QUALIFY rank <= 10),
+listed AS (SELECT qid, id, rank AS r, 0 AS list FROM run UNION ALL SELECT qid, id, rank, 1 FROM vec),
+fused AS (SELECT qid, id, round(sum(1 / (60.0 + r)), 12) AS score, min(list * 1000 + r) AS seen FROM listed GROUP BY qid, id)
+SELECT qid, id, round(score, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY fused.score DESC, seen, id) AS rank FROM fused QUALIFY rank <= 10""")
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """Keyword and vector lists over documents, fused. Texts are embedded once each, the vector lists come from the same plan as for real models."""
     embed = toy_embedding()
     texts = documents(spark, folder).select(F.col("doc_id").alias("vec_id"), embed("text").alias("embedding"))
     asked = questions(spark, folder).select("qid", embed("question").alias("embedding"))
-    return fusion.reciprocal_rank_fusion([runs(spark, folder), vector_search(texts, asked, 10)]).drop("ranks")
+    return _round(fusion.reciprocal_rank_fusion([runs(spark, folder), vector_search(texts, asked, 10)]).drop("ranks"), "score", digits=9)
 
 
 @plan()

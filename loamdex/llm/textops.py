@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamdex.session import stored as checkpointed  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Separators between words are all ASCII characters but digits and a-z.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,14 +46,3 @@ def left_by_row(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def sha256_of(joined: Column) -> Column:
     return F.sha2(joined, 256)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared folder that the session names. Without one, a local session gets a folder of its own; a cluster's executors would share none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None and not (context.master == "local" or context.master.startswith("local[")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint()

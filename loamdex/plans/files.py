@@ -44,7 +44,7 @@ def corpus_objects(spark: SparkSession, folder: str) -> DataFrame:
     return readers.corpus(spark, path).select("id", "title", "type", "text", "ord")
 
 
-@plan("SELECT 'a' AS name, count(*) AS n, sum(length(text)) AS n_chars FROM conversations UNION ALL SELECT 'b', count(*), sum(length(text)) FROM conversations")
+@plan("SELECT 'a' AS name, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations UNION ALL SELECT 'b', count(*), CAST(sum(length(text)) AS BIGINT) FROM conversations")
 def several_sources(spark: SparkSession, folder: str) -> DataFrame:
     path = _folder(spark)
     _corpus(spark, folder, path)
@@ -141,7 +141,7 @@ def stored_lists(spark: SparkSession, folder: str) -> DataFrame:
     return readers.ranked_lists(spark, path).select("qid", "id", "score", "rank")
 
 
-@plan("SELECT count(*) AS questions, '' AS team, 5 AS k, sum(item_id) AS ids, 0 AS filled FROM benchmark")
+@plan("SELECT count(*) AS questions, '' AS team, 5 AS k, CAST(sum(item_id) AS BIGINT) AS ids, 0 AS filled FROM benchmark")
 def submission_form(spark: SparkSession, folder: str) -> DataFrame:
     """The form to fill in holds all questions, in one document."""
     form = writers.submission_template(table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question")))

@@ -430,16 +430,18 @@ def quiz_replies(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", "r.ok", F.coalesce(F.size("r.items"), F.lit(-1)).alias("items"), "r.notes")
 
 
-JUDGED = [(1, 'ok {"claims": [{"claim": "a", "supported": true}, {"claim": "b", "supported": "yes"}], "faithfulness": 0.5}', 1, 2, 0.5, True), (2, '{"claims": [{"claim": "a", "supported": false, "reason": "r"}], "faithfulness": 1.0}', 0, 1, 0.0, False), (3, "no reply", None, None, None, None)]
+JUDGED = [(1, 'ok {"claims": [{"claim": "a", "supported": true}, {"claim": "b", "supported": "yes"}], "faithfulness": 0.5}', 1, 2, 0.5, 1), (2, '{"claims": [{"claim": "a", "supported": false, "reason": "r"}], "faithfulness": 1.0}', 0, 1, 0.0, 0), (3, "no reply", -1, -1, -1.0, -1)]
 
 
 @plan(values_sql([(i, *r) for i, _, *r in JUDGED], ["id", "supported", "total", "score", "agrees"]))
 def judged_replies(spark: SparkSession, folder: str) -> DataFrame:
     rows = literal(spark, [r[:2] for r in JUDGED], "id int, reply string").select("id", answers.parse_judgement("reply").alias("j"))
-    return rows.select("id", F.when(F.col("j").isNotNull(), answers.judged(F.col("j"))).alias("s")).select("id", "s.*")
+    s = rows.select("id", F.when(F.col("j").isNotNull(), answers.judged(F.col("j"))).alias("s"))
+    known = lambda c, kind: F.coalesce(F.col(f"s.{c}").cast(kind), F.lit(-1).cast(kind)).alias(c)
+    return s.select("id", known("supported", "int"), known("total", "int"), known("score", "double"), known("agrees", "int"))
 
 
-OUTPUTS = [(1, "답: 12시간이다. [1]", "answer", True, True, True), (2, "문서에서 찾을 수 없다.", "refuse", None, True, False), (3, "모른다 [4]", "answer", False, False, False), (4, "답: 문장", "refuse", False, False, True)]
+OUTPUTS = [(1, "답: 12시간이다. [1]", "answer", 1, True, True), (2, "문서에서 찾을 수 없다.", "refuse", -1, True, False), (3, "모른다 [4]", "answer", 0, False, False), (4, "답: 문장", "refuse", 0, False, True)]
 
 
 @plan(values_sql([(i, c, j, f) for i, _, _, c, j, f in OUTPUTS], ["id", "cite", "judged", "format"]))
@@ -447,7 +449,7 @@ def rubric_scores(spark: SparkSession, folder: str) -> DataFrame:
     parts = []
     for i, output, expect, *_ in OUTPUTS:
         r = answers.rubric(F.col("t"), 3, expect, ("12시간",) if expect == "answer" else ())
-        parts.append(literal(spark, [(i, output)], "id int, t string").select("id", F.map_from_entries(r).alias("r")).select("id", F.col("r")["cite"].alias("cite"), F.col("r")["refuse"].alias("judged"), F.col("r")["format"].alias("format")))
+        parts.append(literal(spark, [(i, output)], "id int, t string").select("id", F.map_from_entries(r).alias("r")).select("id", F.coalesce(F.col("r")["cite"].cast("int"), F.lit(-1)).alias("cite"), F.col("r")["refuse"].alias("judged"), F.col("r")["format"].alias("format")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamdex.llm.textops import whole
+from loamdex.llm.textops import checkpointed, whole
 
 #: Rows of a bucket, about; buckets at least and at most, as powers of 2; buckets whose counts are added up at once.
 BUCKET_ROWS, LEAST_BITS, MOST_BITS, GROUP_BITS = 4096, 6, 40, 12
@@ -51,7 +51,8 @@ def interleaved_shards(docs: DataFrame, shards: int = 8, seed: int = 42) -> Data
     )
     row = row.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
     row = row.withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    bits = bucket_bits(docs.count())
+    row = checkpointed(row)  # narrow; texts are read once
+    bits = bucket_bits(row.count())
     row = row.withColumn("_b", F.shiftrightunsigned("_h", 64 - bits))
 
     starts = rows_before(row.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n")), ["_s"], "_b")

@@ -24,6 +24,8 @@ FRACTION_BITS, DENSE_BITS = 3, 1
 LEAST = 64
 #: Consecutive ids that a task puts in order at once, and ids of such groups, as powers of 2.
 GROUP_BITS, LEVEL_BITS = 5, 16
+#: Groups of rows without an id are numbered around this, under those of all ids.
+UNNAMED = -(2**60)
 
 
 def shingle_hashes(w: str) -> Column:
@@ -110,7 +112,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     empty table gives no rows.
     """
     base = docs.select("doc_id", whole().alias("_text"), text_key().alias("_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_sort"))
-    base = base.withColumn("_group", F.shiftright("_sort", GROUP_BITS))
+    # rows without an id come last, in groups by text hash below all others, so that many of them are many groups
+    unnamed = F.lit(UNNAMED) + F.shiftright("_key", 34)
+    base = base.withColumn("_group", F.when(F.col("_sort") == -(2**63), unnamed).otherwise(F.shiftright("_sort", GROUP_BITS)))
     up = upper_neighbours(base.select("_group").distinct())
 
     base = with_sketch(base, F.col("_text"), "_fp", DENSE_BITS)

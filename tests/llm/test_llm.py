@@ -105,7 +105,7 @@ def test_fingerprints_by_brute_force(spark, docs):
     """All rows: null and repeated ids, short texts beside very long ones."""
     rng = random.Random(11)
     lone = [f"x{rng.randint(0, 10**9)}" for _ in range(2000)]
-    extra = [(10_000 + i, " ".join(lone[k : k + n])) for i, (k, n) in enumerate([(0, 3), (0, 2000), (5, 5), (0, 300), (100, 300), (3, 4), (0, 70), (2, 64), (2, 68), (2, 69)])]
+    extra = [(None, f"no id {i}") for i in range(50)] + [(10_000 + i, " ".join(lone[k : k + n])) for i, (k, n) in enumerate([(0, 3), (0, 2000), (5, 5), (0, 300), (100, 300), (3, 4), (0, 70), (2, 64), (2, 68), (2, 69)])]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
     rows = [(r.doc_id, r.text or "") for r in df.collect()]
     rows.sort(key=lambda r: (-(2**63) if r[0] is None else r[0], signed(chained(r[1].encode()))), reverse=True)

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from loamdex.functions.text import sentences
 from loamdex.operators.matching import containing
 from loamdex.operators.retrieval import Bm25Index
+from loamdex.session import dealt
 from loamdex.sources.readers import table
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return dealt(table(spark, folder, "documents"))
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:

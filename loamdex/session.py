@@ -49,3 +49,13 @@ def stored(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+#: Setting: partitions that tables of texts are dealt into.
+PARTITIONS = "spark.loamdex.partitions"
+
+
+def dealt(texts: DataFrame) -> DataFrame:
+    """texts in as many partitions as the session's PARTITIONS asks for, as they lie where it isn't set. For small tables in one split, whose rows are much work each; it shuffles them."""
+    wanted = int(texts.sparkSession.conf.get(PARTITIONS, "0"))
+    return texts.repartition(wanted) if wanted > 0 else texts

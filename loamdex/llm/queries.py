@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex.llm import byte_bpe, decontaminate, fingerprints, licenses, pii, secrets, sharding, simhash, textops, token_counts, toxicity
+from loamdex.session import dealt
 
 #: Folder of the public tokenizer files; None asks the package that ships them.
 TOKENIZERS: str | None = None
@@ -20,7 +21,8 @@ def vocabulary(name: str) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(rows) if name == "documents" else rows
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loamdex.llm import byte_bpe, decontaminate, pii, queries, simhash, toxicity
 from loamdex.llm.textops import checkpointed
-from loamdex.session import visible
+from loamdex.session import dealt, visible
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = checkpointed(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.functions.text import _c
+from loamdex.functions.text import _c, let, matches
 
 #: Separators from coarse to fine; the empty one is a cut anywhere.
 SEPARATORS = ("\n\n", "\n", ". ", "다. ", " ", "")
@@ -63,6 +63,15 @@ def fixed_spans(text: Column | str, size: int, overlap: int = 0) -> Column:
     return F.when(n > 0, windows).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
+def fixed_chunks(text: Column | str, size: int, overlap: int = 0) -> Column:
+    """Array of (start, end, text) of the fixed windows. The text is cut into steps once, and a window is put together from its own, so that no window is looked for from the text's beginning."""
+    size, overlap = clamp(size, overlap)
+    step = size - overlap
+    both = F.struct(matches(text, f"(?s).{{1,{step}}}").alias("p"), fixed_spans(text, size, overlap).alias("s"))
+    body = lambda x, i: F.left(F.array_join(F.slice(x["p"], i + 1, -(-size // step)), ""), F.lit(size))
+    return let(both, lambda x: F.transform(x["s"], lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), body(x, i).alias("text"))))
+
+
 def _windows(start: int, end: int, size: int, overlap: int) -> list[tuple[int, int]]:
     step, out = size - overlap, []
     while start < end:
@@ -126,12 +135,12 @@ def cut(text: str, strategy: str = "recursive", size: float = 300, overlap: floa
     return [(s, e) for s, e in found if text[s:e].strip()]
 
 
-def cut_spans(config: ChunkConfig):
-    """Arrow. Array of (start, end) by any strategy."""
+def cut_chunks(config: ChunkConfig):
+    """Arrow. Array of (start, end, text) by any strategy."""
 
-    @F.pandas_udf("array<struct<start:int,end:int>>")
+    @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
     def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [{"start": s, "end": e} for s, e in cut(t, config.strategy, config.size, config.overlap, config.separators)], na_action="ignore")
+        return text.map(lambda t: [{"start": s, "end": e, "text": t[s:e]} for s, e in cut(t, config.strategy, config.size, config.overlap, config.separators)], na_action="ignore")
 
     return run
 
@@ -141,14 +150,15 @@ def chunk(docs: DataFrame, config: ChunkConfig = ChunkConfig(), id: str = "doc_i
 
     Blank chunks are dropped before numbering. With title, embed_text is the text with the title in brackets; offsets stay those of the text.
     """
-    own = docs.withColumn("_spans", fixed_spans(text, config.size, config.overlap) if config.strategy == "fixed" else cut_spans(config)(F.col(text)))
     if config.strategy == "fixed":
-        own = own.withColumn("_spans", F.filter("_spans", lambda s: F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"]).rlike(r"(?U)\S")))
-    names = [F.col(id).alias("doc"), *([F.col(title).alias("_title")] if title else [])]
-    out = own.select(*names, F.col(text).alias("_text"), F.posexplode("_spans").alias("index", "_s"))
-    body = F.substring("_text", F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start"))
-    extra = [F.concat(F.lit("["), "_title", F.lit("] "), body).alias("embed_text")] if title else []
-    return out.select("doc", F.concat(F.col("doc").cast("string"), F.lit("#"), F.col("index").cast("string")).alias("chunk_id"), "index", F.col("_s.start").alias("start"), F.col("_s.end").alias("end"), body.alias("text"), *extra)
+        made = F.filter(fixed_chunks(text, config.size, config.overlap), lambda c: c["text"].rlike(r"(?U)\S"))
+    else:
+        made = cut_chunks(config)(F.col(text))
+    # texts don't go along with their chunks
+    own = docs.select(F.col(id).alias("doc"), *([F.col(title).alias("_title")] if title else []), made.alias("_c"))
+    out = own.select("doc", *(["_title"] if title else []), F.posexplode("_c").alias("index", "_s"))
+    extra = [F.concat(F.lit("["), "_title", F.lit("] "), "_s.text").alias("embed_text")] if title else []
+    return out.select("doc", F.concat(F.col("doc").cast("string"), F.lit("#"), F.col("index").cast("string")).alias("chunk_id"), "index", F.col("_s.start").alias("start"), F.col("_s.end").alias("end"), F.col("_s.text").alias("text"), *extra)
 
 
 def chunk_stats(chunks: DataFrame, docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

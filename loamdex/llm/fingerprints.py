@@ -117,11 +117,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     base = base.withColumn("_group", F.when(F.col("_sort") == -(2**63), unnamed).otherwise(F.shiftright("_sort", GROUP_BITS)))
     up = upper_neighbours(base.select("_group").distinct())
 
-    base = with_sketch(base, F.col("_text"), "_fp", DENSE_BITS)
+    # texts are shuffled bare, and their sketches, nearly as large, made where they arrive
+    base = base.repartition("_group")
     order = Window.partitionBy("_group").orderBy(F.col("_sort").desc(), F.col("_key").desc())
     nexts = {"_next_id": "doc_id", "_next_text": "_text", "_next_fp": "_fp", "_next_sort": "_sort"}
-    row = base.select("*", *[F.lead(c).over(order).alias(n) for n, c in nexts.items()], F.lag("_sort").over(order).isNull().alias("_first"))
-    heads = row.filter("_first").select("_group", F.col("doc_id").alias("_head_id"), F.col("_text").alias("_head_text"), F.col("_fp").alias("_head_fp"))
+    row = with_sketch(base, F.col("_text"), "_fp", DENSE_BITS).select("*", *[F.lead(c).over(order).alias(n) for n, c in nexts.items()])
+    heads = base.withColumn("_first", F.lag("_sort").over(order).isNull()).filter("_first")
+    heads = with_sketch(heads, F.col("_text"), "_fp", DENSE_BITS).select("_group", F.col("doc_id").alias("_head_id"), F.col("_text").alias("_head_text"), F.col("_fp").alias("_head_fp"))
     heads = heads.join(up, "_group").select(F.col("_up").alias("_group"), "_head_id", "_head_text", "_head_fp")
     row = row.join(heads, "_group", "left")
     inside = F.col("_next_sort").isNotNull()

@@ -1,11 +1,11 @@
-"""The queries op1 to op10 over whole tables, and the SQL for those that SQL can express."""
+"""The queries of the corpus operators over whole tables, and the SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.llm import byte_bpe, decontaminate, fingerprints, licenses, pii, secrets, sharding, simhash, textops, token_counts, toxicity
+from loamdex.llm import byte_bpe, decontaminate, fingerprints, licenses, merkle, pii, secrets, sharding, simhash, textops, token_counts, toxicity
 from loamdex.session import dealt
 
 #: Folder of the public tokenizer files; None asks the package that ships them.
@@ -122,6 +122,45 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN label USING (doc_id) LEFT JOIN be
 """
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_proofs(_table(spark, sf_dir, "documents"))
+
+
+#: A leaf of document d with the text {0}; CRC-32 of the decimal id, bit by bit.
+_LEAF_SQL = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), repeat([0::BIGINT], 8)), lambda d, z: xor(d >> 1, (d & 1) * 3988292384))), 4294967295)"""
+OP11_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_LEAF_SQL.format("text")} AS leaf,
+    CASE WHEN {_CRC32_SQL} % 3 = 0 THEN {_LEAF_SQL.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered FROM documents),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS id FROM d),
+lower_level(lang, l, pos, h, n) AS (
+  SELECT lang, 0, pos, leaf, count(*) OVER (PARTITION BY lang) FROM placed UNION ALL
+  SELECT lang, l + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM lower_level WHERE n > 1 GROUP BY lang, l, pos // 8),
+subroots AS MATERIALIZED (SELECT lang, h AS subroot, max_l, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos FROM (SELECT *, max(l) OVER (PARTITION BY lang) AS max_l FROM lower_level) WHERE l = max_l),
+upper_level(l, pos, h, n) AS (
+  SELECT 0, pos, subroot, count(*) OVER () FROM subroots UNION ALL
+  SELECT l + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM upper_level WHERE n > 1 GROUP BY l, pos // 8),
+top AS (SELECT h AS root FROM upper_level ORDER BY l DESC LIMIT 1),
+run AS MATERIALIZED (
+  SELECT lang, l, pos // 8 AS run, list(h ORDER BY pos) AS hs, 0 AS tree FROM lower_level WHERE n > 1 GROUP BY lang, l, pos // 8 UNION ALL
+  SELECT NULL, l, pos // 8, list(h ORDER BY pos), 1 FROM upper_level WHERE n > 1 GROUP BY l, pos // 8),
+step AS MATERIALIZED (
+  SELECT id, r.l, array_to_string(list_slice(hs, 1, (pos // pow(8, r.l)::BIGINT) % 8), '') AS left_of, array_to_string(list_slice(hs, (pos // pow(8, r.l)::BIGINT) % 8 + 2, 8), '') AS right_of
+  FROM placed p JOIN run r ON tree = 0 AND p.lang IS NOT DISTINCT FROM r.lang AND r.run = p.pos // pow(8, r.l + 1)::BIGINT UNION ALL
+  SELECT id, max_l + r.l, array_to_string(list_slice(hs, 1, (s.pos // pow(8, r.l)::BIGINT) % 8), ''), array_to_string(list_slice(hs, (s.pos // pow(8, r.l)::BIGINT) % 8 + 2, 8), '')
+  FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang JOIN run r ON tree = 1 AND r.run = s.pos // pow(8, r.l + 1)::BIGINT),
+way AS MATERIALIZED (SELECT id, list((left_of, right_of) ORDER BY l) AS steps FROM step GROUP BY id),
+fold(id, l, h) AS (
+  SELECT id, 1, coalesce(tampered, leaf) FROM placed UNION ALL
+  SELECT fold.id, l + 1, sha256(steps[l][1] || h || steps[l][2]) FROM fold JOIN way USING (id) WHERE l <= len(steps)),
+folded AS (SELECT id, arg_max(h, l) AS folded_root FROM fold GROUP BY id)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(steps, lambda s: s[1] || s[2]), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang JOIN folded USING (id) LEFT JOIN way USING (id), top
+"""
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_secret_scans": op2_secret_scans,
@@ -133,8 +172,10 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_license_scans": op10_license_scans,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 SQL = {
     "op7_benchmark_decontamination": OP7_SQL,
     "op10_license_scans": _op10_sql(),
+    "op11_merkle_manifest": OP11_SQL,
 }

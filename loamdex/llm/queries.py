@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.llm import byte_bpe, decontaminate, fingerprints, licenses, merkle, pii, secrets, sharding, simhash, textops, token_counts, toxicity
+from loamdex.llm import alignment, byte_bpe, decontaminate, fingerprints, licenses, merkle, pii, secrets, sharding, simhash, textops, token_counts, toxicity
 from loamdex.session import dealt
 
 #: Folder of the public tokenizer files; None asks the package that ships them.
@@ -161,6 +161,10 @@ FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang JOIN folded
 """
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_secret_scans": op2_secret_scans,
@@ -173,6 +177,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_license_scans": op10_license_scans,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
 }
 SQL = {
     "op7_benchmark_decontamination": OP7_SQL,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.llm import alignment, byte_bpe, decontaminate, fingerprints, licenses, merkle, pii, secrets, sharding, simhash, textops, token_counts, toxicity
+from loamdex.llm import alignment, byte_bpe, decontaminate, fingerprints, licenses, merkle, pii, secrets, sharding, simhash, textops, token_counts, toxicity, wrappers
 from loamdex.session import dealt
 
 #: Folder of the public tokenizer files; None asks the package that ships them.
@@ -165,6 +165,10 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.aligned_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(dealt(_table(spark, sf_dir, "pages")))
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_secret_scans": op2_secret_scans,
@@ -178,6 +182,7 @@ QUERIES = {
     "op10_license_scans": op10_license_scans,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
+    "op13_html_extraction": op13_html_extraction,
 }
 SQL = {
     "op7_benchmark_decontamination": OP7_SQL,

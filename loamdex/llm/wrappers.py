@@ -53,6 +53,8 @@ OTHER_WORDS = set(
     "menu nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets header masthead topbar footer copyright comment comments reply replies respond discussion disqus share sharing social related "
     "recommended recommendations pagination pager toolbar skip search hidden".split()
 )
+#: Elements that say nothing by their name.
+GENERIC = {"div", "section", "center", "td", "()"}
 HEADER_WORDS = {"header", "masthead", "topbar"}
 #: Words that name the article, the surest first.
 MAIN_WORDS = ({"article", "articlebody"}, {"post", "entry", "story"}, {"content", "main"})
@@ -193,12 +195,12 @@ def structure(item: Item) -> str:
 
 
 def likeness(x: Item | Node, y: Item | Node) -> int:
-    """2: the same tag and names, and contents of which two thirds or more are of the same kinds; 1: half or more; else 0."""
+    """2: the same tag and names, and contents of which two thirds or more are of the same kinds; 1: half or more, or the name alone says what it is; else 0."""
     if x.sig != y.sig:
         return 0
     a, b = x.shape(), y.shape()
     same, all_of = len(a & b), len(a | b)
-    return 2 if not a or not b or 3 * same >= 2 * all_of else 1 if 2 * same >= all_of else 0
+    return 2 if not a or not b or 3 * same >= 2 * all_of else 1 if 2 * same >= all_of or x.sig not in GENERIC else 0
 
 
 def twins(x: Item, y: Item) -> bool:

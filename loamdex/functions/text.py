@@ -250,10 +250,14 @@ def char_bigram_jaccard(a: Column | str, b: Column | str) -> Column:
     return jaccard(bigrams(strip(a)), bigrams(strip(b)))
 
 
+def question_bigrams(question: Column | str) -> Column:
+    """Bigrams of a quiz question without the stem, white space, punctuation and symbols, lower-cased."""
+    return bigrams(F.lower(F.regexp_replace(F.regexp_replace(_c(question), re.escape(QUIZ_STEM).replace("\\ ", " "), ""), r"(?U)[\s\p{P}\p{S}_]+", "")))
+
+
 def question_jaccard(a: Column | str, b: Column | str) -> Column:
-    """Bigram overlap of quiz questions: without the stem, white space, punctuation and symbols, lower-cased."""
-    strip = lambda x: F.lower(F.regexp_replace(F.regexp_replace(_c(x), re.escape(QUIZ_STEM).replace("\\ ", " "), ""), r"(?U)[\s\p{P}\p{S}_]+", ""))
-    return jaccard(bigrams(strip(a)), bigrams(strip(b)))
+    """Bigram overlap of quiz questions."""
+    return jaccard(question_bigrams(a), question_bigrams(b))
 
 
 def coverage(query_tokens: Column, text_tokens: Column) -> Column:

@@ -1,11 +1,64 @@
-"""Which documents hold a quote verbatim: an equi-join on word windows, then the exact test."""
+"""Which documents hold a quote verbatim: an equi-join on word windows or on character grams, then the exact test."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ANCHOR, MOST_SHORT, SET_QUOTES = 3, 10_000, 20_000
+from loamdex.session import stored
+
+ANCHOR, SET_QUOTES, GRAM = 3, 20_000, 3
+
+
+def grams_of(text: Column, n: int = GRAM) -> Column:
+    """All runs of n characters."""
+    letters = F.split(text, "")
+    runs = lambda a: F.transform(F.slice(a, F.lit(1), F.greatest(F.size(a) - (n - 1), F.lit(0))), lambda _, i: F.concat(*[F.get(a, i + k) for k in range(n)]))
+    return F.when(F.char_length(text) >= n, F.element_at(F.transform(F.array(letters), runs), 1)).otherwise(F.array().cast("array<string>"))
+
+
+@dataclass
+class GramIndex:
+    """Which texts hold which character grams, for the grams that some quotes ask for.
+
+    A text that holds a quote holds all its grams, so its rarest one is enough to find the texts that may; quotes
+    shorter than a gram have grams of their own length. plain is what texts and quotes are compared as.
+    """
+
+    postings: DataFrame
+    quotes: DataFrame
+
+    @staticmethod
+    def build(docs: DataFrame, quotes: DataFrame, id: str = "doc_id", text: str = "text", plain: Callable[[Column], Column] = lambda c: c) -> GramIndex:
+        """quotes (qid, quote); null and empty ones are held by none."""
+        asked = quotes.select("qid", plain(F.col("quote")).alias("_p")).filter("_p <> ''").withColumn("_n", F.least(F.char_length("_p"), F.lit(GRAM)))
+        sizes = sorted(r["_n"] for r in asked.select("_n").distinct().collect())  # GRAM values at most
+        by_size = lambda t: F.concat(*[grams_of(t, n) for n in sizes]) if sizes else F.array().cast("array<string>")
+        own = F.coalesce(*[F.when(F.col("_n") == n, grams_of(F.col("_p"), n)) for n in sizes], F.array().cast("array<string>"))
+        asked = stored(asked.select("qid", F.explode(F.array_distinct(own)).alias("gram")))
+        held = docs.select(F.col(id).alias("id"), plain(F.col(text)).alias("_t")).select("id", F.explode(F.array_distinct(by_size(F.col("_t")))).alias("gram"))
+        return GramIndex(stored(held.join(asked.select("gram").distinct(), "gram", "left_semi")), asked)
+
+    def candidates(self) -> DataFrame:
+        """(qid, id) of the texts that hold a quote's rarest gram; a quote with a gram that no text has is held by none."""
+        df = self.postings.groupBy("gram").agg(F.count("*").alias("df"))
+        rarest = self.quotes.join(df, "gram", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("_r")).filter("_r.df > 0").select("qid", F.col("_r.gram").alias("gram"))
+        return self.postings.join(rarest, "gram").select("qid", "id").distinct()
+
+
+def respaced(text: Column) -> Column:
+    """Without white space."""
+    return F.regexp_replace(text, r"(?U)\s+", "")
+
+
+def containing_respaced(docs: DataFrame, quotes: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(qid, id) for each quote (qid, quote) and document that holds it, however either is spaced."""
+    met = GramIndex.build(docs, quotes, id, text, respaced).candidates()
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("_text"))
+    return texts.join(met.join(quotes.select("qid", "quote"), "qid"), "id").filter(F.contains(respaced(F.col("_text")), respaced(F.col("quote")))).select("qid", "id").distinct()
 
 
 def _anchor(hashes: Column, i: Column | int) -> Column:
@@ -27,7 +80,7 @@ def containing(docs: DataFrame, quotes: DataFrame, id: str = "doc_id", text: str
     A quote's inner words stand as whole words wherever it occurs, so its second to fourth word are an
     anchor that a document must have. Up to SET_QUOTES quotes, the anchors are a set that the scan looks
     windows up in, and only documents with a hit go on, with their text; more quotes are joined by anchor.
-    Quotes without three inner words (MOST_SHORT at most) are tried on every document. Empty quotes are
+    Quotes without three inner words are found by their rarest character gram. Null and empty quotes are
     held by none.
     """
     q = quotes.filter(F.col("quote") != "").withColumn("_w", _hashes("quote"))
@@ -50,7 +103,6 @@ def containing(docs: DataFrame, quotes: DataFrame, id: str = "doc_id", text: str
 def _with_short(found: DataFrame, docs: DataFrame, short: DataFrame, id: str, text: str) -> DataFrame:
     if short.isEmpty():
         return found
-    if short.count() > MOST_SHORT:
-        raise ValueError(f"over {MOST_SHORT} quotes of fewer than {ANCHOR + 2} words")
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("_text"))
-    return found.unionByName(texts.join(F.broadcast(short), F.contains("_text", "quote")).select("qid", "id"))
+    met = GramIndex.build(docs, short, id, text).candidates().join(short, "qid")
+    return found.unionByName(texts.join(met, "id").filter(F.contains("_text", "quote")).select("qid", "id").distinct())

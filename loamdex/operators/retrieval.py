@@ -107,6 +107,11 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(n == 0, 1, n)
 
 
+def whole_vectors(rows: DataFrame, vector: str) -> DataFrame:
+    """rows whose vector is there with all its numbers. A vector that isn't is never found, and as a query finds nothing."""
+    return rows.where(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull()))
+
+
 def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     rows = np.stack([np.asarray(v.as_py(), np.float64) for v in column]) if len(column) else np.zeros((0, dim or 0))
     if dim is not None and len(column) and rows.shape[1] != dim:
@@ -130,15 +135,15 @@ def _flat(names: list, best: list[list[tuple]], schema: pa.Schema) -> pa.RecordB
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", skip_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """Exact cosine top-k of every query (qid, vector) against every vector. A zero vector scores 0.
+    """Exact cosine top-k of every query (qid, vector) against every vector. A zero vector scores 0; one that is null, or lacks a number, is left out.
 
     Up to block queries are sent to all tasks: each partition multiplies its batches with them, so the
     shuffle carries k rows a query and partition. More queries are dealt into blocks of about that
     size and vectors into larger ones; each block of queries meets each block of vectors in one task, as
     a product of two matrices. No query passes through the driver then.
     """
-    own = vectors.select(F.col(id).alias("id"), F.col(vector).alias("v"))
-    asked = queries.select("qid", F.col(vector).alias("q"))
+    own = whole_vectors(vectors.select(F.col(id).alias("id"), F.col(vector).alias("v")), "v")
+    asked = whole_vectors(queries.select("qid", F.col(vector).alias("q")), "q")
     kinds = asked.schema["qid"].dataType, own.schema["id"].dataType
     schema = pa.schema([("qid", to_arrow_type(kinds[0])), ("id", to_arrow_type(kinds[1])), ("score", pa.float64())])
     spark_schema = f"qid {kinds[0].simpleString()}, id {kinds[1].simpleString()}, score double"
@@ -207,6 +212,7 @@ class IvfIndex:
     SAMPLE, SALTS, PROBE = 20_000, 8, 60
 
     def __init__(self, vectors: DataFrame, lists: int | None = None, seed: int = 42, id: str = "vec_id", vector: str = "embedding"):
+        vectors = whole_vectors(vectors, vector)
         lists = lists or max(8, round(vectors.count() ** 0.5))
         rows = vectors.select(vector).filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(id)).limit(self.SAMPLE).collect()
         sample = _unit(np.array([r[0] for r in rows], np.float64))
@@ -237,7 +243,7 @@ class IvfIndex:
         from loamdex.functions.vectors import cosine
 
         nprobe = nprobe or -(-len(self.centres) * self.PROBE // 100)
-        q = queries.select("qid", F.col(vector).alias("q"), F.explode(self._nearest(min(nprobe, len(self.centres)))(F.col(vector))).alias("list"))
+        q = whole_vectors(queries, vector).select("qid", F.col(vector).alias("q"), F.explode(self._nearest(min(nprobe, len(self.centres)))(F.col(vector))).alias("list"))
         q = q.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(self.SALTS)])))
         met = self.vectors.join(q, ["list", "salt"])
         return top_k(met.select("qid", "id", F.round(cosine("q", "v"), DIGITS).alias("score")), k)
@@ -253,7 +259,7 @@ class GraphIndex:
     SHARD_ROWS = 2_000
 
     def __init__(self, vectors: DataFrame, links: int = 12, width: int = 48, seed: int = 42, id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS):
-        own = vectors.select(F.col(id).alias("id"), F.col(vector).alias("v"))
+        own = whole_vectors(vectors.select(F.col(id).alias("id"), F.col(vector).alias("v")), "v")
         self.kind = own.schema["id"].dataType
         self.shards = max(1, -(-own.count() // shard_rows))
 
@@ -267,7 +273,7 @@ class GraphIndex:
 
     def search(self, queries: DataFrame, k: int = 10, beam: int = 32, vector: str = "embedding", counted: bool = False) -> DataFrame:
         """(qid, id, score, rank). Queries are dealt into blocks of about BLOCK, each of which meets each shard. counted: (qid, looked) instead, the vectors that were compared."""
-        asked = queries.select("qid", F.col(vector).alias("q"))
+        asked = whole_vectors(queries.select("qid", F.col(vector).alias("q")), "q")
         blocks = max(1, -(-asked.count() // BLOCK))
         left = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(self.shards - 1))))
         right = self.graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

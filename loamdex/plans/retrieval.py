@@ -9,7 +9,9 @@ from loamdex.functions.text import coverage, tokenize
 from loamdex.functions.vectors import pca2, project2, ranked_neighbours, similarity_pairs, topic_metrics, toy_embedding
 from loamdex.operators import answers, fusion, metrics
 from loamdex.operators.embedding import off_diagonal_scale
-from loamdex.operators.retrieval import GraphIndex, IvfIndex, list_recall, sweep, vector_search
+from loamdex.operators.impacts import ImpactIndex
+from loamdex.operators.quantised import QuantisedIndex
+from loamdex.operators.retrieval import Bm25Index, GraphIndex, IvfIndex, list_recall, sweep, vector_search
 from loamdex.plans.common import EVIDENCE_SQL, QUESTIONS_SQL, documents, evidence, keyword_index, questions, runs, runs_sql, several_runs
 from loamdex.session import stored
 from loamdex.sources.readers import table
@@ -61,6 +63,32 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return _round(runs(spark, folder), "score").select("qid", "id", "score", "rank")
 
 
+def _impacts(spark: SparkSession, folder: str) -> ImpactIndex:
+    """Blocks of eight consecutive ids."""
+    index = Bm25Index.build(documents(spark, folder), only=Bm25Index.terms(questions(spark, folder)))
+    return ImpactIndex.build(index, F.floor(F.col("id") / 8))
+
+
+@plan(f"WITH {QUESTIONS_SQL}, {runs_sql()} SELECT qid, id, round(score, 6) AS score, rank FROM run")
+def bm25_pruned(spark: SparkSession, folder: str) -> DataFrame:
+    """The same lists from the blocks that can reach them."""
+    return _round(_impacts(spark, folder).search(questions(spark, folder), 10), "score").select("qid", "id", "score", "rank")
+
+
+@plan(rf"""WITH {QUESTIONS_SQL}, {runs_sql()},
+posting AS MATERIALIZED (SELECT qid, doc_id AS id, doc_id // 8 AS block, term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg)) AS impact
+  FROM run_q JOIN run_p USING (term) JOIN run_f USING (term), run_s),
+bounded AS (SELECT qid, block, round(sum(idf * most), 9) AS bound FROM (SELECT qid, block, term, any_value(idf) AS idf, max(impact) AS most FROM posting GROUP BY ALL) GROUP BY qid, block),
+rare AS (SELECT qid, term FROM (SELECT DISTINCT qid, term, df FROM run_q JOIN run_f USING (term)) WINDOW w AS (PARTITION BY qid ORDER BY df, term) QUALIFY sum(df) OVER w <= 640 OR row_number() OVER w = 1),
+partly AS (SELECT qid, block, id, round(sum(idf * impact), 9) AS s FROM posting JOIN rare USING (qid, term) GROUP BY ALL),
+first AS (SELECT DISTINCT qid, block FROM (SELECT * FROM partly WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 40)),
+best AS (SELECT qid, round(sum(idf * impact), 9) AS score FROM posting JOIN first USING (qid, block) GROUP BY qid, id),
+least AS (SELECT qid, score FROM best WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC) = 10)
+SELECT qid, count(*) AS blocks, count(*) FILTER (first.block IS NOT NULL OR least.score IS NULL OR bound + 2e-9 >= least.score) AS scored FROM bounded LEFT JOIN first USING (qid, block) LEFT JOIN least USING (qid) GROUP BY qid""")
+def bm25_blocks_read(spark: SparkSession, folder: str) -> DataFrame:
+    return _impacts(spark, folder).counted(questions(spark, folder), 10)
+
+
 @plan(f"WITH {QUESTIONS_SQL}, {runs_sql()} SELECT qid, round(min(score), 6) AS low, round(max(score), 6) AS high, count(*) AS n FROM run GROUP BY qid")
 def score_range(spark: SparkSession, folder: str) -> DataFrame:
     return _round(fusion.score_range(runs(spark, folder)), "low", "high")
@@ -239,6 +267,25 @@ def ann_recall(spark: SparkSession, folder: str) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+@plan()
+def quantised_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """(share, recall, looked): compressed lists against exact search, by the per cent of lists looked into; looked: share of all vectors whose codes were scored."""
+    v, q = _vectors(spark, folder), _asked(spark, folder)
+    exact, index, out = stored(vector_search(v, q, 10)), QuantisedIndex(v), None
+    for share in (5, 10, QuantisedIndex.PROBE):
+        looked = index.search(q, 10, share, counted=True).agg(F.round(F.avg("looked") / index.rows, 6).alias("looked"))
+        row = list_recall(index.search(q, 10, share), exact, 10).agg(F.round(F.avg("recall"), 6).alias("recall")).select(F.lit(share).alias("share"), "recall").join(looked)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@plan(f"WITH {VECTORS_SQL}, s AS (SELECT q.vec_id AS qid, d.vec_id AS id, round(list_dot_product(q.e, d.e), 9) AS s FROM u q, u d WHERE q.vec_id % 50 = 0) SELECT qid, id, round(s, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM s QUALIFY rank <= 10")
+def quantised_of_all_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """All lists are looked into and all that is found is scored by its vectors: the exact ranks."""
+    index = QuantisedIndex(_vectors(spark, folder))
+    return _round(index.search(_asked(spark, folder), 10, probe=100, rerank=index.rows), "score")
+
+
 @plan()
 def graph_recall(spark: SparkSession, folder: str) -> DataFrame:
     """(beam, recall): sharded small-world graphs against exact search; a beam under k is filled up."""

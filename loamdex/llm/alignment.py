@@ -15,7 +15,10 @@ in one task, and nothing that is sent grows with the corpus.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -37,18 +40,32 @@ GROUPS = 100_000
 SPELLED = 4_096
 #: Distinct pairs that a task keeps before it passes their counts on.
 KEPT = 2_000_000
+#: Stretches of text whose ids a task keeps.
+STRETCHES = 400_000
 _SHIFT = 32
 
 
 class Vocabulary:
-    """Encodes texts; knows the bytes of each id."""
+    """Encodes texts that begin with a space, given as lists of stretches to encode on their own; knows the bytes of each id.
 
-    def __init__(self, tokens: list[bytes], encode):
-        self.tokens, self._encode = tokens, encode
+    between: where stretches may be cut (nowhere: None). Ids of stretches met before are kept, up to STRETCHES of them.
+    """
+
+    def __init__(self, tokens: list[bytes], encode, between: re.Pattern | None = None):
+        self.tokens, self._encode, self._between = tokens, encode, between
         self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self._kept: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
-        return np.asarray(self._encode(text), np.int64)
+        if self._between is None:
+            return np.asarray(self._encode([text])[0], np.int64)
+        stretches, kept = self._between.split(text), self._kept
+        if len(kept) > STRETCHES:
+            kept.clear()
+        new = list(set(stretches).difference(kept))
+        for stretch, ids in zip(new, self._encode(new) if new else ()):
+            kept[stretch] = array("i", ids).tobytes()
+        return np.frombuffer(b"".join(map(kept.__getitem__, stretches)), np.intc).astype(np.int64)
 
     def joined(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -61,9 +78,17 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+#: Fixed value: the pattern that byte-level pre-tokenizers cut texts by.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 @cache
 def byte_level(data: str) -> Vocabulary:
-    """A tokenizers file of a byte-level vocabulary. Its special strings are plain text."""
+    """A tokenizers file of a byte-level vocabulary. Its special strings are plain text.
+
+    Where the file has nothing but merges, and ids in their order, they are ranks, and tiktoken encodes by them to
+    the same ids in a seventh of the time; any other file is encoded by tokenizers.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -74,17 +99,35 @@ def byte_level(data: str) -> Vocabulary:
     tokens = [b""] * tokenizer.get_vocab_size()
     for token, i in tokenizer.get_vocab().items():
         tokens[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-    return Vocabulary(tokens, lambda text: tokenizer.encode(text, add_special_tokens=False).ids)
+    ranks = _ranks(json.loads(data), tokens)
+    if ranks is None:
+        return Vocabulary(tokens, lambda texts: [tokenizer.encode(t, add_special_tokens=False).ids for t in texts])
+    import tiktoken
+
+    encoding = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return Vocabulary(tokens, lambda texts: list(map(encoding.encode_ordinary, texts)))
+
+
+def _ranks(file: dict, tokens: list[bytes]) -> dict[bytes, int] | None:
+    model, cut = file["model"], file.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not file.get("normalizer") and not any(model.get(k) for k in ("dropout", "unk_token", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+    if not plain or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None
+    pairs, ids = (x if isinstance(x, list) else x.split(" ") for x in model["merges"]), model["vocab"]
+    special = {x["id"] for x in file.get("added_tokens") or ()}
+    in_order = all(ids.get(a + b) == 256 + i for i, (a, b) in enumerate(pairs)) and len(model["merges"]) + 256 == len(set(ids.values()) - special)
+    return {t: i for i, t in enumerate(tokens) if i not in special} if in_order else None
 
 
 @cache
 def pieces(data: bytes) -> Vocabulary:
-    """A sentencepiece model with byte fallback; it puts a space before each text."""
+    """A sentencepiece model with byte fallback; it puts a space before each text. If no piece has a space behind another character, texts are cut there."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_proto=data)
     tokens = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i in range(model.get_piece_size()) for p in (model.id_to_piece(i),)]
-    return Vocabulary(tokens, lambda text: model.encode(text, num_threads=1))
+    across = any(re.search(r"[^ ] ", t.decode("utf-8", "replace")) for t in tokens)
+    return Vocabulary(tokens, lambda texts: model.encode([t[1:] for t in texts], num_threads=1), None if across else re.compile(r"(?<=\S)(?= )"))
 
 
 def bitset(ends: np.ndarray, n: int) -> np.ndarray:
@@ -106,11 +149,17 @@ def rank(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return before[word] + np.bitwise_count(words[word] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(63) - bit)))
 
 
+@cache
+def _spelling(n_a: int, n_b: int) -> np.ndarray:
+    """`id,` and `id|` of the ids of a, `id,` and `id;` of those of b."""
+    return np.array([f"{i}{end}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for end in ends for i in range(n)], object)
+
+
 class Alignment:
     """Two encodings of the same bytes, cut where tokens of both end: group i has the tokens of a from a_cuts[i] to a_cuts[i + 1], and those of b alike."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray, a_lengths: np.ndarray, b_lengths: np.ndarray):
-        self.a, self.b = a, b
+        self.a, self.b, self.sizes = a, b, (len(a_lengths), len(b_lengths))
         a_ends, b_ends = np.cumsum(a_lengths[a]), np.cumsum(b_lengths[b])
         n = int(a_ends[-1]) if len(a) else 0
         a_set, b_set = bitset(a_ends, n), bitset(b_ends, n)
@@ -137,10 +186,11 @@ class Alignment:
         # a token of a comes after all tokens of b in earlier groups, one of b after all of a up to its own group
         a_at = np.arange(len(a)) + np.repeat(b_cuts[:-1], np.diff(a_cuts))
         b_at = np.arange(len(b)) + np.repeat(a_cuts[1:], np.diff(b_cuts))
-        out, ends = np.empty(len(a) + len(b), object), np.full(len(a) + len(b), ",", object)
-        out[a_at], out[b_at] = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        ends[a_at[a_cuts[1:] - 1]], ends[b_at[b_cuts[1:] - 1]] = "|", ";"
-        return "".join((out + ends).tolist())[:-1]
+        n_a, n_b = self.sizes
+        a_ends, b_ends, out = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), np.empty(len(a) + len(b), np.int64)
+        a_ends[a_cuts[1:] - 1] = b_ends[b_cuts[1:] - 1] = 1
+        out[a_at], out[b_at] = a + n_a * a_ends, 2 * n_a + b + n_b * b_ends
+        return "".join(_spelling(n_a, n_b)[out].tolist())[:-1]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct linked id pairs as a << 32 | b, ascending, and the links of each."""
@@ -175,7 +225,7 @@ def align(text: str | None, a: Vocabulary, b: Vocabulary) -> Alignment | None:
     if not text:
         return None
     wanted = (" " + text).encode()
-    a_ids, b_ids = a.encode(" " + text), b.encode(text)
+    a_ids, b_ids = a.encode(" " + text), b.encode(" " + text)
     return Alignment(a_ids, b_ids, a.lengths, b.lengths) if a.joined(a_ids) == wanted == b.joined(b_ids) else None
 
 

@@ -109,10 +109,10 @@ def topic_metrics(vectors: DataFrame, ignore: tuple = (), id: str = "vec_id", ve
 
     Mean similarities within and across topics need no pairs: the similarities of all pairs of a set add
     up to half of (the squared length of the sum of its unit vectors, less its size). Nearest neighbours
-    are searched for exactly, in blocks. Topics of one member and those in ignore have no say in their
+    are exact; pairs of blocks that can't hold any are skipped. Topics of one member and those in ignore have no say in their
     agreement; of equal neighbours the one of smaller id counts.
     """
-    from loamdex.operators.retrieval import vector_search
+    from loamdex.operators.neighbours import nearest_of_all
 
     unit = vectors.select(F.col(id).alias("id"), F.col(topic).alias("topic"), normalize(vector).alias("v"))
     parts = unit.select("topic", "id", F.posexplode("v").alias("i", "x")).groupBy("topic", "i").agg(F.sum("x").alias("x"))
@@ -120,7 +120,7 @@ def topic_metrics(vectors: DataFrame, ignore: tuple = (), id: str = "vec_id", ve
     within = parts.groupBy("topic").agg(F.sum(F.col("x") * F.col("x")).alias("q")).join(size, "topic").agg(F.sum((F.col("q") - F.col("own")) / 2).alias("s"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("sn"), F.sum("n").alias("n"), F.sum("own").alias("own"))
     total = parts.groupBy("i").agg(F.sum("x").alias("x")).agg(F.sum(F.col("x") * F.col("x")).alias("q"))
     means = within.join(F.broadcast(total)).select(F.try_divide("s", "sn").alias("same"), F.try_divide((F.col("q") - F.col("own")) / 2 - F.col("s"), F.col("n") * (F.col("n") - 1) / 2 - F.col("sn")).alias("diff"))
-    nearest = vector_search(vectors, vectors.select(F.col(id).alias("qid"), vector), 1, id, vector, skip_self=True)
+    nearest = nearest_of_all(vectors, 1, id, vector)
     asked = unit.select(F.col("id").alias("qid"), F.col("topic").alias("ti")).join(size.select(F.col("topic").alias("ti"), "n"), "ti").filter(F.col("n") >= 2)
     asked = asked.filter(~F.col("ti").isin(*ignore)) if ignore else asked
     met = asked.join(nearest.select("qid", "id"), "qid", "left").join(unit.select("id", "topic"), "id", "left")

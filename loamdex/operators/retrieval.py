@@ -296,6 +296,18 @@ class GraphIndex:
         return top_k(out.drop("looked"), k)
 
 
+    def layers(self) -> DataFrame:
+        """(shard, layer, rows) of the stored graphs, layer 0 the lowest."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for shard, graph in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    sizes = pickle.loads(graph.as_py())[1].layer_sizes()
+                    yield pa.RecordBatch.from_arrays([pa.array([shard] * len(sizes), pa.int32()), pa.array(range(len(sizes)), pa.int32()), pa.array(sizes, pa.int64())], ["shard", "layer", "rows"])
+
+        return self.graphs.mapInArrow(run, "shard int, layer int, rows long")
+
+
 class SmallWorld:
     """Layered proximity graph over unit rows; similarities are dot products."""
 

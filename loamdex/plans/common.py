@@ -57,28 +57,6 @@ def registry():
     return queries, sql_of, plan
 
 
-def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """Small cases that the test tables have no texts for."""
-    return spark.createDataFrame(rows, schema)
-
-
-def values_sql(rows: list[tuple], names: list[str]) -> str:
-    """The expected rows, typed out."""
-
-    def text(v) -> str:
-        if v is None:
-            return "NULL"
-        if isinstance(v, bool):
-            return str(v).lower()
-        if isinstance(v, str):
-            return "'" + v.replace("'", "''") + "'"
-        if isinstance(v, (list, tuple)):
-            return "[" + ", ".join(map(text, v)) + "]" + ("::VARCHAR[]" if not v else "")
-        return repr(v)
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({', '.join(names)})"
-
-
 #: The same in SQL.
 SENTENCE_SQL = r"regexp_replace({0}, '[.!?。]+[\"'')\]]?(?:\s+|$)|\n+', '\0' || chr(1), 'g')"
 QUESTIONS_SQL = r"""questions AS (SELECT item_id AS qid, string_split(regexp_replace(text, '[.!?。]+["'')\]]?(?:\s+|$)|\n+', '\0' || chr(1), 'g'), chr(1))[1] AS question FROM benchmark)"""

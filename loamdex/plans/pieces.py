@@ -1,26 +1,19 @@
-"""Plans over single functions and small operators: facts, prompts, checks, conversations, quizzes, vectors, scores.
-
-The test tables have no Hangul; rules over it run on literal cases, whose expected rows are typed out.
-"""
+"""Plans over single functions and small operators: facts, prompts, checks, conversations, vectors, scores."""
 
 from __future__ import annotations
 
-import json
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex.functions import cleaning, text
-from loamdex.functions.diffs import diff
-from loamdex.functions.vectors import euclid, pca2, role_text
+from loamdex.functions.vectors import euclid, role_text
 from loamdex.operators import answers, conversation, fusion, metrics, quiz, selfquery, validators
 from loamdex.operators.chunking import ChunkConfig, chunk
 from loamdex.operators.embedding import ToyEmbedder, embed_once, model_embedding
 from loamdex.operators.matching import containing
-from loamdex.operators.retrieval import Bm25Index, GraphIndex, IvfIndex, SmallWorld, VectorStore, evidence_rank, relevant_ids, vector_search, with_scores
-from loamdex.plans.common import EVIDENCE_SQL, QUESTIONS_SQL, documents, literal, questions, registry, runs, runs_sql, values_sql
+from loamdex.operators.retrieval import Bm25Index, GraphIndex, IvfIndex, VectorStore, evidence_rank, relevant_ids, vector_search, with_scores
+from loamdex.plans.common import EVIDENCE_SQL, QUESTIONS_SQL, documents, questions, registry, runs, runs_sql
 from loamdex.sources.readers import table
 
 QUERIES, SQL, plan = registry()
@@ -43,42 +36,6 @@ def ocr_everywhere(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder).select("doc_id", cleaning.ocr_everywhere("text").alias("r")).select("doc_id", F.sha2("r.text", 256).alias("sha256"), "r.count")
 
 
-#: (case, step, text, expected text, changes)
-STEPS = [
-    (1, "table", "안내\n요일 교시 과목 강의실 담당\n월 1-3 딥러닝 306 이 교수 화 4-6 현장 실습 외부 산업체\n끝", "안내\n요일 | 교시 | 과목 | 강의실 | 담당\n월 | 1-3 | 딥러닝 | 306 | 이 교수\n화 | 4-6 | 현장 실습 | 외부 산업체 | —\n끝", 2),
-    (2, "table", "요일 교시 과목 강의실 담당\n수 2-3 팀 프로젝트 305호 공동", "요일 | 교시 | 과목 | 강의실 | 담당\n수 | 2-3 | 팀 프로젝트 | 305호 | 공동", 1),
-    (3, "table", "요일 교시 과목 강의실 담당\n다른 줄", "요일 교시 과목 강의실 담당\n다른 줄", 0),
-    (4, "ocr", "출석률 5O% 이상, 2O24년 MLOps COVID19 l2시간", "출석률 50% 이상, 2024년 MLOps COVID19 12시간", 3),
-    (5, "space", "장 학 금 안 내\n평 점이 지급한 다.", "장학금안내\n평점이 지급한다.", 3),
-    (6, "space", "그 과목 매 학기", "그 과목 매 학기", 0),
-    (7, "spaceAll", "장학 금은 A 학점 이상", "장학금은 A 학점이상", 2),
-    (8, "pagenum", "본문\n- 3 -\n끝 - 4 -", "본문\n끝", 2),
-]
-
-
-@plan(values_sql([(c, s, after, n) for c, s, _, after, n in STEPS], ["id", "step", "text", "count"]))
-def hangul_cleaning(spark: SparkSession, folder: str) -> DataFrame:
-    parts = []
-    for step in sorted({s[1] for s in STEPS}):
-        rows = literal(spark, [(c, s, t) for c, s, t, *_ in STEPS if s == step], "id int, step string, t string")
-        parts.append(rows.select("id", "step", cleaning.STEPS[step]("t").alias("r")).select("id", "step", "r.text", "r.count"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-@plan(values_sql([(1, "50% 이상", 1, 0, 1), (2, "a\nb", 0, 1, 1)], ["id", "text", "ocr", "header", "pagenum"]))
-def cleaned_literals(spark: SparkSession, folder: str) -> DataFrame:
-    """All recommended steps together: page numbers, repeated lines, damaged digits."""
-    rows = literal(spark, [(1, "5O% 이상\n- 1 -"), (2, "a\n사이트맵\nb\n2/3")], "id int, text string")
-    out = cleaning.clean(rows, cleaning.recommended("broken-mixed"))
-    return out.select("id", "text", *[F.col("counts")[s].alias(s) for s in ("ocr", "header", "pagenum")])
-
-
-@plan(values_sql([(1, "eq:5|del:O|ins:0|eq:%"), (2, "eq:same"), (3, "ins:new")], ["id", "runs"]))
-def small_diffs(spark: SparkSession, folder: str) -> DataFrame:
-    rows = literal(spark, [(1, "5O%", "50%"), (2, "same", "same"), (3, "", "new")], "id int, a string, b string")
-    return rows.select("id", F.array_join(F.transform(diff("a", "b"), lambda r: F.concat_ws(":", r["type"], r["text"])), "|").alias("runs"))
-
-
 # ---- facts, terms, texts
 
 
@@ -87,26 +44,11 @@ def normal_facts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "benchmark").select("item_id", text.normal_fact("text", False).alias("fact"), text.golden_facts("text", False).isNotNull().alias("known"))
 
 
-FACTS = [(1, "최대 12 시간까지", "12시간이다.", ["12시간"], True), (2, "112시간", "12시간", ["12시간"], False), (3, "40 퍼센트", "40%", ["40%"], True), (4, "재수강은 불가능하다", "재수강은 불가능하다.", ["재수강은불가능하"], True), (5, "모른다", "8시간", ["8시간"], False), (6, "ＡＢ 3호", "3호", ["3호"], True)]
-
-
-@plan(values_sql([(i, f, h) for i, _, _, f, h in FACTS], ["id", "facts", "holds"]))
-def fact_matches(spark: SparkSession, folder: str) -> DataFrame:
-    rows = literal(spark, [r[:3] for r in FACTS], "id int, t string, a string")
-    return rows.select("id", text.golden_facts("a").alias("facts"), text.contains_facts("t", "a").alias("holds"))
-
-
 @plan("SELECT conv_id, turn, 'Q: ' || text || ' {unknown} by ' || role AS filled FROM conversations")
 def filled_templates(spark: SparkSession, folder: str) -> DataFrame:
     return _turns(spark, folder).select("conv_id", "turn", text.fill_template("Q: {question} {unknown} by {role}", {"question": F.col("text"), "role": F.col("role")}).alias("filled"))
 
 
-@plan(values_sql([(1, [], []), (2, ["context"], ["name"]), (3, ["question", "context"], [])], ["id", "missing", "unknown"]))
-def template_placeholders(spark: SparkSession, folder: str) -> DataFrame:
-    rows = literal(spark, [(1, ["{question}", "{context}"]), (2, ["{question} {name}"]), (3, ["plain"])], "id int, t array<string>")
-    return rows.select("id", text.placeholders(F.col("t")).alias("p")).select("id", "p.missing", "p.unknown")
-
-
 _PAIRS = "p AS (SELECT conv_id, list(text ORDER BY turn) AS texts, list(role ORDER BY turn) AS roles, any_value(conv_id) AS c FROM conversations GROUP BY conv_id)"
 
 
@@ -137,12 +79,6 @@ def marked_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "benchmark").select("item_id", F.size(F.filter(text.marked("text", F.array(F.lit("de"), F.lit(""))), lambda m: m["hit"])).alias("hits"))
 
 
-@plan(values_sql([("도서관에서는", "도서관"), ("학교는", "학교"), ("나는", "나는"), ("books", "books"), ("장학금으로", "장학금")], ["word", "stem"]))
-def word_endings(spark: SparkSession, folder: str) -> DataFrame:
-    rows = literal(spark, [(w,) for w in ("도서관에서는", "학교는", "나는", "books", "장학금으로")], "word string")
-    return rows.select("word", text.strip_ending(F.col("word"), text.ENDINGS_TALK, 2).alias("stem"))
-
-
 @plan("SELECT item_id AS qid, doc_id AS doc, instr(documents.text, benchmark.text) - 1 AS start, instr(documents.text, benchmark.text) - 1 + length(benchmark.text) AS \"end\" FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)")
 def respaced_quotes(spark: SparkSession, folder: str) -> DataFrame:
     """Quotes whose blanks are doubled are found where they stand."""
@@ -166,13 +102,6 @@ def previews(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder).select("doc_id", text.preview("text").alias("preview"))
 
 
-@plan(values_sql([("a", 1), ("é", 2), ("�", 1), ("日", 3)], ["piece", "tokens"]))
-def grouped_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """Byte tokens are grouped until they decode; a lone byte that never does is replaced."""
-    rows = text.group_pieces([b"a", *(bytes([x]) for x in "é".encode())]) + text.group_pieces([b"\xff"]) + text.group_pieces([bytes([x]) for x in "日".encode()])
-    return spark.createDataFrame(rows, "piece string, tokens int")
-
-
 @plan("SELECT conv_id, turn, contains(lower(text), lower('De')) AS found, contains(lower(text), '') AS any FROM conversations")
 def title_filter(spark: SparkSession, folder: str) -> DataFrame:
     return _turns(spark, folder).select("conv_id", "turn", text.title_has("text", F.lit(" De ")).alias("found"), text.title_has("text", F.lit(" ")).alias("any"))
@@ -228,16 +157,6 @@ def vector_distances(spark: SparkSession, folder: str) -> DataFrame:
     return v.join(v.select((F.col("i") - 1).alias("i"), F.col("a").alias("b")), "i").select("i", F.round(euclid("a", "b"), 6).alias("distance"))
 
 
-PLANE = [(i, [float(x), float(y), 0.0]) for i, (x, y) in enumerate([(3, 1), (-3, 1), (3, -1), (-3, -1)])]
-
-
-@plan("SELECT 0.9 AS first, 0.1 AS second, 1.0 AS x, 1.0 AS y")
-def principal_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Corners of a rectangle: nine tenths of the variance lie along its length."""
-    components, _, shares = pca2(literal(spark, PLANE, "vec_id int, embedding array<double>"))
-    return spark.createDataFrame([(round(shares[0], 6), round(shares[1], 6), round(abs(components[0][0]), 6), round(abs(components[1][1]), 6))], "first double, second double, x double, y double")
-
-
 _EXACT = "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS MATERIALIZED (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v), s AS (SELECT q.vec_id AS qid, d.vec_id AS id, round(list_dot_product(q.e, d.e), 9) AS s FROM u q, u d WHERE q.vec_id % 50 = 0) SELECT qid, id, round(s, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM s QUALIFY rank <= {0}"
 
 
@@ -276,14 +195,6 @@ def search_of_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return _round(vector_search(v, q, 3, block=4), "score")
 
 
-@plan(values_sql([("sum", True), ("base", True), ("falls", True)], ["name", "ok"]))
-def graph_layers(spark: SparkSession, folder: str) -> DataFrame:
-    """The lowest layer of a graph holds all rows, higher ones ever fewer."""
-    rows = np.random.default_rng(1).standard_normal((300, 8))
-    sizes = SmallWorld(rows / np.linalg.norm(rows, axis=1, keepdims=True)).layer_sizes()
-    return spark.createDataFrame([("sum", sum(sizes) >= 300), ("base", sizes[0] == 300), ("falls", sizes == sorted(sizes, reverse=True))], "name string, ok boolean")
-
-
 # ---- retrieval, fusion, scores
 
 _CHUNKS = r"""chunk AS MATERIALIZED (SELECT doc_id AS doc, doc_id || '#' || (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) AS id, substr(text, i * 240 + 1, 300) AS text
@@ -357,13 +268,6 @@ def best_of_board(spark: SparkSession, folder: str) -> DataFrame:
     return place.select(F.posexplode("x").alias("i", "r")).select("r.*", (F.col("i") + 1).alias("place"))
 
 
-@plan(values_sql([(1, True, False, True), (2, False, True, False)], ["id", "mixed_k", "mixed_mode", "close"]))
-def notes_of_boards(spark: SparkSession, folder: str) -> DataFrame:
-    boards = {1: [(5, "doc", 0.75), (3, "doc", 0.70)], 2: [(5, "doc", 0.9), (5, "chunk", 0.5)]}
-    parts = [metrics.board_notes(literal(spark, rows, "k int, mode string, score double"), "score", 12).select(F.lit(i).alias("id"), "mixed_k", "mixed_mode", "close") for i, rows in boards.items()]
-    return parts[0].unionByName(parts[1])
-
-
 @plan("SELECT row_number() OVER (ORDER BY (p_brand LIKE '%1') DESC, p_partkey) AS place, p_partkey FROM part")
 def damaged_first(spark: SparkSession, folder: str) -> DataFrame:
     """A damaged kind before the others, else in data order."""
@@ -379,30 +283,6 @@ def citations_outside(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- structured questions
 
-SCHEMA = {"semester": {"kind": "int", "min": 1, "max": 2}, "day": {"kind": "enum", "values": list("월화수목금")}, "room": {"kind": "enum", "values": ["305", "306"]}, "credits": {"kind": "int", "min": 1, "max": 4}, "professor": {"kind": "enum", "values": ["이 교수", "조 교수", "공동"]}, "type": {"kind": "enum", "values": ["course", "timetable", "scholarship"]}, "periodStart": {"kind": "int", "min": 1, "max": 9}, "periodEnd": {"kind": "int", "min": 1, "max": 9}}
-ASKED = [
-    (1, "화요일 오전 305호 수업은 뭐야?", "", "list", {"day": "화", "room": "305", "periodEnd": {"lte": 3}, "type": "timetable"}, ["day", "room", "morning", "type"]),
-    (2, "3학점 이상 과목은 몇 개야?", "", "count", {"credits": {"gte": 3}, "type": "course"}, ["credits", "type"]),
-    (3, "월요일이나 수요일에 조 교수님 강의", "", "list", {"day": {"in": ["월", "수"]}, "professor": "조 교수", "type": "timetable"}, ["day", "professor", "type"]),
-    (4, "장학금 신청 기간", "장학금 신청 기간", "search", {"type": "scholarship"}, ["type"]),
-    (5, "2학기 3-4교시 모두 보여줘", "", "list", {"semester": 2, "periodStart": {"gte": 3}, "periodEnd": {"lte": 4}, "type": "timetable"}, ["semester", "periods", "type"]),
-]
-
-
-@plan(values_sql([(i, q, n, json.dumps(f, ensure_ascii=False), t) for i, _, q, n, f, t in ASKED], ["id", "query", "intent", "filter", "trace"]))
-def parsed_questions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = selfquery.parsed_questions(literal(spark, [r[:2] for r in ASKED], "id int, question string"), SCHEMA)
-    return rows.select("id", "parsed.*")
-
-
-CHECKED = [({"query": "x", "intent": "search", "filter": {"day": "월"}}, 0), ({"intent": "sing"}, 1), ({"filter": {"day": "일", "colour": 1}}, 2), ({"filter": {"credits": {"gte": 9, "near": 1}, "day": {"gte": "월"}}}, 3), ({"filter": {"room": ["305"], "day": {"in": []}}, "more": 1}, 3), ("text", 1), ({"filter": {"credits": True}}, 1)]
-
-
-@plan(values_sql([(i, n) for i, (_, n) in enumerate(CHECKED)], ["id", "errors"]))
-def question_errors(spark: SparkSession, folder: str) -> DataFrame:
-    """How many errors the validator finds in a question object; one with any is never run."""
-    return spark.createDataFrame([(i, len(selfquery.validate(o, SCHEMA))) for i, (o, _) in enumerate(CHECKED)], "id int, errors int")
-
 
 @plan("""WITH p AS (SELECT p_partkey, p_size FROM part), best AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rank FROM p QUALIFY rank <= 7),
 good AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rank FROM p WHERE p_size >= 45)
@@ -421,38 +301,6 @@ def searched_records(spark: SparkSession, folder: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-REPLIES = [(1, '{"items": [{"type": "short", "question": "q", "answer": "a"}]}', True, 1, []), (2, 'Sure:\n```json\n{"items": []}\n```', True, 0, ["fence"]), (3, 'x {"items": []} y', True, 0, ["chatter"]), (4, "none", False, -1, ["no object"]), (5, "{broken}", False, -1, ["not JSON"])]
-
-
-@plan(values_sql([(i, ok, n, notes) for i, _, ok, n, notes in REPLIES], ["id", "ok", "items", "notes"]))
-def quiz_replies(spark: SparkSession, folder: str) -> DataFrame:
-    rows = literal(spark, [r[:2] for r in REPLIES], "id int, reply string").select("id", quiz.quiz_reply("reply").alias("r"))
-    return rows.select("id", "r.ok", F.coalesce(F.size("r.items"), F.lit(-1)).alias("items"), "r.notes")
-
-
-JUDGED = [(1, 'ok {"claims": [{"claim": "a", "supported": true}, {"claim": "b", "supported": "yes"}], "faithfulness": 0.5}', 1, 2, 0.5, 1), (2, '{"claims": [{"claim": "a", "supported": false, "reason": "r"}], "faithfulness": 1.0}', 0, 1, 0.0, 0), (3, "no reply", -1, -1, -1.0, -1)]
-
-
-@plan(values_sql([(i, *r) for i, _, *r in JUDGED], ["id", "supported", "total", "score", "agrees"]))
-def judged_replies(spark: SparkSession, folder: str) -> DataFrame:
-    rows = literal(spark, [r[:2] for r in JUDGED], "id int, reply string").select("id", answers.parse_judgement("reply").alias("j"))
-    s = rows.select("id", F.when(F.col("j").isNotNull(), answers.judged(F.col("j"))).alias("s"))
-    known = lambda c, kind: F.coalesce(F.col(f"s.{c}").cast(kind), F.lit(-1).cast(kind)).alias(c)
-    return s.select("id", known("supported", "int"), known("total", "int"), known("score", "double"), known("agrees", "int"))
-
-
-OUTPUTS = [(1, "답: 12시간이다. [1]", "answer", 1, True, True), (2, "문서에서 찾을 수 없다.", "refuse", -1, True, False), (3, "모른다 [4]", "answer", 0, False, False), (4, "답: 문장", "refuse", 0, False, True)]
-
-
-@plan(values_sql([(i, c, j, f) for i, _, _, c, j, f in OUTPUTS], ["id", "cite", "judged", "format"]))
-def rubric_scores(spark: SparkSession, folder: str) -> DataFrame:
-    parts = []
-    for i, output, expect, *_ in OUTPUTS:
-        r = answers.rubric(F.col("t"), 3, expect, ("12시간",) if expect == "answer" else ())
-        parts.append(literal(spark, [(i, output)], "id int, t string").select("id", F.map_from_entries(r).alias("r")).select("id", F.coalesce(F.col("r")["cite"].cast("int"), F.lit(-1)).alias("cite"), F.col("r")["refuse"].alias("judged"), F.col("r")["format"].alias("format")))
-    return reduce(DataFrame.unionByName, parts)
-
-
 # ---- generation and its checks
 
 
@@ -472,100 +320,6 @@ def overlap_answers(spark: SparkSession, folder: str) -> DataFrame:
     return answers.OverlapGenerator().generate(rows).select(F.col("qid").alias("conv_id"), (F.col("answer") != answers.REFUSED).alias("answered"))
 
 
-GUESSED = [(1, "연장 신청은 언제까지 하나", ["도서관은 9시에 연다. 연장 신청은 반납일 전날까지 한다. 끝."], "연장 신청은 반납일 전날까지 한다."), (2, "몇 시", None, None)]
-
-
-@plan(values_sql([(i, c, c is None) for i, _, _, c in GUESSED], ["qid", "cite", "guessed"]))
-def guessed_answers(spark: SparkSession, folder: str) -> DataFrame:
-    rows = answers.GuessingGenerator(["4시간", "6시간"]).generate(literal(spark, [r[:3] for r in GUESSED], "qid int, question string, texts array<string>"))
-    return rows.select("qid", "cite", F.col("answer").isin("4시간", "6시간").alias("guessed"))
-
-
-SAVED = [(1, 2, "[2]에 있다.", "correct"), (2, 0, "없다", "refused"), (3, 0, "모름", "refused")]
-
-
-@plan(values_sql([(q, a, v) for q, _, a, v in SAVED], ["qid", "answer", "verdict"]))
-def recorded_answers(spark: SparkSession, folder: str) -> DataFrame:
-    said = "struct<text:string,verdict:string>"
-    saved = literal(spark, [(1, ("{ev}에 있다.", "correct"), ("없다", "refused")), (2, ("x", "correct"), ("없다", "refused"))], f"qid int, hit {said}, miss {said}")
-    return answers.saved_answers(literal(spark, [(q, r) for q, r, *_ in SAVED], "qid int, rank int"), saved, "모름")
-
-
-@plan(values_sql([("read", "docs", True), ("search", "", True)], ["step", "note", "timed"]))
-def step_log(spark: SparkSession, folder: str) -> DataFrame:
-    log = answers.StepLog()
-    with log.step("read", "docs"):
-        pass
-    with log.step("search"):
-        pass
-    return log.frame(spark).select("step", "note", (F.col("seconds") >= 0).alias("timed"))
-
-
-CALLS = [("messages", 200, "hi", None), ("chat", 200, "hi", None), ("contents", 200, "hi", None), ("chat", 401, None, "http"), ("chat", 0, None, "network"), ("other", 200, None, "bad-provider"), ("messages", -1, None, "no-key")]
-
-
-@plan(values_sql([(i, t, c, False) for i, (_, _, t, c) in enumerate(CALLS)], ["id", "text", "code", "leaked"]))
-def provider_calls(spark: SparkSession, folder: str) -> DataFrame:
-    """Replies and errors of the request forms, over a transport that stands in for the network. No message holds the key."""
-    replies = {"messages": {"content": [{"type": "text", "text": "hi"}]}, "chat": {"choices": [{"message": {"content": "hi"}}]}, "contents": {"candidates": [{"content": {"parts": [{"text": "hi"}]}}]}}
-
-    def transport(form: str, status: int):
-        def send(headers: dict, body: dict):
-            if status == 0:
-                raise OSError("down")
-            return (status, replies[form]) if status == 200 else (status, {"error": {"message": "bad key sk-12345678"}})
-
-        return send
-
-    rows = []
-    for i, (form, status, _, _) in enumerate(CALLS):
-        p = answers.Provider("p", form=form, transport=transport(form, status))
-        if status != -1:
-            p.set_key(" sk-12345678 ")
-        try:
-            rows.append((i, p.call("m", "s", "u"), None, "sk-" in repr(p)))
-        except answers.GenerationError as e:
-            rows.append((i, None, e.code, "sk-" in f"{e!r}{p!r}"))
-    return spark.createDataFrame(rows, "id int, text string, code string, leaked boolean")
-
-
-CLAIMS = [
-    (1, "수업료의 50%를 준다 [1]. 신청은 12시간 전이다 [2].", [("ok", 0, False, False), ("fail", 0, False, True)]),
-    (2, "아무 근거 없는 주장이다. 찾을 수 없다.", [("fail", 0, True, False), ("refusal", 0, False, False)]),
-    (3, "50%를 준다 [7].", [("fail", 1, False, False)]),
-]
-
-
-@plan(values_sql([(q, i, *r) for q, _, rows in CLAIMS for i, r in enumerate(rows)], ["qid", "index", "status", "invalid", "uncited", "unsupported"]))
-def checked_claims(spark: SparkSession, folder: str) -> DataFrame:
-    sources = literal(spark, [(q, n, t) for q in (1, 2, 3) for n, t in ((1, "장학금은 수업료의 50%를 준다."), (2, "예약은 24시간 전에 한다."))], "qid int, n int, text string")
-    checked = answers.validate_answers(literal(spark, [r[:2] for r in CLAIMS], "qid int, answer string"), sources)
-    return checked.select("qid", "index", "status", "invalid", "uncited", "unsupported")
-
-
-@plan(values_sql([(1, 2, 2, 2, 1.0, 0, 0, 1), (2, 2, 1, 0, 0.0, 0, 1, 0), (3, 1, 1, 0, 0.0, 1, 0, 0)], ["qid", "sentences", "claims", "cited", "coverage", "invalid", "uncited", "unsupported"]))
-def claim_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    sources = literal(spark, [(q, n, t) for q in (1, 2, 3) for n, t in ((1, "장학금은 수업료의 50%를 준다."), (2, "예약은 24시간 전에 한다."))], "qid int, n int, text string")
-    return answers.citation_stats(answers.validate_answers(literal(spark, [r[:2] for r in CLAIMS], "qid int, answer string"), sources)).select("qid", "sentences", "claims", "cited", "coverage", "invalid", "uncited", "unsupported")
-
-
-FAITHFUL = [(1, "장학금은 수업료의 50%를 준다. 기숙사는 무료다.", "장학금은 수업료의 50%를 준다", 1, 2, 0.5), (2, "", "x", 0, 0, 0.0)]
-
-
-@plan(values_sql([(i, *r) for i, _, _, *r in FAITHFUL], ["id", "supported", "sentences", "score"]))
-def faithful_sentences(spark: SparkSession, folder: str) -> DataFrame:
-    return literal(spark, [r[:3] for r in FAITHFUL], "id int, a string, c string").select("id", answers.faithfulness("a", "c").alias("f")).select("id", "f.*")
-
-
-ALIGNED = [(1, "12시간 전에 예약한다", "도서관은 9시에 연다. 예약은 12시간 전에 한다.", 13, 28), (2, "ABC 999", "다른 글이다.", None, None)]
-
-
-@plan(values_sql([(i, s, e) for i, _, _, s, e in ALIGNED], ["id", "start", "end"]).replace(", end)", ', "end")'))
-def aligned_claims(spark: SparkSession, folder: str) -> DataFrame:
-    rows = answers.align(literal(spark, [r[:3] for r in ALIGNED], "id int, claim string, text string"), ["id"], answers.ALIGNED)
-    return rows.select("id", "best.start", "best.end")
-
-
 @plan(r"SELECT a.item_id, len(list_filter(regexp_extract_all(a.text, '\d+(?:\.\d+)?'), lambda n: NOT contains(b.text, n))) = 0 AS grounded FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 WHERE NOT regexp_matches(a.text, '\[\d')")
 def grounded_numbers(spark: SparkSession, folder: str) -> DataFrame:
     b = table(spark, folder, "benchmark")
@@ -575,27 +329,6 @@ def grounded_numbers(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- conversations
 
-REWRITES = [
-    (1, [], "스터디룸 예약은 어떻게 해?", "스터디룸 예약은 어떻게 해?", "standalone", False),
-    (2, ["스터디룸은 어디에 있어?"], "거기서 음료 마셔도 돼?", "스터디룸 음료 마셔도 돼?", "pronoun", False),
-    (3, ["RAG 과목은 몇 학점이야?"], "그럼 딥러닝은?", "딥러닝 은 몇 학점이야?", "topic switch", False),
-    (4, [], "거기는 언제 열어?", "거기는 언제 열어?", "pronoun without topic", True),
-    (5, ["도서관은 언제 열어?"], "주말은?", "도서관 주말은?", "carried", False),
-    (6, [], "그럼 주말은?", "주말은?", "marker without topic", True),
-]
-
-
-@plan(values_sql([(i, q, r, c) for i, _, _, q, r, c in REWRITES], ["id", "query", "rule", "clarify"]))
-def rewritten_questions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = literal(spark, [r[:3] for r in REWRITES], "id int, h array<string>, q string").select("id", conversation.rewriter(3)("h", "q").alias("r"))
-    return rows.select("id", "r.query", "r.rule", "r.clarify")
-
-
-@plan(values_sql([(1, ["성적 우수 장학금", "RAG"], "0,10", None, None), (2, ["도서관"], "3", "거기", "그럼"), (3, [], "", None, None)], ["id", "names", "starts", "pronoun", "marker"]))
-def named_entities(spark: SparkSession, folder: str) -> DataFrame:
-    rows = literal(spark, [(1, "성적 우수장학금과 RAG"), (2, "그럼 도서관 거기"), (3, "plain words")], "id int, t string").withColumn("e", conversation.entities("t"))
-    return rows.select("id", F.col("e.name").alias("names"), F.array_join("e.start", ",").alias("starts"), conversation.pronoun(F.col("t")).alias("pronoun"), conversation.marker(F.col("t")).alias("marker"))
-
 
 @plan("SELECT conv_id, turn, regexp_replace(text, '\\n.*', '', 's') AS query, role = 'user' AS clarify FROM conversations WHERE regexp_matches(text, '^[A-Za-z][^\"\\n]*[A-Za-z.?!](\\n|$)')")
 def parsed_rewrites(spark: SparkSession, folder: str) -> DataFrame:
@@ -605,15 +338,6 @@ def parsed_rewrites(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("conv_id", "turn", conversation.parse_rewrite(reply).alias("r")).select("conv_id", "turn", "r.*")
 
 
-EXTRACTED = [(1, "rate of scholarship 몇", "scholarship", "First. The rate is 50%. The rate of it.", "The rate is 50%."), (2, "nothing here", "title", "Other words.", "Other words.")]
-
-
-@plan(values_sql([(i, s) for i, *_, s in EXTRACTED], ["qid", "sentence"]))
-def extracted_answers(spark: SparkSession, folder: str) -> DataFrame:
-    idf = literal(spark, [("rate", 2.0), ("of", 0.1)], "term string, idf double")
-    return conversation.extract_answers(literal(spark, [r[:4] for r in EXTRACTED], "qid int, query string, title string, text string"), idf).select("qid", "sentence")
-
-
 @plan("""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'llm' WHEN turn % 3 = 0 THEN 'clarify' WHEN turn % 4 = 1 THEN 'example' WHEN turn % 4 = 2 THEN 'extract' ELSE 'clarify' END AS kind,
 CASE WHEN turn % 5 = 0 THEN text WHEN turn % 3 = 0 THEN '무엇에 대한 질문인지 확실하지 않다. 다음 중 어느 것을 묻는가? ‘a’, ‘b’' WHEN turn % 4 = 1 THEN 'see [2]' WHEN turn % 4 = 2 THEN text || ' [1]' ELSE '무엇에 대한 질문인지 확실하지 않다. 다음 중 어느 것을 묻는가? ‘a’, ‘b’' END AS text FROM conversations""")
 def chosen_answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -625,55 +349,8 @@ def chosen_answers(spark: SparkSession, folder: str) -> DataFrame:
     return row.select("conv_id", "turn", a.alias("a")).select("conv_id", "turn", "a.*")
 
 
-@plan(values_sql([(1, 3, 10, None, 1), (1, 1, 10, 1, 1)], ["conv_id", "turn", "id", "raw", "rewritten"]))
-def rewriting_compared(spark: SparkSession, folder: str) -> DataFrame:
-    """What a follow-up finds as it is and rewritten."""
-    docs = literal(spark, [(10, "도서관 운영 시간 주말 휴관"), (11, "기숙사 신청")], "doc_id int, text string")
-    turns = literal(spark, [(1, 1, "user", "도서관은 언제 열어?"), (1, 2, "assistant", "9시"), (1, 3, "user", "거기는?")], "conv_id int, turn int, role string, text string")
-    return conversation.compare_rewriting(turns, lambda q: Bm25Index.build(docs).search(q, 1))
-
-
 # ---- quizzes
 
-SENTENCES = [(1, "수업료의 50%를 12시간 안에 RRF로 60개", ["50%:percent", "12시간:hours", "60개:unit:개", "RRF:term:search"]), (2, "고정 길이 청킹은 300자다", ["고정 길이 청킹:term:chunk", "300:number"]), (3, "값은 3.5 또는 7", ["3.5:number", "7:number"]), (4, "", [])]
-
-
-@plan(values_sql([(i, c) for i, _, c in SENTENCES], ["id", "found"]))
-def answer_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    rows = literal(spark, [r[:2] for r in SENTENCES], "id int, t string")
-    return rows.select("id", F.transform(quiz.candidates("t"), lambda c: F.concat_ws(":", c["text"], c["type"])).alias("found"))
-
-
-LESSONS = [("d", 1, "장학금은 수업료의 50%를 준다. 예약은 12시간 전에 해야 한다."), ("e", 2, "출석률은 80% 이상이어야 한다. 과제는 30%다.")]
-
-
-def _quiz(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    docs = literal(spark, LESSONS, "id string, rank int, text string")
-    items = quiz.generate(docs, quiz.pools(docs), 3, "normal", 1).withColumn("n", F.substring("id", 2, 3).cast("int"))
-    return items, docs.select(F.col("id").alias("chunk_id"), F.col("id").alias("doc"), "text")
-
-
-@plan(values_sql([("Q1", "빈칸에 알맞은 말은? 장학금은 수업료의 ____를 준다.", "50%", 4, "d", "ok"), ("Q2", "빈칸에 알맞은 말은? 출석률은 ____ 이상이어야 한다.", "80%", 4, "e", "ok"), ("Q3", "빈칸에 알맞은 말은? 예약은 ____ 전에 해야 한다.", "12시간", 4, "d", "ok")], ["id", "question", "answer", "choices", "chunk", "status"]))
-def small_quiz(spark: SparkSession, folder: str) -> DataFrame:
-    """Rounds over the sources, best candidates first; all items hold up against their sources."""
-    items, chunks = _quiz(spark)
-    return quiz.verify(items, chunks).select("id", "question", "answer", F.size("choices").alias("choices"), "chunk", "status")
-
-
-@plan(values_sql([("Q1", "fail", "d", ["span"]), ("Q2", "ok", None, []), ("Q3", "fail", "d", ["span"])], ["id", "status", "held_by", "failed"]))
-def moved_quotes(spark: SparkSession, folder: str) -> DataFrame:
-    """Quotes that are cited from the wrong chunk, and the chunk that holds them."""
-    items, chunks = _quiz(spark)
-    checked = quiz.verify(items.withColumn("chunk", F.lit("e")), chunks)
-    return checked.select("id", "status", "held_by", F.transform(F.filter("checks", lambda c: c["level"] == "fail"), lambda c: c["code"]).alias("failed"))
-
-
-@plan(values_sql([(3, 0, 0, 1)], ["ok", "warn", "fail", "approved"]))
-def quiz_counts(spark: SparkSession, folder: str) -> DataFrame:
-    items, chunks = _quiz(spark)
-    checked = quiz.verify(items, chunks)
-    return quiz.counts(checked, checked.filter("id = 'Q2'").select(quiz.signature().alias("signature")))
-
 
 @plan(rf"SELECT conv_id, turn, lower(regexp_replace(text, '{SPACE}+', '', 'g')) <> '' AS same, lower(regexp_replace(text, '{SPACE}+', '', 'g')) = lower(regexp_replace(role, '{SPACE}+', '', 'g')) AS role FROM conversations WHERE text <> ''")
 def graded_answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -689,16 +366,4 @@ def quiz_prompts(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- chunks with typed-out spans
 
-CUTS = [
-    ("recursive", 12, 0, "aaaa bbbb cccc dddd", ["0-10", "10-19"]), ("recursive", 10, 5, "one two three four", ["0-8", "4-14", "14-18"]), ("recursive", 4, 1, "abcdefghij", ["0-4", "3-7", "6-10"]),
-    ("sentence", 20, 0, "One. Two is it. Three.", ["0-16", "16-22"]), ("sentence", 12, 6, "Aa. Bb. Cc. Dd.", ["0-12", "8-15"]), ("fixed", 4, 1, "abcdefghij", ["0-4", "3-7", "6-10"]),
-]
-
 
-@plan(values_sql([(i, c[4]) for i, c in enumerate(CUTS)], ["id", "spans"]))
-def small_cuts(spark: SparkSession, folder: str) -> DataFrame:
-    parts = []
-    for i, (strategy, size, overlap, t, _) in enumerate(CUTS):
-        own = chunk(literal(spark, [(i, t)], "doc_id int, text string"), ChunkConfig(strategy, size, overlap))
-        parts.append(own.groupBy(F.col("doc").alias("id")).agg(F.sort_array(F.collect_list(F.struct("index", F.concat_ws("-", "start", "end").alias("s"))))["s"].alias("spans")))
-    return reduce(DataFrame.unionByName, parts)

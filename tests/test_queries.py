@@ -5,9 +5,9 @@ import os
 import pytest
 from compared import FOLDER, connected, rows_of
 
-from loamdex.plans import files, matches, pieces, records, retrieval, texts
+from loamdex.plans import derived, files, matches, pieces, records, retrieval, texts
 
-MODULES = (retrieval, texts, records, matches, files, pieces)
+MODULES = (retrieval, texts, records, matches, files, pieces, derived)
 QUERIES = {n: f for m in MODULES for n, f in m.QUERIES.items()}
 SQL = {n: s for m in MODULES for n, s in m.SQL.items()}
 

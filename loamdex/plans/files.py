@@ -68,6 +68,19 @@ def text_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.agg(F.sum(F.char_length("text")).alias("n_chars"), F.count("error").cast("int").alias("errors"))
 
 
+@plan("""WITH f AS (SELECT n_nationkey AS n, repeat(n_name || ' ', n_nationkey) AS t FROM nation)
+SELECT n, CASE WHEN length(t) + 1 > 100 THEN 'too large' WHEN n % 4 = 1 THEN 'not UTF-8' END AS error, CASE WHEN length(t) + 1 <= 100 AND n % 4 <> 1 THEN t || chr(10) END AS text FROM f""")
+def refused_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A file for each nation: large ones are refused unopened, one in four is no UTF-8."""
+    n = F.col("n_nationkey")
+    said = F.expr("repeat(n_name || ' ', cast(n_nationkey as int))")
+    broken = F.concat(F.substring(said, 2, 1_000).cast("binary"), F.unhex(F.lit("FF"))).cast("string")
+    rows = table(spark, folder, "nation").select(n.alias("n"), F.when((n % 4 == 1), broken).otherwise(said).alias("text"))
+    path = _folder(spark)
+    rows.repartition("n").write.partitionBy("n").text(path)
+    return readers.local_files(spark, path, 100).select(F.regexp_extract("path", r"/n=(\d+)/", 1).cast("long").alias("n"), "error", "text")
+
+
 @plan("SELECT n_name AS team, n_nationkey % 2 = 0 AS ok, CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 1 END AS errors FROM nation")
 def result_file_checks(spark: SparkSession, folder: str) -> DataFrame:
     """A file for each nation as a team, in every second of which k is no number; the newest of each team is checked."""

@@ -35,23 +35,32 @@ def sources(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
     return {name: corpus(spark, path) for name, path in paths.items()}
 
 
+def _small_files(spark: SparkSession, path: str, types: tuple[str, ...], most: int, deep: bool) -> DataFrame:
+    """(path, name, modificationTime, bytes, error) of files with these endings, in any case.
+
+    Names are told apart when folders are listed. The bound on the length goes down to the source, so that files over it
+    are never opened: they come from a second scan that asks for no contents. Bytes that are no UTF-8 are an error too.
+    """
+    glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in t) for t in types) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", deep).option("pathGlobFilter", glob).load(path)
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    own = files.filter(F.col("length") <= most).select("path", name, "modificationTime", F.col("content").cast("string").alias("_t"))
+    valid = F.is_valid_utf8("_t")
+    own = own.select("path", "name", "modificationTime", F.when(valid, F.col("_t")).alias("text"), F.when(~valid, "not UTF-8").alias("error"))
+    large = files.filter(F.col("length") > most).select("path", name, "modificationTime", F.lit(None).cast("string").alias("text"), F.lit("too large").alias("error"))
+    return own.unionByName(large)
+
+
 def local_files(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
-    """(path, name, text, error) of text, markdown and HTML files; those that are too large keep a row with an error instead of a text."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    ending = F.lower(F.element_at(F.split(name, r"\."), -1))
-    known = files.filter(ending.isin(*TEXT_TYPES))
-    body = F.decode("content", "UTF-8")
-    text = F.when(ending.isin("html", "htm"), html_to_text(body)).otherwise(body)
-    return known.select("path", name.alias("name"), F.when(F.col("length") <= most, text).alias("text"), F.when(F.col("length") > most, F.lit("too large")).alias("error"))
+    """(path, name, text, error) of text, markdown and HTML files; those that are too large or no UTF-8 keep a row with an error instead of a text."""
+    files = _small_files(spark, path, TEXT_TYPES, most, True)
+    return files.select("path", "name", F.when(F.lower("name").rlike(r"\.html?$"), html_to_text("text")).otherwise(F.col("text")).alias("text"), "error")
 
 
 def result_files(spark: SparkSession, path: str, most: int = MOST_RESULT_BYTES) -> DataFrame:
     """(path, name, text, team, modified) of submitted .json files; bad ones stay as rows, their team is null."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
-    text = F.when(F.col("length") <= most, F.decode("content", "UTF-8"))
-    team = F.try_variant_get(F.try_parse_json(text), "$.team", "string")
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), text.alias("text"), team.alias("team"), F.col("modificationTime").alias("modified"))
+    team = F.try_variant_get(F.try_parse_json("text"), "$.team", "string")
+    return _small_files(spark, path, ("json",), most, False).select("path", "name", "text", team.alias("team"), F.col("modificationTime").alias("modified"))
 
 
 def latest(rows: DataFrame, key: Column | str, order: str) -> DataFrame:

@@ -52,7 +52,7 @@ def _small_files(spark: SparkSession, path: str, types: tuple[str, ...], most: i
 
 
 def local_files(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
-    """(path, name, text, error) of text, markdown and HTML files; those that are too large or no UTF-8 keep a row with an error instead of a text."""
+    """(path, name, text, error) of text, markdown and HTML files; those that are too large or no UTF-8 keep a row with an error instead of a text, empty ones have none."""
     files = _small_files(spark, path, TEXT_TYPES, most, True)
     return files.select("path", "name", F.when(F.lower("name").rlike(r"\.html?$"), html_to_text("text")).otherwise(F.col("text")).alias("text"), "error")
 

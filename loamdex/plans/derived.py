@@ -43,35 +43,33 @@ def _sql_one_of(values: list[str], by: str) -> str:
     return f"{values}[({by}) % {len(values)} + 1]"
 
 
-K, S, B = F.col("k"), F.col("s"), F.col("b")
-
 # ---- cleaning
 
 
 @plan(f"""WITH {_PARTS} SELECT k, '안내' || chr(10) || '요일 | 교시 | 과목 | 강의실 | 담당' || chr(10) || '월 | 1-3 | ' || b || ' | 306 | 이 교수' || chr(10) || '화 | 4-6 | 현장 실습 | 외부 산업체 | —' || chr(10) || s AS text, 2 AS count FROM part""")
 def timetables(spark: SparkSession, folder: str) -> DataFrame:
     """Flattened timetables become tables again."""
-    flat = _say("안내\n요일 교시 과목 강의실 담당\n월 1-3 {b} 306 이 교수 화 4-6 현장 실습 외부 산업체\n{s}", b=B, s=S)
+    flat = _say("안내\n요일 교시 과목 강의실 담당\n월 1-3 {b} 306 이 교수 화 4-6 현장 실습 외부 산업체\n{s}", b=F.col("b"), s=F.col("s"))
     return _parts(spark, folder).select("k", cleaning.rebuild_timetable(flat).alias("r")).select("k", "r.text", F.col("r.count").cast("int").alias("count"))
 
 
 @plan(f"WITH {_PARTS} SELECT k, b || ' 장학금안내 ' || s AS merged, '장학금은 ' || b || ' 학점이상' AS bare, 1 AS runs, 2 AS blanks FROM part")
 def spaced_syllables(spark: SparkSession, folder: str) -> DataFrame:
     """Syllables that a scan set apart."""
-    merged, bare = cleaning.merge_syllables(_say("{b} 장 학 금 안 내 {s}", b=B, s=S)), cleaning.remove_hangul_spaces(_say("장학 금은 {b} 학점 이상", b=B))
+    merged, bare = cleaning.merge_syllables(_say("{b} 장 학 금 안 내 {s}", b=F.col("b"), s=F.col("s"))), cleaning.remove_hangul_spaces(_say("장학 금은 {b} 학점 이상", b=F.col("b")))
     return _parts(spark, folder).select("k", merged.alias("m"), bare.alias("r")).select("k", F.col("m.text").alias("merged"), F.col("r.text").alias("bare"), F.col("m.count").cast("int").alias("runs"), F.col("r.count").cast("int").alias("blanks"))
 
 
 @plan(f"WITH {_PARTS} SELECT k, '출석률 ' || s || '0% 이상' || chr(10) || b AS text, 1 AS ocr, 1 AS header, 1 AS pagenum FROM part")
 def cleaned_texts(spark: SparkSession, folder: str) -> DataFrame:
     """All recommended steps together: page numbers, menu lines, damaged digits."""
-    rows = _parts(spark, folder).select("k", _say("출석률 {s}O% 이상\n사이트맵\n{b}\n- {s} -", s=S, b=B).alias("text"))
+    rows = _parts(spark, folder).select("k", _say("출석률 {s}O% 이상\n사이트맵\n{b}\n- {s} -", s=F.col("s"), b=F.col("b")).alias("text"))
     return cleaning.clean(rows, cleaning.recommended("broken-mixed")).select("k", "text", *[F.col("counts")[n].alias(n) for n in ("ocr", "header", "pagenum")])
 
 
 @plan(f"WITH {_PARTS} SELECT k, 'eq:' || b || ' 5|del:O|ins:0|eq:% ' || s AS runs FROM part")
 def differences(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _parts(spark, folder).select("k", diff(_say("{b} 5O% {s}", b=B, s=S), _say("{b} 50% {s}", b=B, s=S)).alias("d"))
+    rows = _parts(spark, folder).select("k", diff(_say("{b} 5O% {s}", b=F.col("b"), s=F.col("s")), _say("{b} 50% {s}", b=F.col("b"), s=F.col("s"))).alias("d"))
     return rows.select("k", F.array_join(F.transform("d", lambda r: F.concat_ws(":", r["type"], r["text"])), "|").alias("runs"))
 
 
@@ -81,7 +79,7 @@ def differences(spark: SparkSession, folder: str) -> DataFrame:
 @plan(f"WITH {_PARTS} SELECT k, [CAST(s + k % 3 AS VARCHAR) || '시간'] AS facts, k % 3 = 0 AS holds FROM part")
 def facts_held(spark: SparkSession, folder: str) -> DataFrame:
     """Whether a text holds the number of an answer, which only counts where it stands alone."""
-    said, asked = _say("최대 {s} 시간까지, 9{n}시간은 아니다", s=S, n=S + K % 3), _say("{n}시간이다.", n=S + K % 3)
+    said, asked = _say("최대 {s} 시간까지, 9{n}시간은 아니다", s=F.col("s"), n=F.col("s") + F.col("k") % 3), _say("{n}시간이다.", n=F.col("s") + F.col("k") % 3)
     return _parts(spark, folder).select("k", text.golden_facts(asked).alias("facts"), text.contains_facts(said, asked).alias("holds"))
 
 
@@ -95,8 +93,8 @@ def template_names(spark: SparkSession, folder: str) -> DataFrame:
 @plan(f"WITH {_PARTS} SELECT k, {_sql_one_of(['도서관', '학교', '장학금'], 'k')} AS stem, b AS plain FROM part")
 def stems(spark: SparkSession, folder: str) -> DataFrame:
     """Words with their particles off; Latin words stay."""
-    word = F.concat(_one_of(["도서관", "학교", "장학금"], K), _one_of(["에서는", "는", "으로"], K))
-    return _parts(spark, folder).select("k", text.strip_ending(word, text.ENDINGS_TALK, 2).alias("stem"), text.strip_ending(B, text.ENDINGS_TALK, 2).alias("plain"))
+    word = F.concat(_one_of(["도서관", "학교", "장학금"], F.col("k")), _one_of(["에서는", "는", "으로"], F.col("k")))
+    return _parts(spark, folder).select("k", text.strip_ending(word, text.ENDINGS_TALK, 2).alias("stem"), text.strip_ending(F.col("b"), text.ENDINGS_TALK, 2).alias("plain"))
 
 
 @plan("SELECT item_id, list_transform(string_split(text, ''), lambda c: c || strlen(c)) AS pieces FROM benchmark")
@@ -180,14 +178,14 @@ CASE WHEN k % 3 = 0 THEN '{{"credits": {{"gte": ' || (s % 4 + 1) || '}}, "type":
 CASE WHEN k % 3 = 0 THEN ['credits', 'type'] ELSE ['day', 'room', 'morning', 'type'] END AS trace FROM part""")
 def questions_to_filters(spark: SparkSession, folder: str) -> DataFrame:
     """Questions become conditions, by the rules that their words set off."""
-    asked = F.when(K % 3 == 0, _say("{n}학점 이상 과목은 몇 개야?", n=S % 4 + 1)).otherwise(_say("{d}요일 오전 {r}호 수업은 뭐야?", d=_one_of(_DAYS, S), r=_one_of(_ROOMS, K)))
+    asked = F.when(F.col("k") % 3 == 0, _say("{n}학점 이상 과목은 몇 개야?", n=F.col("s") % 4 + 1)).otherwise(_say("{d}요일 오전 {r}호 수업은 뭐야?", d=_one_of(_DAYS, F.col("s")), r=_one_of(_ROOMS, F.col("k"))))
     return selfquery.parsed_questions(_parts(spark, folder).select("k", asked.alias("question")), _SCHEMA).select("k", "parsed.intent", "parsed.filter", "parsed.trace")
 
 
 @plan(f"WITH {_PARTS} SELECT k, CASE WHEN s <= 4 THEN 0 ELSE 1 END + CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS errors FROM part")
 def checked_filters(spark: SparkSession, folder: str) -> DataFrame:
     """A number out of range, a field that isn't in the schema, and an intent that there isn't."""
-    o = F.to_json(F.struct(F.when(K % 5 == 0, "sing").otherwise("list").alias("intent"), F.struct(F.struct(S.alias("gte")).alias("credits"), F.when(K % 2 == 1, B).alias("colour")).alias("filter")))
+    o = F.to_json(F.struct(F.when(F.col("k") % 5 == 0, "sing").otherwise("list").alias("intent"), F.struct(F.struct(F.col("s").alias("gte")).alias("credits"), F.when(F.col("k") % 2 == 1, F.col("b")).alias("colour")).alias("filter")))
     return selfquery.checked_questions(_parts(spark, folder).select("k", o.alias("question")), _SCHEMA).select("k", F.size("errors").alias("errors"))
 
 
@@ -217,20 +215,20 @@ def judged_turns(spark: SparkSession, folder: str) -> DataFrame:
 @plan(f"""WITH {_PARTS} SELECT k, CASE WHEN k % 4 = 1 THEN NULL ELSE k % 4 <> 2 END AS cite, k % 4 IN (0, 2) AND s = 12 AS judged, k % 4 <> 3 AS format FROM part""")
 def rubrics(spark: SparkSession, folder: str) -> DataFrame:
     """Answers with a citation, a refusal, one of no source, and one in another form."""
-    said = F.when(K % 4 == 0, _say("답: {s}시간이다. [1]", s=S)).when(K % 4 == 1, "답: 문서에서 찾을 수 없다.").when(K % 4 == 2, _say("답: {s}시간이다. [9]", s=S)).otherwise("모른다 [2]")
+    said = F.when(F.col("k") % 4 == 0, _say("답: {s}시간이다. [1]", s=F.col("s"))).when(F.col("k") % 4 == 1, "답: 문서에서 찾을 수 없다.").when(F.col("k") % 4 == 2, _say("답: {s}시간이다. [9]", s=F.col("s"))).otherwise("모른다 [2]")
     r = F.map_from_entries(answers.rubric(said, 3, "answer", ("12시간",)))
     # a longer number holds the fact too, as the rubric looks for text
     return _parts(spark, folder).select("k", r.alias("r")).select("k", F.col("r")["cite"].alias("cite"), F.col("r")["refuse"].alias("judged"), F.col("r")["format"].alias("format"))
 
 
 def _sources(spark: SparkSession, folder: str) -> DataFrame:
-    said = F.array(_say("장학금은 수업료의 {s}%를 준다.", s=S), _say("예약은 {n}시간 전에 한다.", n=S + 12))
-    return _parts(spark, folder).select(K.alias("qid"), F.posexplode(said).alias("n", "text")).withColumn("n", F.col("n") + 1)
+    said = F.array(_say("장학금은 수업료의 {s}%를 준다.", s=F.col("s")), _say("예약은 {n}시간 전에 한다.", n=F.col("s") + 12))
+    return _parts(spark, folder).select(F.col("k").alias("qid"), F.posexplode(said).alias("n", "text")).withColumn("n", F.col("n") + 1)
 
 
 def _checked(spark: SparkSession, folder: str) -> DataFrame:
-    said = _say("수업료의 {a}%를 준다 [1]. 예약은 {b}시간 전에 한다 {c}. 찾을 수 없다.", a=S + K % 2, b=S + 12, c=F.when(K % 3 == 0, "[2]").when(K % 3 == 1, "[7]").otherwise("[2][2]"))
-    return answers.validate_answers(_parts(spark, folder).select(K.alias("qid"), said.alias("answer")), _sources(spark, folder))
+    said = _say("수업료의 {a}%를 준다 [1]. 예약은 {b}시간 전에 한다 {c}. 찾을 수 없다.", a=F.col("s") + F.col("k") % 2, b=F.col("s") + 12, c=F.when(F.col("k") % 3 == 0, "[2]").when(F.col("k") % 3 == 1, "[7]").otherwise("[2][2]"))
+    return answers.validate_answers(_parts(spark, folder).select(F.col("k").alias("qid"), said.alias("answer")), _sources(spark, folder))
 
 
 @plan(f"""WITH {_PARTS} SELECT k AS qid, 0 AS index, CASE WHEN k % 2 = 0 THEN 'ok' ELSE 'fail' END AS status, 0 AS invalid, k % 2 = 1 AS unsupported FROM part UNION ALL
@@ -247,14 +245,14 @@ def claims_counted(spark: SparkSession, folder: str) -> DataFrame:
 
 @plan(f"WITH {_PARTS} SELECT k, 1 + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS supported, 3 AS sentences, CASE WHEN k % 2 = 0 THEN round(2 / 3.0, 9) ELSE round(1 / 3.0, 9) END AS score FROM part")
 def faithful_answers(spark: SparkSession, folder: str) -> DataFrame:
-    said, context = _say("장학금은 수업료의 {a}%를 준다. 기숙사는 무료다. 예약은 {b}시간 전에 한다.", a=S + 50 * (K % 2), b=S + 200), _say("장학금은 수업료의 {a}%를 준다. 예약은 {b}시간 전에 한다.", a=S, b=S + 200)
+    said, context = _say("장학금은 수업료의 {a}%를 준다. 기숙사는 무료다. 예약은 {b}시간 전에 한다.", a=F.col("s") + 50 * (F.col("k") % 2), b=F.col("s") + 200), _say("장학금은 수업료의 {a}%를 준다. 예약은 {b}시간 전에 한다.", a=F.col("s"), b=F.col("s") + 200)
     return _parts(spark, folder).select("k", answers.faithfulness(said, context).alias("f")).select("k", "f.supported", "f.sentences", F.round("f.score", 9).alias("score"))
 
 
 @plan(f"""WITH {_PARTS} SELECT k, length(b) + 14 AS start, length(b) + 27 + length(CAST(s + 12 AS VARCHAR)) AS "end" FROM part""")
 def claims_aligned(spark: SparkSession, folder: str) -> DataFrame:
     """The sentence of a text that supports a claim best."""
-    rows = _parts(spark, folder).select("k", _say("{n}시간 전에 예약한다", n=S + 12).alias("claim"), _say("{b} 도서관은 9시에 연다. 예약은 {n}시간 전에 한다.", b=B, n=S + 12).alias("text"))
+    rows = _parts(spark, folder).select("k", _say("{n}시간 전에 예약한다", n=F.col("s") + 12).alias("claim"), _say("{b} 도서관은 9시에 연다. 예약은 {n}시간 전에 한다.", b=F.col("b"), n=F.col("s") + 12).alias("text"))
     return answers.align(rows, ["k"], answers.ALIGNED).select("k", "best.start", "best.end")
 
 
@@ -283,8 +281,8 @@ def calls_of_a_provider(spark: SparkSession, folder: str) -> DataFrame:
 @plan(f"WITH {_PARTS} SELECT k AS qid, CASE WHEN k % 2 = 0 THEN '연장 신청은 ' || s || '일 전까지 한다.' END AS cite, k % 2 = 1 AS guessed FROM part")
 def guesses(spark: SparkSession, folder: str) -> DataFrame:
     """With texts, the sentence that is closest to the question; without, one of some values."""
-    texts = F.when(K % 2 == 0, F.array(_say("도서관은 9시에 연다. 연장 신청은 {s}일 전까지 한다. 끝.", s=S)))
-    rows = _parts(spark, folder).select(K.alias("qid"), F.lit("연장 신청은 언제까지 하나").alias("question"), texts.alias("texts"))
+    texts = F.when(F.col("k") % 2 == 0, F.array(_say("도서관은 9시에 연다. 연장 신청은 {s}일 전까지 한다. 끝.", s=F.col("s"))))
+    rows = _parts(spark, folder).select(F.col("k").alias("qid"), F.lit("연장 신청은 언제까지 하나").alias("question"), texts.alias("texts"))
     return answers.GuessingGenerator(["4시간", "6시간"]).generate(rows).select("qid", "cite", F.col("answer").isin("4시간", "6시간").alias("guessed"))
 
 
@@ -314,7 +312,7 @@ def _case(i: int) -> Column:
     out = F.lit(None).cast("string")
     for n, case in enumerate(_TALK):
         if case[i]:
-            out = F.when(K % len(_TALK) == n, _say(case[i], s=S)).otherwise(out)
+            out = F.when(F.col("k") % len(_TALK) == n, _say(case[i], s=F.col("s"))).otherwise(out)
     return out
 
 
@@ -326,7 +324,7 @@ def _talk(spark: SparkSession, folder: str) -> DataFrame:
     """A conversation for each part: perhaps a question, its answer, and a question that may lean on it."""
     turns = ((0, "user", _case(1)), (1, "assistant", F.lit("9시")), (2, "user", _case(0)))
     said = F.array(*(F.struct(F.lit(n).alias("turn"), F.lit(role).alias("role"), t.cast("string").alias("text")) for n, role, t in turns))
-    return _parts(spark, folder).select(K.alias("conv_id"), F.explode(said).alias("x")).select("conv_id", "x.*").filter("text is not null")
+    return _parts(spark, folder).select(F.col("k").alias("conv_id"), F.explode(said).alias("x")).select("conv_id", "x.*").filter("text is not null")
 
 
 @plan(f"WITH {_PARTS} SELECT k AS conv_id, {_sql_case(2)} AS query, {_sql_case(3)} AS rule, {_sql_case(4)} = 'True' AS clarify FROM part")
@@ -338,7 +336,7 @@ def follow_ups(spark: SparkSession, folder: str) -> DataFrame:
 
 @plan(f"""WITH {_PARTS} SELECT k, [{_sql_one_of(['도서관', '기숙사', '휴학'], 'k')}, '성적 우수 장학금'] AS names, length(b) + 1 || ',' || length(b) + 3 + length({_sql_one_of(['도서관', '기숙사', '휴학'], 'k')}) AS starts, CASE WHEN k % 2 = 0 THEN '거기' END AS pronoun FROM part""")
 def names_found(spark: SparkSession, folder: str) -> DataFrame:
-    said = _say("{b} {e}, 성적 우수장학금 {p}", b=B, e=_one_of(["도서관", "기숙사", "휴학"], K), p=F.when(K % 2 == 0, "거기").otherwise("끝"))
+    said = _say("{b} {e}, 성적 우수장학금 {p}", b=F.col("b"), e=_one_of(["도서관", "기숙사", "휴학"], F.col("k")), p=F.when(F.col("k") % 2 == 0, "거기").otherwise("끝"))
     rows = _parts(spark, folder).select("k", said.alias("t")).withColumn("e", conversation.entities("t"))
     return rows.select("k", F.col("e.name").alias("names"), F.array_join("e.start", ",").alias("starts"), conversation.pronoun(F.col("t")).alias("pronoun"))
 
@@ -346,7 +344,7 @@ def names_found(spark: SparkSession, folder: str) -> DataFrame:
 @plan(f"""WITH {_PARTS}, t AS (SELECT * FROM part WHERE k % 6 = 4) SELECT k AS conv_id, 0 AS turn, (SELECT min(k) FROM part) AS id, 1 AS raw, 1 AS rewritten FROM t UNION ALL SELECT k, 2, (SELECT min(k) FROM part), NULL, 1 FROM t""")
 def rewriting_gains(spark: SparkSession, folder: str) -> DataFrame:
     """What follow-ups find as they are and rewritten: one that names nothing finds nothing."""
-    docs = _parts(spark, folder).select(K.alias("doc_id"), F.lit("도서관 운영").alias("text"))
+    docs = _parts(spark, folder).select(F.col("k").alias("doc_id"), F.lit("도서관 운영").alias("text"))
     index = Bm25Index.build(docs)
     return conversation.compare_rewriting(_talk(spark, folder).filter(F.col("conv_id") % 6 == 4), lambda q: index.search(q, 1))
 
@@ -354,7 +352,7 @@ def rewriting_gains(spark: SparkSession, folder: str) -> DataFrame:
 @plan(f"WITH {_PARTS} SELECT k AS qid, 'The rate of ' || lower(b) || ' is ' || s || '%.' AS sentence FROM part")
 def sentences_extracted(spark: SparkSession, folder: str) -> DataFrame:
     """The sentence that holds the rarest words of a question; words of the title don't count."""
-    rows = _parts(spark, folder).select(K.alias("qid"), _say("rate of scholarship 몇", b=B).alias("query"), F.lit("scholarship").alias("title"), _say("The scholarship of {b}. The rate of {c} is {s}%. The rate of it.", b=B, c=F.lower(B), s=S).alias("text"))
+    rows = _parts(spark, folder).select(F.col("k").alias("qid"), _say("rate of scholarship 몇", b=F.col("b")).alias("query"), F.lit("scholarship").alias("title"), _say("The scholarship of {b}. The rate of {c} is {s}%. The rate of it.", b=F.col("b"), c=F.lower(F.col("b")), s=F.col("s")).alias("text"))
     idf = Bm25Index.build(rows, "qid", "text").idf().select("term", "idf")
     return conversation.extract_answers(rows, idf).select("qid", "sentence")
 
@@ -365,18 +363,18 @@ def sentences_extracted(spark: SparkSession, folder: str) -> DataFrame:
 @plan(f"WITH {_PARTS} SELECT k, [s || '%:percent', s + 1 || '시간:hours', s || '개:unit:개', 'RRF:term:search'] AS found FROM part")
 def answers_possible(spark: SparkSession, folder: str) -> DataFrame:
     """What a sentence can be asked about, the best first."""
-    found = quiz.candidates(_say("수업료의 {s}%를 {n}시간 안에 RRF로 {s}개", s=S, n=S + 1))
+    found = quiz.candidates(_say("수업료의 {s}%를 {n}시간 안에 RRF로 {s}개", s=F.col("s"), n=F.col("s") + 1))
     return _parts(spark, folder).select("k", F.transform(found, lambda c: F.concat_ws(":", c["text"], c["type"])).alias("found"))
 
 
 def _items(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """An item for each part. Each third quotes another number than its chunk has, each third of the others the chunk of the next part."""
-    quote = _say("{b} 부품 {k}번은 수업료의 {n}%를 준다.", b=B, k=K, n=S + F.when(K % 3 == 0, 100).otherwise(0))
-    answer = F.concat((S + F.when(K % 3 == 0, 100).otherwise(0)).cast("string"), F.lit("%"))
+    quote = _say("{b} 부품 {k}번은 수업료의 {n}%를 준다.", b=F.col("b"), k=F.col("k"), n=F.col("s") + F.when(F.col("k") % 3 == 0, 100).otherwise(0))
+    answer = F.concat((F.col("s") + F.when(F.col("k") % 3 == 0, 100).otherwise(0)).cast("string"), F.lit("%"))
     choices = F.array(answer, F.lit("501%"), F.lit("502%"))
     rows = _parts(spark, folder)
-    items = rows.select(K.alias("n"), F.concat(F.lit("Q"), K).alias("id"), F.lit("mcq").alias("type"), F.sha2(K.cast("string"), 256).alias("question"), answer.alias("answer"), choices.alias("choices"), F.concat(F.lit("c"), K + F.when(K % 9 == 1, 1).otherwise(0)).alias("chunk"), quote.alias("quote"))
-    chunks = rows.select(F.concat(F.lit("c"), K).alias("chunk_id"), F.concat(F.lit("d"), K).alias("doc"), _say("{b} 부품 {k}번은 수업료의 {s}%를 준다. 끝.", b=B, k=K, s=S).alias("text"))
+    items = rows.select(F.col("k").alias("n"), F.concat(F.lit("Q"), F.col("k")).alias("id"), F.lit("mcq").alias("type"), F.left(F.sha2(F.col("k").cast("string"), 256), F.lit(12)).alias("question"), answer.alias("answer"), choices.alias("choices"), F.concat(F.lit("c"), F.col("k") + F.when(F.col("k") % 9 == 1, 1).otherwise(0)).alias("chunk"), quote.alias("quote"))
+    chunks = rows.select(F.concat(F.lit("c"), F.col("k")).alias("chunk_id"), F.concat(F.lit("d"), F.col("k")).alias("doc"), _say("{b} 부품 {k}번은 수업료의 {s}%를 준다. 끝.", b=F.col("b"), k=F.col("k"), s=F.col("s")).alias("text"))
     return items, chunks
 
 
@@ -402,9 +400,9 @@ def items_counted(spark: SparkSession, folder: str) -> DataFrame:
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
     """A question about each part, and two texts of which the second answers it."""
-    texts = F.array(F.lit("Nothing here. See below."), _say("Other words come first. The rate of {b} is {s}. The end.", b=F.lower(B), s=S))
-    asked = F.when(K % 3 == 0, "unknown things").otherwise(_say("which rate of {b} today", b=F.lower(B)))
-    return _parts(spark, folder).select(K.alias("qid"), asked.alias("question"), texts.alias("texts"))
+    texts = F.array(F.lit("Nothing here. See below."), _say("Other words come first. The rate of {b} is {s}. The end.", b=F.lower(F.col("b")), s=F.col("s")))
+    asked = F.when(F.col("k") % 3 == 0, "unknown things").otherwise(_say("which rate of {b} today", b=F.lower(F.col("b"))))
+    return _parts(spark, folder).select(F.col("k").alias("qid"), asked.alias("question"), texts.alias("texts"))
 
 
 _OVERLAP_SQL = "'The rate of ' || lower(b) || ' is ' || s || '. [2]'"
@@ -420,7 +418,65 @@ def answers_by_overlap(spark: SparkSession, folder: str) -> DataFrame:
 SELECT k, 'hinted', {_OVERLAP_SQL} FROM part UNION ALL SELECT k, 'off', '{answers.REFUSED}' FROM part""")
 def variants_answered(spark: SparkSession, folder: str) -> DataFrame:
     """Three prompts for each question side by side: one as it is, one that adds words, one that loses them."""
-    rows = _asked(spark, folder).join(_parts(spark, folder).select(K.alias("qid"), F.lower(B).alias("brand")), "qid")
+    rows = _asked(spark, folder).join(_parts(spark, folder).select(F.col("k").alias("qid"), F.lower(F.col("b")).alias("brand")), "qid")
     prompts = {"plain": ("s", "{question}"), "hinted": ("s", "the rate of {brand}: {question}"), "off": ("s", "nobody knows")}
     out = answers.run_variants(rows, prompts, {"question": F.col("question"), "brand": F.col("brand")}, answers.OverlapGenerator())
     return out.select("qid", "variant", "answer")
+
+
+# ---- pieces of quizzes
+
+
+def _lessons(spark: SparkSession, folder: str) -> DataFrame:
+    """(rank, id, text): two sentences about each part, with two numbers in the first."""
+    said = _say("{b} 장학금은 수업료의 {s}%를 {n}시간 안에 준다. 예약은 {k}개까지 받는다.", b=F.col("b"), s=F.col("s"), n=F.col("s") + 1, k=F.col("k") + 2)
+    return _parts(spark, folder).select(F.col("k").alias("rank"), F.col("k").cast("string").alias("id"), said.alias("text"))
+
+
+_FIRST_SQL = "b || ' 장학금은 수업료의 ' || s || '%를 ' || s + 1 || '시간 안에 준다.'"
+
+
+@plan(f"""WITH {_PARTS}, r AS (SELECT 0 AS round, k, {_FIRST_SQL} AS sentence FROM part UNION ALL SELECT 1, k, '예약은 ' || k + 2 || '개까지 받는다.' FROM part),
+n AS (SELECT *, row_number() OVER (ORDER BY round, k) AS n FROM r) SELECT n, CAST(k AS VARCHAR) AS id, sentence FROM n WHERE n <= (SELECT count(*) + 10 FROM part)""")
+def sentences_picked(spark: SparkSession, folder: str) -> DataFrame:
+    """Round by round, a sentence of each source: all first ones, and ten second ones."""
+    own = _lessons(spark, folder)
+    return quiz.pick_sentences(own, own.count() + 10).select("n", "id", F.trim("sentence").alias("sentence"))
+
+
+@plan(f"WITH {_PARTS} SELECT DISTINCT 'percent' AS type, s || '%' AS text FROM part UNION ALL SELECT DISTINCT 'hours', s + 1 || '시간' FROM part UNION ALL SELECT DISTINCT 'unit:개', k + 2 || '개' FROM part")
+def values_pooled(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct values that sentences could be asked about, by type. Numbers behind a Latin sign aren't."""
+    return quiz.pools(_lessons(spark, folder)).filter("type <> 'number'")
+
+
+@plan(f"WITH {_PARTS}, n AS (SELECT k, s, b, row_number() OVER (ORDER BY k) AS n FROM part) SELECT 'Q' || n AS id, s || '%' AS answer, 4 AS choices, true AS among, CAST(k AS VARCHAR) AS chunk, {_FIRST_SQL} AS quote, '{text.QUIZ_STEM} ' || b || ' 장학금은 수업료의 ____를 ' || s + 1 || '시간 안에 준다.' AS question FROM n WHERE n <= 40")
+def items_generated(spark: SparkSession, folder: str) -> DataFrame:
+    """Forty items: the best candidate is left out of its sentence and stands among four different choices."""
+    own = _lessons(spark, folder)
+    made = quiz.generate(own, quiz.pools(own), 40, "normal", 7)
+    return made.select("id", "answer", F.size(F.array_distinct("choices")).alias("choices"), F.array_contains("choices", F.col("answer")).alias("among"), "chunk", F.trim("quote").alias("quote"), F.trim("question").alias("question"))
+
+
+@plan(f"WITH {_PARTS} SELECT k, list_transform(list_filter([s + 10, s * 2, s - 10, s + 30, s + 50], lambda v: v > 0), lambda v: CAST(v AS VARCHAR) || '%') AS shifted FROM part")
+def numbers_shifted(spark: SparkSession, folder: str) -> DataFrame:
+    @F.pandas_udf("array<string>")
+    def shifted(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: quiz.shifted(v, "percent"))
+
+    return _parts(spark, folder).select("k", shifted(_say("{s}%", s=F.col("s"))).alias("shifted"))
+
+
+@plan(f"WITH {_PARTS} SELECT k, list_filter([CASE WHEN k % 2 = 0 THEN 'question' END, CASE WHEN k % 3 = 0 THEN 'choices' END, CASE WHEN k % 5 = 0 THEN 'quote' END], lambda x: x IS NOT NULL) AS errors FROM part")
+def items_malformed(spark: SparkSession, folder: str) -> DataFrame:
+    """What an item lacks: a question, an answer among its choices, a quote."""
+    k = F.col("k")
+    choices = F.when(k % 3 == 0, F.array(F.lit("x"), F.lit("y"), F.lit("z"))).otherwise(F.array(F.col("b"), F.lit("y"), F.lit("z")))
+    own = _parts(spark, folder).select("k", F.lit("mcq").alias("type"), F.when(k % 2 == 0, " ").otherwise("Which?").alias("question"), F.col("b").alias("answer"), choices.alias("choices"), F.lit("c").alias("chunk"), F.when(k % 5 != 0, F.col("b")).alias("quote"))
+    return own.select("k", quiz.schema_errors().alias("errors"))
+
+
+@plan(f"WITH {_PARTS} SELECT k, [s || 'O%', 'l' || s] AS suspects FROM part")
+def damaged_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers with letters where digits should be."""
+    return _parts(spark, folder).select("k", cleaning.ocr_suspects(_say("출석률 {s}O% 이상, l{s}시간, MLOps", s=F.col("s"))).alias("suspects"))

@@ -301,7 +301,26 @@ def graph_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return sweep(_vectors(spark, folder), _asked(spark, folder), 10, [2**i for i in range(9)])
 
 
-@plan()
+def _pca_sql(rounds: int = 16) -> str:
+    """Covariances, squared over and over until only the first component is left of them; the same again without it."""
+
+    def component(n: int, matrix: str) -> str:
+        powers = [f"p{n}_0 AS (SELECT * FROM {matrix})"]
+        for r in range(rounds):
+            powers.append(f"s{n}_{r} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM p{n}_{r} a JOIN p{n}_{r} b ON a.j = b.i GROUP BY a.i, b.j), p{n}_{r + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sqrt(sum(v * v)) FROM s{n}_{r}) AS v FROM s{n}_{r})")
+        column = f"k{n} AS MATERIALIZED (SELECT i, v FROM p{n}_{rounds} WHERE j = (SELECT i FROM p{n}_{rounds} WHERE i = j ORDER BY v DESC, i LIMIT 1))"
+        unit = f"e{n} AS MATERIALIZED (SELECT i, v / (SELECT sqrt(sum(v * v)) FROM k{n}) * (SELECT sign(arg_max(v, abs(v))) FROM k{n}) AS v FROM k{n})"
+        return ", ".join([*powers, column, unit])
+
+    return f"""WITH x AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, unnest(generate_series(1, len(embedding))) AS u(i)),
+c AS MATERIALIZED (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM x),
+cov AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) / (SELECT count(*) - 1 FROM embeddings) AS v FROM c a JOIN c b USING (vec_id) GROUP BY a.i, b.i),
+{component(1, "cov")}, l AS (SELECT sum(a.v * cov.v * b.v) AS l FROM cov JOIN e1 a ON a.i = cov.i JOIN e1 b ON b.i = cov.j),
+rest AS MATERIALIZED (SELECT cov.i, cov.j, cov.v - l.l * a.v * b.v AS v FROM cov JOIN e1 a ON a.i = cov.i JOIN e1 b ON b.i = cov.j, l), {component(2, "rest")}
+SELECT vec_id, round(sum(x * e1.v), 6) AS x, round(sum(x * e2.v), 6) AS y FROM c JOIN e1 USING (i) JOIN e2 USING (i) GROUP BY vec_id"""
+
+
+@plan(_pca_sql())
 def pca_projection(spark: SparkSession, folder: str) -> DataFrame:
     """(vec_id, x, y) of the two first components."""
     v = _vectors(spark, folder)

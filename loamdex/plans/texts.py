@@ -73,7 +73,21 @@ def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
     return chunk(documents(spark, folder), ChunkConfig("recursive", 200, 20)).select("doc", "index", "start", "end")
 
 
-@plan()
+def _packed_sql(size: int, overlap: int) -> str:
+    """Sentences, those over size cut into windows; then one chunk of each document a step: as many atoms as fit, and the next begins with the last ones that overlap allows."""
+    return rf"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[.!?。]+["'')\]]?(?:\s+|$)|\n+', '\0' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0) AS s FROM documents),
+sentence AS (SELECT doc_id, i, length(s[i]) AS n, sum(length(s[i])) OVER (PARTITION BY doc_id ORDER BY i) - length(s[i]) AS o FROM s, unnest(generate_series(1, len(s))) AS u(i)),
+atom AS (SELECT doc_id, o + w * {size} AS a, o + least(n, (w + 1) * {size}) AS b FROM sentence, unnest(generate_series(0, (n - 1) // {size})) AS u(w)),
+own AS MATERIALIZED (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM atom GROUP BY doc_id),
+step(doc_id, f, l) AS (
+  SELECT doc_id, 1::BIGINT, len(list_filter(b, lambda x: x - a[1] <= {size})) FROM own UNION ALL
+  SELECT doc_id, f, len(list_filter(b, lambda x: x - a[f] <= {size})) FROM (
+    SELECT own.*, list_min(list_filter(generate_series(f + 1, l + 1), lambda j: j = l + 1 OR (b[l] - a[j] <= {overlap} AND b[l + 1] - a[j] <= {size}))) AS f FROM step JOIN own USING (doc_id) WHERE l < len(own.a))),
+span AS (SELECT doc_id, CAST(a[f] AS BIGINT) AS start, CAST(b[l] AS BIGINT) AS "end" FROM step JOIN own USING (doc_id))
+SELECT doc_id AS doc, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS index, start, "end" FROM span JOIN documents USING (doc_id) WHERE regexp_matches(substr(text, start + 1, "end" - start), '[^\s]')"""
+
+
+@plan(_packed_sql(200, 40))
 def chunk_sentence_packed(spark: SparkSession, folder: str) -> DataFrame:
     return chunk(documents(spark, folder), ChunkConfig("sentence", 200, 40)).select("doc", "index", "start", "end")
 
@@ -177,7 +191,17 @@ def injection_scores(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.sum(cleaning.injection_score("s")).alias("score"))
 
 
-@plan()
+_ENTITIES = (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"))
+_UNESCAPED = "s"
+for _entity, _character in _ENTITIES:
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_entity}', '{_character}')"
+
+
+@plan(rf"""WITH b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>|<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'),
+'</?(?:p|div|li|h[1-6]|section|article|header|footer|nav|aside|main|ul|ol|blockquote)(?: [^>]*)?>|<br>', chr(10), 'g'), '<[^>]*>', '', 'g') AS s FROM pages),
+l AS (SELECT page_id, url, array_to_string(list_transform(string_split({_UNESCAPED}, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ 	]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), chr(10)) AS t FROM b),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '
+{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM l) SELECT page_id, url, text, length(text) AS n_chars FROM t""")
 def html_texts(spark: SparkSession, folder: str) -> DataFrame:
     out = table(spark, folder, "pages").withColumn("text", html_to_text("html"))
     return out.select("page_id", "url", "text", F.char_length("text").alias("n_chars"))

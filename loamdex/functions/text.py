@@ -252,7 +252,8 @@ def char_bigram_jaccard(a: Column | str, b: Column | str) -> Column:
 
 def question_bigrams(question: Column | str) -> Column:
     """Bigrams of a quiz question without the stem, white space, punctuation and symbols, lower-cased."""
-    return bigrams(F.lower(F.regexp_replace(F.regexp_replace(_c(question), re.escape(QUIZ_STEM).replace("\\ ", " "), ""), r"(?U)[\s\p{P}\p{S}_]+", "")))
+    plain = F.lower(F.regexp_replace(F.regexp_replace(_c(question), re.escape(QUIZ_STEM).replace("\\ ", " "), ""), r"(?U)[\s\p{P}\p{S}_]+", ""))
+    return let(plain, bigrams)  # worked out once, not for each pair
 
 
 def question_jaccard(a: Column | str, b: Column | str) -> Column:

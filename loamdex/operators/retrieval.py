@@ -109,7 +109,17 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 def whole_vectors(rows: DataFrame, vector: str) -> DataFrame:
     """rows whose vector is there with all its numbers. A vector that isn't is never found, and as a query finds nothing."""
-    return rows.where(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull()))
+    # nulls are sorted to the front; a lambda over the output of a Python function can't be evaluated in a filter
+    return rows.where(F.get(F.sort_array(F.col(vector)), F.lit(0)).isNotNull())
+
+
+def _present(ids: list, column: pa.Array, dim: int | None = None) -> tuple[list, np.ndarray]:
+    """The same within a task, for vectors that a model makes on the way: ids and unit rows of the vectors that are there. A filter would make them twice."""
+    own = [(i, v) for i, v in zip(ids, column.to_pylist()) if v and None not in v]
+    rows = np.array([v for _, v in own], np.float64) if own else np.zeros((0, dim or 0))
+    if dim is not None and own and rows.shape[1] != dim:
+        raise ValueError(f"vectors of {rows.shape[1]} numbers among those of {dim}")
+    return [i for i, _ in own], _unit(rows)
 
 
 def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
@@ -142,13 +152,14 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str =
     size and vectors into larger ones; each block of queries meets each block of vectors in one task, as
     a product of two matrices. No query passes through the driver then.
     """
-    own = whole_vectors(vectors.select(F.col(id).alias("id"), F.col(vector).alias("v")), "v")
-    asked = whole_vectors(queries.select("qid", F.col(vector).alias("q")), "q")
+    own = vectors.select(F.col(id).alias("id"), F.col(vector).alias("v"))
+    asked = queries.select("qid", F.col(vector).alias("q"))
     kinds = asked.schema["qid"].dataType, own.schema["id"].dataType
     schema = pa.schema([("qid", to_arrow_type(kinds[0])), ("id", to_arrow_type(kinds[1])), ("score", pa.float64())])
     spark_schema = f"qid {kinds[0].simpleString()}, id {kinds[1].simpleString()}, score double"
     first = asked.limit(block + 1).collect()
     if len(first) <= block:
+        first = [r for r in first if r["q"] and None not in r["q"]]
         names, q = [r["qid"] for r in first], _unit(np.array([r["q"] for r in first], np.float64)) if first else None
         sent = vectors.sparkSession.sparkContext.broadcast((names, q))
 
@@ -156,8 +167,9 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str =
             names, q = sent.value
             best: list[list[tuple]] = [[] for _ in names]
             for batch in batches:
-                if len(names) and batch.num_rows:
-                    _best(names, q, batch.column(0).to_pylist(), _unit(_matrix(batch.column(1), q.shape[1])), k, skip_self, best)
+                ids, m = _present(batch.column(0).to_pylist(), batch.column(1), q.shape[1]) if len(names) else ([], None)
+                if ids:
+                    _best(names, q, ids, m, k, skip_self, best)
             yield _flat(names, best, schema)
 
         return top_k(own.mapInArrow(run, spark_schema), k)
@@ -169,11 +181,11 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str =
     right = everywhere(dealt(own, "id", slabs, "_slab"), blocks, "_block")
 
     def product(a: pa.Table, b: pa.Table) -> pa.Table:
-        names = a.column("qid").to_pylist()
+        names, q = _present(a.column("qid").to_pylist(), a.column("q").combine_chunks())
+        ids, m = _present(b.column("id").to_pylist(), b.column("v").combine_chunks(), q.shape[1] if names else None)
         best: list[list[tuple]] = [[] for _ in names]
-        if a.num_rows and b.num_rows:
-            q = _unit(_matrix(a.column("q").combine_chunks()))
-            _best(names, q, b.column("id").to_pylist(), _unit(_matrix(b.column("v").combine_chunks(), q.shape[1])), k, skip_self, best)
+        if names and ids:
+            _best(names, q, ids, m, k, skip_self, best)
         return pa.Table.from_batches([_flat(names, best, schema)])
 
     pairs = left.groupBy("_block", "_slab").cogroup(right.groupBy("_block", "_slab")).applyInArrow(product, spark_schema)

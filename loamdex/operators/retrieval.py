@@ -116,9 +116,10 @@ def whole_vectors(rows: DataFrame, vector: str) -> DataFrame:
 def _present(ids: list, column: pa.Array, dim: int | None = None) -> tuple[list, np.ndarray]:
     """The same within a task, for vectors that a model makes on the way: ids and unit rows of the vectors that are there. A filter would make them twice."""
     own = [(i, v) for i, v in zip(ids, column.to_pylist()) if v and None not in v]
+    sizes = {len(v) for _, v in own} | ({dim} if dim is not None else set())
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of {min(sizes)} numbers among those of {max(sizes)}")
     rows = np.array([v for _, v in own], np.float64) if own else np.zeros((0, dim or 0))
-    if dim is not None and own and rows.shape[1] != dim:
-        raise ValueError(f"vectors of {rows.shape[1]} numbers among those of {dim}")
     return [i for i, _ in own], _unit(rows)
 
 

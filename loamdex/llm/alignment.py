@@ -121,13 +121,13 @@ def _ranks(file: dict, tokens: list[bytes]) -> dict[bytes, int] | None:
 
 @cache
 def pieces(data: bytes) -> Vocabulary:
-    """A sentencepiece model with byte fallback; it puts a space before each text. If no piece has a space behind another character, texts are cut there."""
+    """A sentencepiece model with byte fallback; it puts a space before each text. If no piece has a space behind another character, texts are cut there; spaces at the end stay with what is before them."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_proto=data)
     tokens = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i in range(model.get_piece_size()) for p in (model.id_to_piece(i),)]
     across = any(re.search(r"[^ ] ", t.decode("utf-8", "replace")) for t in tokens)
-    return Vocabulary(tokens, lambda texts: model.encode([t[1:] for t in texts], num_threads=1), None if across else re.compile(r"(?<=\S)(?= )"))
+    return Vocabulary(tokens, lambda texts: model.encode([t[1:] for t in texts], num_threads=1), None if across else re.compile(r"(?<=\S)(?= +[^ ])"))
 
 
 def bitset(ends: np.ndarray, n: int) -> np.ndarray:

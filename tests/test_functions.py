@@ -115,6 +115,10 @@ def test_html():
     assert H.text_of("") == "" and H.text_of("<p>open") == "open"
 
 
+def test_references_without_semicolon_stay():
+    assert H.text_of("<h1>a&amp;&amp; b&amp</h1><p>c&lt &copy;&#39;&#39 AT&T & d</p>") == "a&& b&amp\n\nc&lt ©'&#39 AT&T & d"
+
+
 def test_vectors(one):
     a, b = [1.0, 2.0, 2.0], [0.0, 0.0, 0.0]
     assert one(V.cosine("a", "b"), a=a, b=b) == 0.0 and one(V.norm("a"), a=a) == 3.0

@@ -62,9 +62,12 @@ def composite_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 @plan("SELECT CAST(sum(length(text) + 1) AS BIGINT) AS n_chars, 0 AS errors FROM conversations")
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns written in files that a reader takes; a turn over that size is let in by it."""
     path = _folder(spark)
-    writers.write_text(table(spark, folder, "conversations"), path, "text")
-    files = readers.local_files(spark, path)
+    turns = table(spark, folder, "conversations").filter("text is not null")
+    longest = turns.agg(F.max(F.octet_length("text"))).first()[0] or 0
+    writers.write_text(turns, path, "text", most=readers.MOST_BYTES)
+    files = readers.local_files(spark, path, max(readers.MOST_BYTES, longest + 1))
     return files.agg(F.sum(F.char_length("text")).alias("n_chars"), F.count("error").cast("int").alias("errors"))
 
 

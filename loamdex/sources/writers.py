@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +15,26 @@ def write_json(rows: DataFrame, path: str, mode: str = "overwrite", options: dic
     rows.write.mode(mode).options(**(options or {})).json(path)
 
 
-def write_text(documents: DataFrame, path: str, column: str = "document", mode: str = "overwrite") -> None:
-    documents.select(F.col(column).cast("string").alias("value")).write.mode(mode).text(path)
+def write_text(documents: DataFrame, path: str, column: str = "document", mode: str = "overwrite", most: int | None = None) -> None:
+    """A line for each text. most: bytes of a file, in folders file=<task>-<n>; a text that is larger by itself has a file of its own."""
+    rows = documents.select(F.col(column).cast("string").alias("value"))
+    if most is None:
+        return rows.write.mode(mode).text(path)
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, size = 0, 0
+        for batch in batches:
+            numbers = []
+            for own in batch.column(1).to_pylist():
+                if size and size + own > most:
+                    n, size = n + 1, 0
+                size += own
+                numbers.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(numbers, pa.int64())], ["value", "task", "n"])
+
+    sized = rows.select("value", (F.octet_length(F.coalesce("value", F.lit(""))) + 1).cast("long").alias("size"), F.spark_partition_id().alias("task"))
+    placed = sized.mapInArrow(filled, "value string, task int, n long")
+    placed.select("value", F.concat_ws("-", "task", "n").alias("file")).write.mode(mode).partitionBy("file").text(path)
 
 
 def submission_template(questions: DataFrame) -> DataFrame:

@@ -78,3 +78,20 @@ def test_contract(spark):
     assert set(sql) <= set(queries) and len(queries) > 50
     df = entry.entry(spark)
     assert df.columns == ["recall", "precision", "hit", "mrr", "mrr_at_k", "ndcg", "n"] and df.count() == 1
+
+
+def test_texts_in_files_that_are_read(spark, tmp_path):
+    """Files over the bound were refused, and with them their texts."""
+    texts = ["a" * 40, "", "é" * 20, "b" * 120, "c" * 59, "d" * 30]
+    W.write_text(spark.createDataFrame([(t,) for t in texts], "document string").coalesce(1), f"{tmp_path}/t", most=100)
+    files = R.local_files(spark, f"{tmp_path}/t", 121).collect()
+    assert all(f.error is None for f in files) and sorted(len(f.text.encode()) for f in files) == [83, 91, 121]
+    assert sorted("".join(f.text for f in files).split("\n")[:-1]) == sorted(texts)
+
+
+def test_turns_of_more_than_a_file(spark, tmp_path):
+    from loamdex.plans.files import QUERIES
+
+    rows = [(1, i, "user", "x" * 40_000) for i in range(60)] + [(2, 0, "user", "y" * 1_200_000), (2, 1, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in QUERIES["text_files"](spark, str(tmp_path)).collect()] == [(60 * 40_001 + 1_200_001, 0)]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.functions.text import document_of
+from loamdex.operators.retrieval import small
 
 
 def ideal_gain(relevant: DataFrame, k: int) -> DataFrame:
@@ -65,7 +66,8 @@ def label_run(runs: DataFrame, chunks: DataFrame, evidence: DataFrame, mode: str
     In chunk mode a unit is a quote, met by a chunk of its document that holds it; in doc mode a document.
     """
     unit = F.concat(F.lit("doc:"), "doc") if mode == "doc" else F.concat(F.lit("ev:"), F.col("ev").cast("string"))
-    hit = runs.join(chunks.select("id", F.col("doc").cast("string").alias("doc"), "text"), "id").join(evidence.withColumn("doc", F.col("doc").cast("string")), ["qid", "doc"])
+    runs = small(runs)
+    hit = chunks.select("id", F.col("doc").cast("string").alias("doc"), "text").join(runs, "id").join(evidence.withColumn("doc", F.col("doc").cast("string")), ["qid", "doc"])
     if mode != "doc":
         hit = hit.filter(F.contains("text", "quote"))
     first = hit.groupBy("qid", "id", "rank").agg(F.min_by(unit, "ev").alias("unit"))

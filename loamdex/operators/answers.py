@@ -149,13 +149,17 @@ class OverlapGenerator:
     """Deterministic stand-in: the source sentence that shares the most tokens with the question, cited; a refusal under LEAST_OVERLAP."""
 
     def generate(self, prompts: DataFrame) -> DataFrame:
-        rows = prompts.select("qid", F.array_distinct(tokenize("question")).alias("_q"), F.posexplode("texts").alias("_n", "_t"))
-        cut = F.split("_t", r"(?<=[.!?])\s+|\n+")
-        rows = rows.select("qid", "_q", "_n", F.posexplode(cut).alias("_i", "_s"))
-        shared = F.size(F.array_intersect(F.col("_q"), tokenize("_s")))
-        best = rows.groupBy("qid").agg(F.max_by(F.struct(F.concat(trim_blank("_s"), F.lit(" ["), (F.col("_n") + 1).cast("string"), F.lit("]")).alias("a"), shared.alias("n")), F.struct(shared, -F.col("_n"), -F.col("_i"))).alias("_b"))
-        found = F.when(F.col("_b.n") >= LEAST_OVERLAP, F.col("_b.a")).otherwise(REFUSED)
-        return prompts.join(best, "qid", "left").withColumn("answer", F.coalesce(found, F.lit(REFUSED))).drop("_b")
+        """Each prompt by its own texts, in its row: nothing is shuffled."""
+        none = F.array().cast("array<struct<shared:int,n:int,i:int,s:string>>")
+
+        def best(q: Column) -> Column:
+            scored = lambda s, i, n: F.struct(F.size(F.array_intersect(q, tokenize(s))).alias("shared"), (-n).alias("n"), (-i).alias("i"), s.alias("s"))
+            cut = lambda t, n: F.coalesce(F.transform(F.split(t, r"(?<=[.!?])\s+|\n+"), lambda s, i: scored(s, i, n)), none)
+            return F.array_max(F.flatten(F.transform("texts", cut)))
+
+        said = F.concat(trim_blank("_b.s"), F.lit(" ["), (1 - F.col("_b.n")).cast("string"), F.lit("]"))
+        found = prompts.withColumn("_b", let(F.array_distinct(tokenize("question")), best))
+        return found.withColumn("answer", F.coalesce(F.when(F.col("_b.shared") >= LEAST_OVERLAP, said), F.lit(REFUSED))).drop("_b")
 
 
 class GuessingGenerator:

@@ -24,3 +24,13 @@ def test_a_timetable_row_is_matched_a_few_times(spark):
     df = spark.createDataFrame([("요일 교시 과목 강의실 담당\n월 1-3 수학 306 이 교수",)], "t string").select(cleaning.rebuild_timetable("t").alias("r"))
     assert _plan(df).count("regexp_extract(") <= 8
     assert df.first().r.text.split("\n")[1] == "월 | 1-3 | 수학 | 306 | 이 교수"
+
+
+def test_overlap_answers_shuffle_nothing(spark):
+    rows = spark.createDataFrame([
+        (1, "the rate of it", ["No. The rate of it is 5.", "The rate of it."]), (2, "rate of it", [None, "rate of it now. rate of it"]), (3, "no such words", ["a b c"]), (4, None, ["a"]), (5, "a b c", None), (6, "a b c", []), (None, "a b c", ["x\na b c "]),
+    ], "qid int, question string, texts array<string>")
+    made = answers.OverlapGenerator().generate(rows)
+    assert "Exchange" not in _plan(made)
+    no = answers.REFUSED
+    assert [r.answer for r in made.orderBy(F.col("qid").asc_nulls_last()).collect()] == ["The rate of it is 5. [1]", "rate of it now. [2]", no, no, no, no, "a b c [1]"]

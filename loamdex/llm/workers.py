@@ -9,9 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Rows in an Arrow batch of texts. The session's default suits narrow rows; texts are thousands of characters.
-ROWS = 1_000
-_SETTING, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", 10_000
+from loamdex.session import small_batches
+
 
 
 def _release() -> None:
@@ -40,9 +39,3 @@ def map_texts(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str) -
     """df.mapInArrow(run, schema) in batches that suit texts; a batch size that the session has set itself is kept."""
     small_batches(df)
     return df.mapInArrow(releasing(run), schema)
-
-
-def small_batches(df: DataFrame) -> None:
-    conf = df.sparkSession.conf
-    if int(conf.get(_SETTING, str(_DEFAULT))) == _DEFAULT:
-        conf.set(_SETTING, str(ROWS))

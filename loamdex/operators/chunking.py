@@ -6,17 +6,23 @@ and run as one Arrow function per text. Chunk ids are document#index.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from loamdex.functions.text import _c, let, matches
+from loamdex.session import small_batches
 
 #: Separators from coarse to fine; the empty one is a cut anywhere.
 SEPARATORS = ("\n\n", "\n", ". ", "다. ", " ", "")
 STRATEGIES = ("fixed", "sentence", "recursive")
+#: Texts that are cut at a time.
+TEXTS = 64
 
 
 @dataclass(frozen=True)
@@ -135,30 +141,45 @@ def cut(text: str, strategy: str = "recursive", size: float = 300, overlap: floa
     return [(s, e) for s, e in found if text[s:e].strip()]
 
 
-def cut_chunks(config: ChunkConfig):
-    """Arrow. Array of (start, end, text) by any strategy."""
-
-    @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [{"start": s, "end": e, "text": t[s:e]} for s, e in cut(t, config.strategy, config.size, config.overlap, config.separators)], na_action="ignore")
-
-    return run
-
-
 def chunk(docs: DataFrame, config: ChunkConfig = ChunkConfig(), id: str = "doc_id", text: str = "text", title: str | None = None) -> DataFrame:
     """(doc, chunk_id, index, start, end, text[, embed_text]) per chunk: narrow, one row in, its chunks out.
 
     Blank chunks are dropped before numbering. With title, embed_text is the text with the title in brackets; offsets stay those of the text.
     """
+    kept = [F.col(id).alias("doc"), *([F.col(title).alias("_title")] if title else [])]
+    names = ["doc", *(["_title"] if title else [])]
     if config.strategy == "fixed":
         made = F.filter(fixed_chunks(text, config.size, config.overlap), lambda c: c["text"].rlike(r"(?U)\S"))
+        # texts don't go along with their chunks
+        out = docs.select(*kept, made.alias("_c")).select(*names, F.posexplode("_c").alias("index", "_s")).select(*names, "index", "_s.*")
     else:
-        made = cut_chunks(config)(F.col(text))
-    # texts don't go along with their chunks
-    own = docs.select(F.col(id).alias("doc"), *([F.col(title).alias("_title")] if title else []), made.alias("_c"))
-    out = own.select("doc", *(["_title"] if title else []), F.posexplode("_c").alias("index", "_s"))
-    extra = [F.concat(F.lit("["), "_title", F.lit("] "), "_s.text").alias("embed_text")] if title else []
-    return out.select("doc", F.concat(F.col("doc").cast("string"), F.lit("#"), F.col("index").cast("string")).alias("chunk_id"), "index", F.col("_s.start").alias("start"), F.col("_s.end").alias("end"), F.col("_s.text").alias("text"), *extra)
+        out = _cut_rows(docs.select(*kept, F.col(text).alias("_text")), config)
+    extra = [F.concat(F.lit("["), "_title", F.lit("] "), "text").alias("embed_text")] if title else []
+    return out.select("doc", F.concat(F.col("doc").cast("string"), F.lit("#"), F.col("index").cast("string")).alias("chunk_id"), "index", "start", "end", "text", *extra)
+
+
+def _cut_rows(rows: DataFrame, config: ChunkConfig) -> DataFrame:
+    """Arrow. rows with index, start, end and text of each chunk in place of _text, the last column. A few texts are cut at a time, so that a task holds no more than their chunks."""
+    small_batches(rows)
+    kept = rows.select(*rows.columns[:-1])
+    fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in kept.schema]
+    schema = pa.schema([*fields, ("index", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                of, spans, texts = [], [], []
+                for n, value in enumerate(part.columns[-1]):
+                    t = value.as_py()
+                    found = cut(t, config.strategy, config.size, config.overlap, config.separators) if t is not None else []
+                    of += [n] * len(found)
+                    spans += [(i, s, e) for i, (s, e) in enumerate(found)]
+                    texts += [t[s:e] for s, e in found]
+                numbers = [pa.array([x[i] for x in spans], pa.int32()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(of, pa.int64())) for c in part.columns[:-1]), *numbers, pa.array(texts, pa.string())], schema=schema)
+
+    return rows.mapInArrow(run, StructType([*kept.schema.fields, *(StructField(n, IntegerType()) for n in ("index", "start", "end")), StructField("text", StringType())]))
 
 
 def chunk_stats(chunks: DataFrame, docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -51,3 +51,23 @@ def test_candidates_look_at_a_sentence_once(spark):
     df = spark.createDataFrame([("5", "a")], "s string, t string").select(quiz.candidates(F.concat("t", F.lit(" "), "s", F.lit("%"))).alias("c"))
     assert _plan(df).count("concat(t#") == 1
     assert [(c.text, c.start, c.type) for c in df.first().c] == [("5%", 2, "percent")]
+
+
+def test_texts_are_cut_in_small_batches(spark, monkeypatch):
+    """Chunks of some thousand texts were held by a task at once."""
+    from loamdex.operators import chunking
+
+    sizes = []
+    docs = spark.createDataFrame([(i, None if i == 7 else "ab cd. " * i, "t") for i in range(150)], "doc_id long, text string, title string")
+    for strategy in chunking.STRATEGIES[1:]:
+        config = chunking.ChunkConfig(strategy, 20, 5)
+        own = chunking.chunk(docs, config, title="title")
+        want = [(i, f"{i}#{n}", n, s, e, t[s:e], f"[t] {t[s:e]}") for i, t in ((r.doc_id, r.text) for r in docs.collect()) if t is not None for n, (s, e) in enumerate(chunking.cut(t, strategy, 20, 5))]
+        assert sorted(tuple(r) for r in own.collect()) == sorted(want)
+        monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a: sizes.append(f) or self)
+        chunking._cut_rows(docs.select("doc_id", "text"), config)
+        monkeypatch.undo()
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(150)), "text": ["ab cd. "] * 150})
+    assert [b.num_rows for b in sizes[0](iter([batch]))] == [64, 64, 22]

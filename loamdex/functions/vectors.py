@@ -55,8 +55,12 @@ def softmax(value: Column | str, temperature: float, group: list[str]) -> Column
 
 
 def toy_embed(text: str, dim: int = 256) -> list[float]:
+    return _counts(text, dim).tolist()
+
+
+def _counts(text: str, dim: int) -> np.ndarray:
     codes = np.frombuffer(re.sub(r"\s+", " ", text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    return np.bincount(((codes[:-1] * 31 + codes[1:]) % dim).astype(np.int64), minlength=dim).astype(float).tolist()
+    return np.bincount(((codes[:-1] * 31 + codes[1:]) % dim).astype(np.int64), minlength=dim).astype(float)
 
 
 def toy_embedding(dim: int = 256):
@@ -64,7 +68,7 @@ def toy_embedding(dim: int = 256):
 
     @F.pandas_udf("array<double>")
     def run(text: pd.Series, size: pd.Series) -> pd.Series:
-        return text.map(lambda t: toy_embed(t, dim), na_action="ignore")
+        return text.map(lambda t: _counts(t, dim), na_action="ignore")
 
     # the second use keeps the optimizer from inlining a text that is an expression: lambdas can't stand inside of a Python function's arguments
     return lambda text: run(_c(text), F.char_length(_c(text)))

@@ -71,3 +71,33 @@ def test_texts_are_cut_in_small_batches(spark, monkeypatch):
 
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(150)), "text": ["ab cd. "] * 150})
     assert [b.num_rows for b in sizes[0](iter([batch]))] == [64, 64, 22]
+
+
+def test_walks_that_leave_nothing_out_are_one_product(spark, monkeypatch):
+    """They were made step by step, for each query."""
+    import numpy as np
+
+    from loamdex.operators.retrieval import GraphIndex, SmallWorld, places, _unit
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x, q = _unit(rng.standard_normal((300, 8))), _unit(rng.standard_normal((40, 8)))
+    g = SmallWorld(x, links=3, width=6)
+    slow = []
+    for n, one in enumerate(q):
+        g.looked = 0
+        slow += [(n, i, round(float(s), 9), g.looked) for s, i in g.search(one, 5, 600)]
+        slow[-5:] = [(*r[:3], g.looked) for r in slow[-5:]]
+    steps, beam = [], SmallWorld._beam
+    monkeypatch.setattr(SmallWorld, "_beam", lambda self, *a, **k: steps.append(a[2]) or beam(self, *a, **k))
+    assert sorted(g.search_wide(q, 5, places(pa.array(range(300))))) == sorted(slow)
+    assert set(steps) <= {1}
+    monkeypatch.undo()
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = rows.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "qid")
+    index = GraphIndex(rows, shard_rows=100)
+    near = {(int(r), int(c)) for r in range(0, 300, 50) for c in np.argsort(-(x[r] @ x.T), kind="stable")[:5]}
+    assert {(r.qid, r.id) for r in index.search(asked, 5, 300).collect()} == near
+    walks = index.walks(asked, 5, 20)
+    assert index.counted(walks).orderBy("qid").collect() == index.search(asked, 5, 20, counted=True).orderBy("qid").collect()

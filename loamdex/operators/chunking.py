@@ -16,13 +16,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from loamdex.functions.text import _c, let, matches
-from loamdex.session import small_batches
+from loamdex.session import small_batches, stored
 
 #: Separators from coarse to fine; the empty one is a cut anywhere.
 SEPARATORS = ("\n\n", "\n", ". ", "다. ", " ", "")
 STRATEGIES = ("fixed", "sentence", "recursive")
-#: Texts that are cut at a time.
-TEXTS = 64
+#: Texts that are cut at a time, names of documents that are sent to all tasks at most.
+TEXTS, NAMED = 64, 200_000
 
 
 @dataclass(frozen=True)
@@ -63,10 +63,13 @@ def clamp(size: float, overlap: float) -> tuple[int, int]:
 def fixed_spans(text: Column | str, size: int, overlap: int = 0) -> Column:
     """Windows of size characters that start size - overlap apart; the first that reaches the end is the last."""
     size, overlap = clamp(size, overlap)
-    n = F.char_length(_c(text))
-    last = F.greatest(F.ceil((n - size) / (size - overlap)).cast("int"), F.lit(0))
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * (size - overlap)).alias("start"), F.least(i * (size - overlap) + size, n).alias("end")))
-    return F.when(n > 0, windows).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+    def spans(n: Column) -> Column:
+        last = F.greatest(F.ceil((n - size) / (size - overlap)).cast("int"), F.lit(0))
+        windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * (size - overlap)).alias("start"), F.least(i * (size - overlap) + size, n).alias("end")))
+        return F.when(n > 0, windows).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+    return let(F.char_length(_c(text)), spans)  # counted once, not for each window
 
 
 def fixed_chunks(text: Column | str, size: int, overlap: int = 0) -> Column:
@@ -74,7 +77,9 @@ def fixed_chunks(text: Column | str, size: int, overlap: int = 0) -> Column:
     size, overlap = clamp(size, overlap)
     step = size - overlap
     both = F.struct(matches(text, f"(?s).{{1,{step}}}").alias("p"), fixed_spans(text, size, overlap).alias("s"))
-    body = lambda x, i: F.left(F.array_join(F.slice(x["p"], i + 1, -(-size // step)), ""), F.lit(size))
+    # not slice(), which copies all steps of the text for each window
+    steps = lambda x, i: F.transform(F.sequence(i, F.least(i + -(-size // step), F.size(x["p"])) - 1), lambda j: F.get(x["p"], j))
+    body = lambda x, i: F.left(F.array_join(steps(x, i), ""), F.lit(size))
     return let(both, lambda x: F.transform(x["s"], lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), body(x, i).alias("text"))))
 
 
@@ -151,13 +156,20 @@ def chunk(docs: DataFrame, config: ChunkConfig = ChunkConfig(), id: str = "doc_i
     if config.strategy == "fixed":
         made = F.filter(fixed_chunks(text, config.size, config.overlap), lambda c: c["text"].rlike(r"(?U)\S"))
         # texts don't go along with their chunks
-        out = docs.select(*kept, made.alias("_c")).select(*names, F.posexplode("_c").alias("index", "_s")).select(*names, "index", "_s.*")
+        # an outer explode: for others, the optimizer also cuts texts in a filter
+        out = docs.select(*kept, made.alias("_c")).select(*names, F.posexplode_outer("_c").alias("index", "_s")).filter("index is not null").select(*names, "index", "_s.*")
     else:
         out = _cut_rows(docs.select(*kept, F.col(text).alias("_text")), config)
     extra = [F.concat(F.lit("["), "_title", F.lit("] "), "text").alias("embed_text")] if title else []
     return out.select("doc", F.concat(F.col("doc").cast("string"), F.lit("#"), F.col("index").cast("string")).alias("chunk_id"), "index", "start", "end", "text", *extra)
 
 
+def documents_of(docs: DataFrame, found: DataFrame, id: str = "doc_id") -> DataFrame:
+    """The documents whose chunks are found (id), stored; up to NAMED names are sent to the documents."""
+    named = stored(found.select(F.regexp_replace("id", r"#[0-9]+\z", "").alias("_d")).distinct())
+    return stored(docs.join(F.broadcast(named) if named.count() <= NAMED else named, F.col(id).cast("string") == F.col("_d"), "left_semi"))
+
+
 def _cut_rows(rows: DataFrame, config: ChunkConfig) -> DataFrame:
     """Arrow. rows with index, start, end and text of each chunk in place of _text, the last column. A few texts are cut at a time, so that a task holds no more than their chunks."""
     small_batches(rows)

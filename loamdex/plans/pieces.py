@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from loamdex.functions import cleaning, text
 from loamdex.functions.vectors import euclid, role_text
 from loamdex.operators import answers, conversation, fusion, metrics, quiz, selfquery, validators
-from loamdex.operators.chunking import ChunkConfig, chunk
+from loamdex.operators.chunking import ChunkConfig, chunk, documents_of
 from loamdex.operators.embedding import ToyEmbedder, embed_once, model_embedding
 from loamdex.operators.matching import containing
-from loamdex.operators.retrieval import Bm25Index, GraphIndex, IvfIndex, VectorStore, evidence_rank, relevant_ids, vector_search, with_scores
+from loamdex.operators.retrieval import Bm25Index, GraphIndex, IvfIndex, VectorStore, evidence_rank, relevant_ids, small, vector_search, with_scores
 from loamdex.plans.common import EVIDENCE_SQL, QUESTIONS_SQL, documents, questions, registry, runs, runs_sql
+from loamdex.session import stored
 from loamdex.sources.readers import table
 
 QUERIES, SQL, plan = registry()
@@ -203,7 +204,11 @@ quote AS MATERIALIZED (SELECT item_id AS qid, 0 AS ev, doc_id AS doc, benchmark.
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return chunk(documents(spark, folder), ChunkConfig("fixed", 300, 60)).select(F.col("chunk_id").alias("id"), "doc", "text")
+    return _cut(documents(spark, folder))
+
+
+def _cut(docs: DataFrame) -> DataFrame:
+    return chunk(docs, ChunkConfig("fixed", 300, 60)).select(F.col("chunk_id").alias("id"), "doc", "text")
 
 
 def _quotes(spark: SparkSession, folder: str) -> DataFrame:
@@ -231,7 +236,8 @@ def _chunk_run(spark: SparkSession, folder: str) -> DataFrame:
 
 @plan(f"WITH {QUESTIONS_SQL}, {_CHUNKS}, {_CHUNK_RUN}, hit AS (SELECT run.qid, min(rank) AS rank FROM run JOIN chunk USING (id) JOIN quote ON quote.qid = run.qid AND quote.doc = chunk.doc WHERE contains(chunk.text, quote) GROUP BY run.qid) SELECT DISTINCT quote.qid, coalesce(rank, 0) AS rank FROM quote LEFT JOIN hit USING (qid)")
 def chunk_evidence_ranks(spark: SparkSession, folder: str) -> DataFrame:
-    return evidence_rank(_chunk_run(spark, folder), _chunks(spark, folder), _quotes(spark, folder).select("qid", "doc", "quote"))
+    found = small(_chunk_run(spark, folder))
+    return evidence_rank(found, _cut(documents_of(documents(spark, folder), found)), stored(_quotes(spark, folder).select("qid", "doc", "quote")))
 
 
 @plan(f"""WITH {QUESTIONS_SQL}, {_CHUNKS}, {_CHUNK_RUN},

@@ -248,7 +248,7 @@ def cleaning_diffs(spark: SparkSession, folder: str) -> DataFrame:
 @plan()
 def retrieval_simulation(spark: SparkSession, folder: str) -> DataFrame:
     """Chunk settings compared by hit, rank, context and density."""
-    quotes = _quotes(spark, folder).select("qid", "doc", "quote")
+    quotes = stored(_quotes(spark, folder).select("qid", "doc", "quote"))
     configs = [ChunkConfig("recursive", 150, 20, k=3), ChunkConfig("fixed", 300, 60, k=3)]
     rows = [simulate(documents(spark, folder), questions(spark, folder), quotes, c).withColumn("strategy", F.lit(c.strategy)) for c in configs]
     return rows[0].unionByName(rows[1])

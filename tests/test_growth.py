@@ -160,3 +160,49 @@ def test_made_items_are_never_similar_and_cite_the_next_part(spark, tmp_path):
         assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, con.execute(derived.SQL[name]).fetchall()))
     questions = derived._items(spark, str(tmp_path))[0].select("question").collect()
     assert all(len({*map(ord, r.question)}) == 6 and all(0xAC00 <= ord(c) < 0xD7A4 for c in r.question) for r in questions)
+
+
+def test_few_queries_meet_texts_by_products(spark, monkeypatch):
+    """A common word made a row for each query and text."""
+    from loamdex.operators import retrieval
+    from loamdex.operators.retrieval import Bm25Index
+
+    words = ["the", "a", "rate", "of", "room", "five"]
+    texts = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 7, None).otherwise(F.concat_ws(" ", F.lit("the"), *[F.when(F.pmod(F.xxhash64("id"), F.lit(i + 2)) == 0, w) for i, w in enumerate(words)])).alias("text")).repartition(3)
+    asked = spark.createDataFrame([(1, "the rate"), (2, "rate the the"), (3, "a room of five"), (4, "nowhere"), (5, None), (6, "")], "qid int, question string")
+    both = []
+    for most in (retrieval.WEIGHTS, 40, 0):
+        monkeypatch.setattr(retrieval, "WEIGHTS", most)
+        both.append([])
+        for k1, b in ((1.5, 0.75), (0.0, 1.0)):
+            found = Bm25Index.build(texts, k1=k1, b=b, only=Bm25Index.terms(asked)).search(asked, 7)
+            both[-1] += found.orderBy("qid", "rank").collect()
+            assert ("MapInArrow" in _plan(found)) == (most > 0)
+    assert both[0] == both[1] == both[2] and len(both[0]) == 2 * 3 * 7
+
+
+def test_fixed_chunks_are_cut_once(spark):
+    """The length of a text was counted for each window, its steps copied for each, and a filter cut it again."""
+    from loamdex.operators.chunking import ChunkConfig, chunk
+
+    df = spark.createDataFrame([(1, "a" * 10 + " " * 9 + "한글" * 4), (2, ""), (3, None), (4, " ")], "doc_id int, text string").repartition(1)
+    plan = _plan(chunk(df, ChunkConfig("fixed", 7, 3)))
+    assert plan.count("char_length(") == 1 and plan.count("regexp_extract_all(") == 1 and "slice(" not in plan
+    rows = chunk(df, ChunkConfig("fixed", 7, 3)).orderBy("doc", "index").collect()
+    text = df.first().text
+    assert [r.text for r in rows] == [text[s : s + 7] for s in range(0, 24, 4) if text[s : s + 7].strip()] and [r["index"] for r in rows] == list(range(len(rows)))
+
+
+def test_the_simulation_cuts_all_texts_once(spark, monkeypatch):
+    """Chunks of all texts were made again for evidence, sizes and their number."""
+    from loamdex.operators import chunking
+    from loamdex.operators.chunking import ChunkConfig
+    from loamdex.operators.retrieval import simulate
+
+    docs = spark.createDataFrame([(f"d#{i}", f"rate {'word ' * i}of it {i}") for i in range(20)], "doc_id string, text string")
+    cut, seen = chunking.chunk, []
+    monkeypatch.setattr(chunking, "chunk", lambda d, *a: seen.append(sorted(r.doc_id for r in d.select("doc_id").collect())) or cut(d, *a))
+    asked, quotes = spark.createDataFrame([(1, "it 3"), (2, "it 19")], "qid int, question string"), spark.createDataFrame([(1, "d#3", "it 3"), (2, "d#5", "it 5")], "qid int, doc string, quote string")
+    row = simulate(docs, asked, quotes, ChunkConfig("fixed", 400, 0, k=1)).first()
+    assert (row.chunks, row.hit, row.mrr, row.context) == (20, 0.5, 0.5, 68)
+    assert [len(s) for s in seen] == [20, 2] and seen[1] == ["d#19", "d#3"]
